@@ -29,9 +29,10 @@ def frequent(rows: DataFrame, key: str) -> list[int]:
     parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(BRANCHES)).alias("branch")).agg(
         F.expr(f"approx_top_k_accumulate({key}, {TRACKED})").alias("sketch")
     )
-    found = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {TOP})").alias("top"))
-    top = found.first()["top"]
-    return [x["item"] for x in top or []]
+    # Grouped by a constant: a partition without sketches then adds none, which the merge can't take.
+    found = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    top = found.select(F.expr(f"approx_top_k_estimate(sketch, {TOP})").alias("top")).first()
+    return [x["item"] for x in top["top"]] if top else []
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
