@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .store import stage
 
 #: Candidates in a block, queries that are broadcast at a time, rows of greatest length that give the first thresholds.
-BLOCK, QUERIES, SEED = 2048, 20_000, 4096
+BLOCK, QUERIES, SEED = 1024, 8192, 1024
 SLACK = 1e-6
 
 
