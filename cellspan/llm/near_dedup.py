@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import checked_broadcast, small, stage
@@ -82,17 +82,35 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.ndarray:
-    """Which pairs of signatures keep a posterior P(similarity >= threshold) of at least miss after every batch, prior uniform."""
+def least_matches(n: int, threshold: float, miss: float, chance: float = 0.0) -> int:
+    """The fewest matches among n rows that leave a posterior P(similarity >= threshold) of miss; prior uniform.  chance: that unlike rows match."""
     grid = (np.arange(1000) + 0.5) / 1000
-    least = np.full(K + 1, -1)  # least matches after n rows
-    for n in range(BATCH, K + 1, BATCH):
-        for m in range(n + 1):
-            log = m * np.log(grid) + (n - m) * np.log1p(-grid)
-            w = np.exp(log - log.max())
-            if w[grid >= threshold].sum() >= miss * w.sum():
-                least[n] = m
-                break
+    match = grid + (1 - grid) * chance
+    for m in range(n + 1):
+        log = m * np.log(match) + (n - m) * np.log1p(-match)
+        w = np.exp(log - log.max())
+        if w[grid >= threshold].sum() >= miss * w.sum():
+            return m
+    return n
+
+
+def short_codes(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of each signature row, 32 rows to a long: [text, K / 32]."""
+    two = ((signatures * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64).reshape(-1, K // 32, 32)
+    return np.bitwise_or.reduce(two << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2).view(np.int64)
+
+
+def may_match(a: str, b: str, threshold: float, percent: int, miss: float) -> Column:
+    """The first, native batch of the verification: sizes and short codes of two sides with columns {a}n, {a}code and so on."""
+    x = [f"({a}code[{i}] ^ {b}code[{i}])" for i in range(K // 32)]
+    unlike = " + ".join(f"bit_count(({v} | shiftrightunsigned({v}, 1)) & 6148914691236517205L)" for v in x)
+    most = K - least_matches(K, threshold, miss, 0.25)
+    return F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {unlike} <= {most}")
+
+
+def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.ndarray:
+    """Which pairs of signatures keep a posterior P(similarity >= threshold) of at least miss after every batch."""
+    least = {n: least_matches(n, threshold, miss) for n in range(BATCH, K + 1, BATCH)}
     alive, matches = np.arange(len(a)), np.zeros(len(a), int)
     for n in range(BATCH, K + 1, BATCH):
         matches = matches + (a[alive, n - BATCH : n] == b[alive, n - BATCH : n]).sum(axis=1)
@@ -146,7 +164,14 @@ def near_duplicates(
     rows = stage(source.mapInPandas(sketch, "doc_id bigint, set_id bigint, n_shingles bigint, sig binary"), "near-rows")
     # Classes of equal sets; the partial aggregation takes up groups of copies on the map side.
     classes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = stage(classes, "near-classes")
+
+    def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                p["code"] = list(short_codes(np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(len(p), K)))
+                yield p
+
+    classes = stage(classes.mapInPandas(coded, "set_id bigint, low bigint, n bigint, sig binary, code array<bigint>"), "near-classes")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -171,9 +196,12 @@ def near_duplicates(
     # All candidates between components: one of the two is outside the component of the pivot.
     named = bands.join(merged.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "set_id", F.coalesce("component", "set_id").alias("component"))
     pivot_of = pivots.join(merged.withColumnRenamed("node", "pivot"), "pivot", "left").select("bucket", F.coalesce("component", "pivot").alias("main"))
-    named = stage(named.join(pivot_of, "bucket"), "near-named")
-    outside = named.where("component <> main").select("bucket", F.col("set_id").alias("x"), F.col("component").alias("cx"))
-    rest = outside.join(named, "bucket").where("cx <> component").select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b"))
+    named = named.join(pivot_of, "bucket").join(classes.select("set_id", "n", "code"), "set_id")
+    named = stage(named, "near-named")
+    outside = named.where("component <> main").select("bucket", F.col("set_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("xn"), F.col("code").alias("xcode"))
+    inside = named.select(F.col("bucket").alias("in"), F.col("set_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("yn"), F.col("code").alias("ycode"))
+    other = (F.col("bucket") == F.col("in")) & (F.col("cx") != F.col("cy")) & may_match("x", "y", threshold, percent, miss)
+    rest = outside.join(inside, other).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     rest = stage(rest.distinct().join(first, ["a", "b"], "left_anti"), "near-rest")
     if not rest.isEmpty():
         more = confirm(rest, classes, rows, source, threshold, percent, miss, width)
