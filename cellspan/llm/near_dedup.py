@@ -2,9 +2,11 @@
 
 1.  Documents with equal word sequences form a class; one row per class goes on.
 2.  Signatures are cut into bands.  Classes that share a band value are candidates.  To avoid all pairs of a
-    bucket, every member is first compared with one pivot, the member that shares the most band values overall
-    (the text that a group was copied from).  Afterwards only pairs in one bucket that are in different
-    components are compared, so that no candidate between components is left out.
+    bucket, every member is first compared with a pivot, the member that shares the most band values overall (the
+    text that a group was copied from), and with the likest of a few members beside it in a hashed order.  Rounds
+    of that, for members that are still outside the pivot's component, join a group at a cost linear in its size.
+    Afterwards all pairs in one bucket that are still in different components are compared, so that no candidate
+    between components is left out.
 3.  A pair's signatures are compared batch by batch; once the posterior probability that its similarity reaches
     the threshold is below ``miss``, it is dropped.  Survivors are confirmed on full shingle sets.
 4.  Components by min-label propagation with shortcuts, one row per class.
@@ -20,15 +22,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import checked_broadcast, small, stage
+from .store import checked_broadcast, stage
 
 BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 #: Signature rows that are compared at a time.
 BATCH = 16
+#: Neighbours that a class is compared with in a bucket and round; rounds at most before all remaining pairs.
+NEAR, TURNS = 3, 6
+#: Rows of the longer signature, two bits each, that texts of the last step are compared by first.
+LONG = 1024
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.RandomState(20240607)
+_A_LONG = (_RNG.randint(0, 1 << 31, LONG).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_B_LONG = _RNG.randint(0, 1 << 31, LONG).astype(np.uint32)[:, None]
 _A = (_RNG.randint(0, 1 << 31, K).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _RNG.randint(0, 1 << 31, K).astype(np.uint32)[:, None]
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -73,15 +81,20 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """K minima of linear permutations of the shingles' upper 32 bits; long sets in blocks."""
+def signature(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """Minima of linear permutations of the shingles' upper 32 bits; long sets in blocks."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(K, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 4096):
-        out = np.minimum(out, (x[at : at + 4096] * _A + _B).min(axis=1))
+    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 2048):
+        out = np.minimum(out, (x[at : at + 2048] * a + b).min(axis=1))
     return out
 
 
+def set_number(shingles: np.ndarray) -> int:
+    """The id of a set of shingles."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def least_matches(n: int, threshold: float, miss: float, chance: float = 0.0) -> int:
     """The fewest matches among n rows that leave a posterior P(similarity >= threshold) of miss; prior uniform.  chance: that unlike rows match."""
     grid = (np.arange(1000) + 0.5) / 1000
@@ -95,17 +108,43 @@ def least_matches(n: int, threshold: float, miss: float, chance: float = 0.0) ->
 
 
 def short_codes(signatures: np.ndarray) -> np.ndarray:
-    """Two bits of each signature row, 32 rows to a long: [text, K / 32]."""
-    two = ((signatures * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64).reshape(-1, K // 32, 32)
+    """Two bits of each signature row, 32 rows to a long: [text, rows / 32]."""
+    two = ((signatures * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64).reshape(-1, signatures.shape[-1] // 32, 32)
     return np.bitwise_or.reduce(two << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2).view(np.int64)
 
 
 def may_match(a: str, b: str, threshold: float, percent: int, miss: float) -> Column:
     """The first, native batch of the verification: sizes and short codes of two sides with columns {a}n, {a}code and so on."""
-    x = [f"({a}code[{i}] ^ {b}code[{i}])" for i in range(K // 32)]
-    unlike = " + ".join(f"bit_count(({v} | shiftrightunsigned({v}, 1)) & 6148914691236517205L)" for v in x)
     most = K - least_matches(K, threshold, miss, 0.25)
-    return F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {unlike} <= {most}")
+    return F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {unlike(a, b)} <= {most}")
+
+
+def unlike(a: str, b: str, name: str = "code", rows: int = K) -> str:
+    """Rows in which two codes differ."""
+    x = [f"({a}{name}[{i}] ^ {b}{name}[{i}])" for i in range(rows // 32)]
+    return "(" + " + ".join(f"bit_count(({v} | shiftrightunsigned({v}, 1)) & 6148914691236517205L)" for v in x) + ")"
+
+
+def beside(named: DataFrame, turn: int, threshold: float, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of a round: for each class outside its buckets' main components, the likest pivot and the likest neighbour.
+
+    Neighbours are the NEAR classes before a class in a bucket, in an order hashed anew each turn; large buckets are
+    ordered in parts.  At most two pairs for each class, whatever the size of a bucket.
+    """
+    salt = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.ceil(F.col("members") / 512))
+    order = Window.partitionBy("bucket", "salt").orderBy(F.xxhash64(F.lit(turn), "set_id"))
+    rows = named.withColumn("salt", salt)
+    rows = rows.select("*", *(F.lag(F.struct("set_id", "component", "n", "code"), k).over(order).alias(f"near{k}") for k in range(1, NEAR + 1)))
+
+    def best(other: str) -> Column:
+        fits = F.expr(f"{other}.component <> component") & may_match(f"{other}.", "", threshold, percent, miss)
+        return F.when(fits, F.struct(F.expr(unlike(f"{other}.", "")).alias("unlike"), F.col(f"{other}.set_id").alias("set_id")))
+
+    near = F.array_min(F.array(*(best(f"near{k}") for k in range(1, NEAR + 1))))
+    found = rows.where("component <> main.component").select("set_id", best("main").alias("pivot"), near.alias("near")).where("pivot is not null or near is not null")
+    found = found.groupBy("set_id").agg(F.min("pivot").alias("pivot"), F.min("near").alias("near"))
+    pairs = [found.where(F.col(c).isNotNull()).select(F.least("set_id", f"{c}.set_id").alias("a"), F.greatest("set_id", f"{c}.set_id").alias("b")) for c in ("pivot", "near")]
+    return stage(pairs[0].union(pairs[1]).distinct(), "near-pairs")
 
 
 def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.ndarray:
@@ -154,10 +193,10 @@ def near_duplicates(
             for at in range(0, len(texts), 500):
                 block, seen = texts[at : at + 500], {}
                 for t, s in zip(block, shingle_sets(block, width), strict=True):
-                    key = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
+                    key = set_number(s)
                     if key not in seen:
                         seen[key] = signature(s).tobytes()
-                    out.append((int.from_bytes(key, "little", signed=True), len(s), seen[key]))
+                    out.append((key, len(s), seen[key]))
             yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "set_id": [x[0] for x in out], "n_shingles": [x[1] for x in out], "sig": [x[2] for x in out]})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -187,22 +226,60 @@ def near_duplicates(
     bands = stage(bands.join(shared, "bucket"), "near-buckets")
     score = bands.groupBy("set_id").agg(F.sum("members").alias("score"))
     best = F.max_by("set_id", F.struct("score", "set_id"))
-    pivots = stage(bands.join(score, "set_id").groupBy("bucket").agg(best.alias("pivot")), "near-pivots")
-    first = bands.join(pivots, "bucket").where("set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b"))
-    first = stage(first.distinct(), "near-pairs")
-    links = confirm(first, classes, rows, source, threshold, percent, miss, width)
-    merged = components(links)
+    pivots = bands.join(score, "set_id").groupBy("bucket").agg(best.alias("pivot"))
+    codes = classes.select("set_id", "n", "code")
+    pivots = stage(pivots.join(codes.withColumnRenamed("set_id", "pivot"), "pivot").withColumnsRenamed({"n": "pn", "code": "pcode"}), "near-pivots")
+    bands = stage(bands.join(codes, "set_id"), "near-members")
+
+    def labelled(merged: DataFrame | None) -> DataFrame:
+        """Members of buckets with their component and their pivot as ``main``."""
+        rows, heads = bands.withColumn("component", F.col("set_id")), pivots.withColumn("pc", F.col("pivot"))
+        if merged is not None:
+            rows = bands.join(merged.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+            heads = pivots.join(merged.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("pc", F.coalesce("component", "pivot")).drop("component")
+        main = F.struct(F.col("pivot").alias("set_id"), F.col("pc").alias("component"), F.col("pn").alias("n"), F.col("pcode").alias("code"))
+        return rows.join(heads.select("bucket", main.alias("main")), "bucket")
+
+    links = tried = merged = None
+    for turn in range(TURNS):
+        named = stage(labelled(merged), "near-named")
+        pairs = beside(named, turn, threshold, percent, miss)
+        if tried is not None:
+            pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        asked = pairs.count()
+        more = confirm(pairs, classes, rows, source, threshold, percent, miss, width)
+        got = more.count()
+        links = more if links is None else links.union(more)
+        if got:
+            merged = components(links)
+        if got * 4 < asked or not asked:  # few of the pairs tried are links: what is left are unlike texts
+            break
+    merged = components(links) if merged is None else merged
+    named = stage(labelled(merged), "near-named")
 
     # All candidates between components: one of the two is outside the component of the pivot.
-    named = bands.join(merged.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "set_id", F.coalesce("component", "set_id").alias("component"))
-    pivot_of = pivots.join(merged.withColumnRenamed("node", "pivot"), "pivot", "left").select("bucket", F.coalesce("component", "pivot").alias("main"))
-    named = named.join(pivot_of, "bucket").join(classes.select("set_id", "n", "code"), "set_id")
-    named = stage(named, "near-named")
-    outside = named.where("component <> main").select("bucket", F.col("set_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("xn"), F.col("code").alias("xcode"))
-    inside = named.select(F.col("bucket").alias("in"), F.col("set_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("yn"), F.col("code").alias("ycode"))
-    other = (F.col("bucket") == F.col("in")) & (F.col("cx") != F.col("cy")) & may_match("x", "y", threshold, percent, miss)
-    rest = outside.join(inside, other).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = stage(rest.distinct().join(first, ["a", "b"], "left_anti"), "near-rest")
+    open_ = stage(named.where("component <> main.component").select("bucket").distinct(), "near-open")
+    named = stage(named.join(open_, "bucket"), "near-named")
+    ids = stage(named.select("set_id").distinct(), "near-asked")
+
+    def lengthened(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            texts = p["text"].tolist()
+            for at in range(0, len(texts), 500):
+                own = shingle_sets(texts[at : at + 500], width)
+                codes = short_codes(np.stack([signature(s, _A_LONG, _B_LONG) for s in own]))
+                yield pd.DataFrame({"set_id": [set_number(s) for s in own], "long": list(codes)})
+
+    long = texts_of(ids, classes, source).mapInPandas(lengthened, "set_id bigint, long array<bigint>").dropDuplicates(["set_id"])
+    named = stage(named.join(long, "set_id"), "near-named")
+    most = LONG - least_matches(LONG, threshold, miss, 0.25)
+    outside = named.where("component <> main.component").select("bucket", *(F.col(c).alias(f"x{c}") for c in ("set_id", "component", "n", "code", "long")))
+    inside = named.select(F.col("bucket").alias("in"), *(F.col(c).alias(f"y{c}") for c in ("set_id", "component", "n", "code", "long")))
+    other = (F.col("bucket") == F.col("in")) & F.expr("xcomponent <> ycomponent") & may_match("x", "y", threshold, percent, miss)
+    other = other & F.expr(f"{unlike('x', 'y', 'long', LONG)} <= {most}")
+    rest = outside.join(inside, other).select(F.least("xset_id", "yset_id").alias("a"), F.greatest("xset_id", "yset_id").alias("b"))
+    rest = stage(rest.distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
     if not rest.isEmpty():
         more = confirm(rest, classes, rows, source, threshold, percent, miss, width)
         if not more.isEmpty():
@@ -218,6 +295,13 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def texts_of(asked: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    """The texts of the first documents of classes (set_id), others of the same ids possibly among them."""
+    first = asked.join(classes, "set_id").select(F.col("low").alias("id")).distinct()
+    first = checked_broadcast(stage(first, "near-asked"))
+    return source.join(first, source["doc_id"].eqNullSafe(first["id"]), "left_semi").select("text")
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, source: DataFrame, threshold: float, percent: int, miss: float, width: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked: Bayesian pruning on signatures, then exact similarity of whole sets."""
 
@@ -234,17 +318,15 @@ def confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, source: DataF
 
     # One text for each class in question, then its set.
     asked = left.select(F.col("a").alias("set_id")).union(left.select("b")).distinct()
-    ids = stage(asked.join(classes, "set_id").select(F.col("low").alias("doc_id")).where("doc_id is not null").distinct(), "near-asked")
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             texts = p["text"].tolist()
             for at in range(0, len(texts), 500):
                 own = shingle_sets(texts[at : at + 500], width)
-                yield pd.DataFrame({"set_id": [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in own], "shingles": [s.tobytes() for s in own]})
+                yield pd.DataFrame({"set_id": [set_number(s) for s in own], "shingles": [s.tobytes() for s in own]})
 
-    texts = source.join(checked_broadcast(ids), "doc_id", "left_semi") if small(ids) else source.join(ids, "doc_id", "left_semi")
-    full = texts.select("text").mapInPandas(sets, "set_id bigint, shingles binary").join(asked, "set_id", "left_semi").dropDuplicates(["set_id"])
+    full = texts_of(asked, classes, source).mapInPandas(sets, "set_id bigint, shingles binary").join(asked, "set_id", "left_semi").dropDuplicates(["set_id"])
     full = stage(full, "near-sets")
 
     def exact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
