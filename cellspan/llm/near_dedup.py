@@ -3,10 +3,10 @@
 1.  Documents with equal word sequences form a class; one row per class goes on.
 2.  Signatures are cut into bands.  Classes that share a band value are candidates.  To avoid all pairs of a
     bucket, every member is first compared with a pivot, the member that shares the most band values overall (the
-    text that a group was copied from), and with the likest of a few members beside it in a hashed order.  Rounds
-    of that, for members that are still outside the pivot's component, join a group at a cost linear in its size.
-    Afterwards all pairs in one bucket that are still in different components are compared, so that no candidate
-    between components is left out.
+    text that a group was copied from).  Afterwards the pairs of a bucket that are still in different components
+    are compared.  Before that, the shingles of the classes in question are counted: one that a single class has
+    is in no intersection, so a class's shared shingles bound its intersections; so do, for a pair, bitmaps of
+    hashed shingles.  The bounds drop no link.
 3.  A pair's signatures are compared batch by batch; once the posterior probability that its similarity reaches
     the threshold is below ``miss``, it is dropped.  Survivors are confirmed on full shingle sets.
 4.  Components by min-label propagation with shortcuts, one row per class.
@@ -28,15 +28,15 @@ BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 #: Signature rows that are compared at a time.
 BATCH = 16
-#: Neighbours that a class is compared with in a bucket and round; rounds at most before all remaining pairs.
-NEAR, TURNS = 3, 6
-#: Rows of the longer signature, two bits each, that texts of the last step are compared by first.
-LONG = 1024
+#: Times that shingles are counted, each time without the classes that the counts before ruled out.
+COUNTS = 3
+#: Members of a bucket from which on it is split.
+SPLIT = 4096
+#: Longs of the bitmap that a class's shingles are hashed into.
+WORDS = 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.RandomState(20240607)
-_A_LONG = (_RNG.randint(0, 1 << 31, LONG).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_B_LONG = _RNG.randint(0, 1 << 31, LONG).astype(np.uint32)[:, None]
 _A = (_RNG.randint(0, 1 << 31, K).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _RNG.randint(0, 1 << 31, K).astype(np.uint32)[:, None]
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -81,12 +81,12 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+def signature(shingles: np.ndarray) -> np.ndarray:
     """Minima of linear permutations of the shingles' upper 32 bits; long sets in blocks."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    out = np.full(K, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
-        out = np.minimum(out, (x[at : at + 2048] * a + b).min(axis=1))
+        out = np.minimum(out, (x[at : at + 2048] * _A + _B).min(axis=1))
     return out
 
 
@@ -119,32 +119,17 @@ def may_match(a: str, b: str, threshold: float, percent: int, miss: float) -> Co
     return F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {unlike(a, b)} <= {most}")
 
 
-def unlike(a: str, b: str, name: str = "code", rows: int = K) -> str:
+def unlike(a: str, b: str) -> str:
     """Rows in which two codes differ."""
-    x = [f"({a}{name}[{i}] ^ {b}{name}[{i}])" for i in range(rows // 32)]
+    x = [f"({a}code[{i}] ^ {b}code[{i}])" for i in range(K // 32)]
     return "(" + " + ".join(f"bit_count(({v} | shiftrightunsigned({v}, 1)) & 6148914691236517205L)" for v in x) + ")"
 
 
-def beside(named: DataFrame, turn: int, threshold: float, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) of a round: for each class outside its buckets' main components, the likest pivot and the likest neighbour.
-
-    Neighbours are the NEAR classes before a class in a bucket, in an order hashed anew each turn; large buckets are
-    ordered in parts.  At most two pairs for each class, whatever the size of a bucket.
-    """
-    salt = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.ceil(F.col("members") / 512))
-    order = Window.partitionBy("bucket", "salt").orderBy(F.xxhash64(F.lit(turn), "set_id"))
-    rows = named.withColumn("salt", salt)
-    rows = rows.select("*", *(F.lag(F.struct("set_id", "component", "n", "code"), k).over(order).alias(f"near{k}") for k in range(1, NEAR + 1)))
-
-    def best(other: str) -> Column:
-        fits = F.expr(f"{other}.component <> component") & may_match(f"{other}.", "", threshold, percent, miss)
-        return F.when(fits, F.struct(F.expr(unlike(f"{other}.", "")).alias("unlike"), F.col(f"{other}.set_id").alias("set_id")))
-
-    near = F.array_min(F.array(*(best(f"near{k}") for k in range(1, NEAR + 1))))
-    found = rows.where("component <> main.component").select("set_id", best("main").alias("pivot"), near.alias("near")).where("pivot is not null or near is not null")
-    found = found.groupBy("set_id").agg(F.min("pivot").alias("pivot"), F.min("near").alias("near"))
-    pairs = [found.where(F.col(c).isNotNull()).select(F.least("set_id", f"{c}.set_id").alias("a"), F.greatest("set_id", f"{c}.set_id").alias("b")) for c in ("pivot", "near")]
-    return stage(pairs[0].union(pairs[1]).distinct(), "near-pairs")
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """The shingles hashed into WORDS longs: a bit that only one of two sets has stands for a shingle that only it has."""
+    bits = np.zeros(WORDS * 64, bool)
+    bits[(shingles % np.uint64(WORDS * 64)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
 
 
 def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.ndarray:
@@ -226,60 +211,33 @@ def near_duplicates(
     bands = stage(bands.join(shared, "bucket"), "near-buckets")
     score = bands.groupBy("set_id").agg(F.sum("members").alias("score"))
     best = F.max_by("set_id", F.struct("score", "set_id"))
-    pivots = bands.join(score, "set_id").groupBy("bucket").agg(best.alias("pivot"))
-    codes = classes.select("set_id", "n", "code")
-    pivots = stage(pivots.join(codes.withColumnRenamed("set_id", "pivot"), "pivot").withColumnsRenamed({"n": "pn", "code": "pcode"}), "near-pivots")
-    bands = stage(bands.join(codes, "set_id"), "near-members")
-
-    def labelled(merged: DataFrame | None) -> DataFrame:
-        """Members of buckets with their component and their pivot as ``main``."""
-        rows, heads = bands.withColumn("component", F.col("set_id")), pivots.withColumn("pc", F.col("pivot"))
-        if merged is not None:
-            rows = bands.join(merged.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-            heads = pivots.join(merged.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("pc", F.coalesce("component", "pivot")).drop("component")
-        main = F.struct(F.col("pivot").alias("set_id"), F.col("pc").alias("component"), F.col("pn").alias("n"), F.col("pcode").alias("code"))
-        return rows.join(heads.select("bucket", main.alias("main")), "bucket")
-
-    links = tried = merged = None
-    for turn in range(TURNS):
-        named = stage(labelled(merged), "near-named")
-        pairs = beside(named, turn, threshold, percent, miss)
-        if tried is not None:
-            pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        asked = pairs.count()
-        more = confirm(pairs, classes, rows, source, threshold, percent, miss, width)
-        got = more.count()
-        links = more if links is None else links.union(more)
-        if got:
-            merged = components(links)
-        if got * 4 < asked or not asked:  # few of the pairs tried are links: what is left are unlike texts
-            break
-    merged = components(links) if merged is None else merged
-    named = stage(labelled(merged), "near-named")
+    pivots = stage(bands.join(score, "set_id").groupBy("bucket").agg(best.alias("pivot")), "near-pivots")
+    first = bands.join(pivots, "bucket").where("set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b"))
+    first = stage(first.distinct(), "near-pairs")
+    links = confirm(first, classes, rows, source, threshold, percent, miss, width)
+    merged = components(links)
 
     # All candidates between components: one of the two is outside the component of the pivot.
-    open_ = stage(named.where("component <> main.component").select("bucket").distinct(), "near-open")
+    named = bands.join(merged.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "members", "set_id", F.coalesce("component", "set_id").alias("component"))
+    heads = pivots.join(merged.withColumnRenamed("node", "pivot"), "pivot", "left").select("bucket", F.coalesce("component", "pivot").alias("main"))
+    named = stage(named.join(heads, "bucket"), "near-named")
+    open_ = stage(named.where("component <> main").select("bucket").distinct(), "near-open")
     named = stage(named.join(open_, "bucket"), "near-named")
-    ids = stage(named.select("set_id").distinct(), "near-asked")
-
-    def lengthened(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            texts = p["text"].tolist()
-            for at in range(0, len(texts), 500):
-                own = shingle_sets(texts[at : at + 500], width)
-                codes = short_codes(np.stack([signature(s, _A_LONG, _B_LONG) for s in own]))
-                yield pd.DataFrame({"set_id": [set_number(s) for s in own], "long": list(codes)})
-
-    long = texts_of(ids, classes, source).mapInPandas(lengthened, "set_id bigint, long array<bigint>").dropDuplicates(["set_id"])
-    named = stage(named.join(long, "set_id"), "near-named")
-    most = LONG - least_matches(LONG, threshold, miss, 0.25)
-    outside = named.where("component <> main.component").select("bucket", *(F.col(c).alias(f"x{c}") for c in ("set_id", "component", "n", "code", "long")))
-    inside = named.select(F.col("bucket").alias("in"), *(F.col(c).alias(f"y{c}") for c in ("set_id", "component", "n", "code", "long")))
-    other = (F.col("bucket") == F.col("in")) & F.expr("xcomponent <> ycomponent") & may_match("x", "y", threshold, percent, miss)
-    other = other & F.expr(f"{unlike('x', 'y', 'long', LONG)} <= {most}")
-    rest = outside.join(inside, other).select(F.least("xset_id", "yset_id").alias("a"), F.greatest("xset_id", "yset_id").alias("b"))
-    rest = stage(rest.distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
+    common = shared_counts(named, classes, source, percent, width)
+    held = F.expr(" + ".join(f"bit_count(bits[{i}])" for i in range(WORDS))).alias("held")
+    common = stage(common.select("set_id", "n", "common", "bits", held), "near-counted")
+    named = stage(named.join(common, "set_id").join(classes.select("set_id", "code"), "set_id"), "near-named")
+    # Large buckets are split on the one side and repeated on the other.
+    used, parts = ["set_id", "component", "n", "common", "code", "held", "bits"], F.ceil(F.col("members") / SPLIT)
+    outside = named.where("component <> main").select("bucket", F.pmod(F.xxhash64("set_id"), parts).alias("part"), *(F.col(c).alias(f"x{c}") for c in used))
+    inside = named.select(F.col("bucket").alias("in"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("of"), "main", *(F.col(c).alias(f"y{c}") for c in used))
+    other = (F.col("bucket") == F.col("in")) & (F.col("part") == F.col("of")) & F.expr("xcomponent <> ycomponent") & F.expr("ycomponent = main or xset_id < yset_id")
+    other = other & F.expr(f"(100 + {percent}) * least(xcommon, ycommon) >= {percent} * (xn + yn)") & may_match("x", "y", threshold, percent, miss)
+    both = " + ".join(f"bit_count(xbits[{i}] & ybits[{i}])" for i in range(WORDS))
+    other = other & F.expr(f"(100 + {percent}) * (least(xn - xheld, yn - yheld) + {both}) >= {percent} * (xn + yn)")
+    tasks = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables, much work: as many tasks as asked for
+    rest = outside.repartition(tasks, "bucket", "part").join(inside.repartition(tasks, "in", "of"), other).select(F.least("xset_id", "yset_id").alias("a"), F.greatest("xset_id", "yset_id").alias("b"))
+    rest = stage(rest.distinct().join(first, ["a", "b"], "left_anti"), "near-rest")
     if not rest.isEmpty():
         more = confirm(rest, classes, rows, source, threshold, percent, miss, width)
         if not more.isEmpty():
@@ -295,6 +253,37 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def shared_counts(named: DataFrame, classes: DataFrame, source: DataFrame, percent: int, width: int) -> DataFrame:
+    """(set_id, n, common, bits) of the classes of named that may still have a link among them.
+
+    common counts the shingles that a second class of these has too: no intersection is larger.  Where it is below
+    percent of n, no link is possible and the class is left out; then the rest is counted again.
+    """
+
+    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            texts = p["text"].tolist()
+            for at in range(0, len(texts), 500):
+                own = shingle_sets(texts[at : at + 500], width)
+                yield pd.DataFrame({"set_id": [set_number(s) for s in own], "shingles": [s.view(np.int64) for s in own], "bits": [bitmap(s) for s in own]})
+
+    ids = stage(named.select("set_id").distinct(), "near-asked")
+    sets = texts_of(ids, classes, source).mapInPandas(listed, "set_id bigint, shingles array<bigint>, bits array<bigint>")
+    sets = stage(sets.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "near-listed")
+    left = ids.count()
+    for _ in range(COUNTS):
+        each = sets.join(ids, "set_id", "left_semi").select("set_id", F.explode("shingles").alias("shingle"))
+        lone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("set_id").alias("set_id")).where("sets = 1")
+        lone = lone.groupBy("set_id").agg(F.count(F.lit(1)).alias("lone"))
+        counted = ids.select("set_id").join(classes.select("set_id", "n"), "set_id").join(lone, "set_id", "left")
+        counted = counted.select("set_id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+        ids = stage(counted.where(f"100 * common >= {percent} * n"), "near-counted")
+        before, left = left, ids.count()
+        if left * 10 >= before * 9:
+            break
+    return ids.join(sets.select("set_id", "bits"), "set_id")
+
+
 def texts_of(asked: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
     """The texts of the first documents of classes (set_id), others of the same ids possibly among them."""
     first = asked.join(classes, "set_id").select(F.col("low").alias("id")).distinct()
