@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspan.operators import geometry, spatial, stats
+from cellspan.plans import analysis
 from cellspan.sources.views import view, with_views
 
 FLAGSHIP = "crop_counts"
@@ -96,6 +97,8 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "z_upsert": (_upsert, "SELECT cell_id, z_center_um, z_extent_um, CASE WHEN z_confidence < 0.3 THEN 1.0e0 ELSE z_confidence END AS z_confidence FROM v_z_attrs"),
 }
 
+ALL |= analysis.ALL
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q for k, (q, _) in ALL.items()}

@@ -6,7 +6,7 @@ import pytest
 from cellspan.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents", "labels")
 
 
 @pytest.fixture(scope="module")
