@@ -1,11 +1,13 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import os
+
 import duckdb
 import pytest
 
 from cellspan.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CELLSPAN_TEST_SF", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents", "labels")
 
 
