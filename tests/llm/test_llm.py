@@ -1,6 +1,7 @@
 """The operators against brute force, the libraries or round trips, with nulls, empty and repeated rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -131,6 +132,22 @@ def test_near_duplicates(spark, odd, empty):
     assert len(rows) == len(ROWS) and {r.component_id for r in rows if r.doc_id in (6, 7)} == {6} and near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_of_an_absent_text(spark):
+    """Copies that are mostly unlike each other, some of which share an edit: the bounds drop no link between them."""
+    rng = random.Random(5)
+    base, docs = [f"w{k}" for k in range(250)], []
+    for i in range(120):
+        words = list(base)
+        for part, size in ((i, rng.randint(0, 30)), (1000 + i // 3, rng.randint(0, 12))):
+            at = (part * 37) % 200
+            words[at : at + size] = [f"x{part}-{k}" for k in range(size)]
+        docs.append((i, " ".join(words)))
+    want = brute_components(docs, 4)
+    assert 1 < len({c for _, c in want.values()}) < len(docs)
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), width=4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
 def test_secrets(spark, odd, empty):
     assert secrets.find_secrets(empty).count() == 0
     spans = {r.doc_id: r.spans for r in secrets.find_secrets(odd).collect()}
