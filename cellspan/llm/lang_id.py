@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import bound_batches, stage
 from .tokenizers import library
 
 #: Code points of the longest piece that counts; longer words are scored in runs of MAX_WORD.
@@ -138,6 +138,7 @@ def train(
     Rows with a null text or label teach nothing.  The sample bounds what is fitted on; nothing else is sampled.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     own = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     langs = sorted(sizes)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import checked_broadcast, stage
+from .store import bound_batches, checked_broadcast, stage
 
 BANDS, ROWS = 32, 5
 K = BANDS * ROWS
@@ -169,6 +169,7 @@ def near_duplicates(
     nothing.  Repeated rows share a component; a null id never names a component that has another id.  Extra columns
     are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     threshold = percent / 100
 
     def sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

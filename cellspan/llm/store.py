@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 #: Most key rows that filter_by_keys() broadcasts (8 bytes each, so some 16 MB); beyond it, both sides shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of an Arrow batch of whole texts, beside Spark's own bounds of 10,000 rows and 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold some BATCH_BYTES, unless the session has a bound of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
