@@ -26,7 +26,7 @@ MAX_PIECE, MAX_WORD = 8, 24
 #: Probability of a character that no piece covers, in every language.
 UNKNOWN = 1e-7
 #: UTF-8 bytes of text that are scored at a time.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 UNDETERMINED = "und"
 _SLOTS = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
