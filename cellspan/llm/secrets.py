@@ -9,8 +9,10 @@ alphabet of its encoding (hex, base32 or base64) is inferred, then
 
 give three p-values under "this run is random", combined by Fisher's method.  Random runs have uniform p-values
 and words have p-values near 0, so within each length class the share of words above a threshold t is estimated
-as 1 - 2 * #(p > 0.5) * (1 - t) / #(p > t); the smallest t that keeps it at or below ``fdr`` is taken.  The
-counts behind it are a histogram of bounded size.
+as 1 - 2 * #(p > 0.5) * (1 - t) / #(p > t).  The threshold is 1 / STEPS, a fixed level of the test, unless the
+estimate exceeds ``fdr`` there by more than ERRORS standard errors; then it is the smallest t up to 0.5 at which it
+does not.  So a class of few runs has the fixed level, and a random run is lost by it with a chance of 1 / STEPS.
+The counts behind it are a histogram of bounded size.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BASE32_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Lower ends of the length classes of the false-discovery control, and steps of its thresholds.
 LENGTHS, STEPS = (20, 24, 32, 48, 96), 100
+#: Standard errors by which an estimate must exceed the false-discovery rate to count as above it.
+ERRORS = 3
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
@@ -115,13 +119,19 @@ def length_class(n: Column) -> Column:
 
 
 def thresholds(tested: DataFrame, fdr: float) -> DataFrame:
-    """(class, t): the smallest threshold on p that keeps the estimated share of non-random runs at fdr or less."""
+    """(class, t) for every class of tested: the smallest threshold on p, 1 / STEPS at least and 0.5 at most, at which
+    the estimated share of non-random runs is not significantly above fdr."""
     hist = tested.groupBy("class", F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).alias("step")).count()
     above = Window.partitionBy("class").orderBy(F.desc("step"))  # STEPS rows a class
-    hist = hist.select("class", "step", F.sum("count").over(above).alias("above"), F.sum(F.when(F.col("step") >= STEPS // 2, F.col("count"))).over(Window.partitionBy("class")).alias("upper"))
+    upper = F.sum(F.when(F.col("step") >= STEPS // 2, F.col("count")).otherwise(0)).over(Window.partitionBy("class"))
+    hist = hist.select("class", "step", F.sum("count").over(above).alias("above"), upper.alias("upper"))
     t = F.col("step") / STEPS
-    kept = hist.where(F.col("upper").isNotNull() & (1 - 2 * F.col("upper") * (1 - t) / F.col("above") <= fdr))
-    return kept.groupBy("class").agg(F.min(F.col("step") / STEPS).alias("t"))
+    # above - 2 * upper * (1 - t) = lower - upper * (1 - 2 * t), lower the runs from t to 0.5: two independent counts.
+    lower = F.col("above") - F.col("upper")
+    error = F.sqrt(lower + F.col("upper") * F.pow(1 - 2 * t, 2))
+    fine = lower - F.col("upper") * (1 - 2 * t) <= fdr * F.col("above") + ERRORS * error
+    fine = fine & (F.col("step") >= 1) & (F.col("step") < STEPS // 2)
+    return hist.groupBy("class").agg((F.coalesce(F.min(F.when(fine, F.col("step"))), F.lit(STEPS // 2)) / STEPS).alias("t"))
 
 
 def find_secrets(docs: DataFrame, fdr: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

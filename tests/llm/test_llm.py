@@ -156,6 +156,23 @@ def test_secrets(spark, odd, empty):
     assert text[9] == '[SECRET]"' and text[1] is None and text[6] == BASE * 3
 
 
+def test_one_random_run_in_each_length_class(spark):
+    rng = random.Random(3)
+    letters = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(48, 58)])) + "+/"
+    words = ["tionationmententstion", "heitkeitlichkeitenverung", "n" * 40, "internationalisation" * 3, "again-and-" * 12]
+    docs = [(i, f"see {w} here") for i, w in enumerate(words * 4)]
+    runs = {100 + n: "".join(rng.choice(letters) for _ in range(n)) for n in secrets.LENGTHS}
+    docs += [(i, f"the value {r} is new") for i, r in runs.items()]
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert {i: [(x.start, x.kind, x.end) for x in s] for i, s in found.items() if s} == {i: [(10, 3, 10 + len(r))] for i, r in runs.items()}
+
+
+def test_thresholds_rise_where_words_are_above_them(spark):
+    rows = [(20, (i + 0.5) / 2000) for i in range(2000)] + [(20, 0.045)] * 500 + [(24, 1e-9)] * 50 + [(32, 0.3)]
+    got = {r["class"]: r.t for r in secrets.thresholds(spark.createDataFrame(rows, "class int, p double"), 0.01).collect()}
+    assert got == {20: 0.05, 24: 0.5, 32: 0.3}
+
+
 def test_html():
     m = html_extract.model()
     body = "<h1>A title of words</h1><p>Some text &amp; more,  of a page.<br>It goes on.<p>And ends here, after a while.</p>"
