@@ -7,7 +7,6 @@ probabilities are fitted by expectation-maximisation (forward-backward counts) o
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 from .store import bound_batches, stage
 from .tokenizers import library
 
-#: Code points of the longest piece that counts; longer words are scored in runs of MAX_WORD.
-MAX_PIECE, MAX_WORD = 8, 24
+#: Code points of words that are looked up at a time, one word at least.
+CHUNK = 100_000
 #: Probability of a character that no piece covers, in every language.
 UNKNOWN = 1e-7
 #: UTF-8 bytes of text that are scored at a time.
@@ -34,12 +33,24 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces by number, found through a table of slots with a hash to verify."""
+    """Pieces by number, in order of their hashes, found through a table of slots; longest in code points.
+
+    A slot holds its piece, -1 for none or -2 for several, which are searched.
+    """
 
     size: int
+    longest: int
     slots: np.ndarray
     hashes: np.ndarray
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces of hashes, -1 for none."""
+        found = self.slots[(h >> np.uint64(11)) % np.uint64(_SLOTS)]
+        crowded = found == -2
+        if crowded.any():
+            found[crowded] = np.minimum(np.searchsorted(self.hashes, h[crowded]), self.size - 1)
+        return np.where((found >= 0) & (self.hashes[found] == h), found, -1)
+
 
 def _roll(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
     h = (h ^ codes.astype(np.uint64)) * _MIX
@@ -48,77 +59,98 @@ def _roll(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 @lru_cache(None)
 def vocabulary(name: str) -> Vocabulary:
-    """The pieces of a SentencePiece file that are plain strings of at most MAX_PIECE code points."""
+    """The pieces of a SentencePiece file that are plain strings."""
     sp = library(name)
-    own = [p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and len(p := sp.id_to_piece(i)) <= MAX_PIECE]
+    own = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
     hashes = np.zeros(len(own), np.uint64)
     for i, p in enumerate(own):
         h = np.zeros(1, np.uint64)
         for c in p:
             h = _roll(h, np.array([ord(c)]))
         hashes[i] = h[0]
+    hashes = np.unique(hashes)
+    assert len(hashes) == len(set(own)) == len(own)
     slots = np.full(_SLOTS, -1, np.int32)
-    at = (hashes >> np.uint64(11)) % np.uint64(_SLOTS)
-    # Of pieces that share a slot the first stays and the others are left out, alike for all languages.
-    slots[at[::-1]] = np.arange(len(own), dtype=np.int32)[::-1]
-    return Vocabulary(len(own), slots, hashes)
+    at, first, counts = np.unique((hashes >> np.uint64(11)) % np.uint64(_SLOTS), return_index=True, return_counts=True)
+    slots[at] = np.where(counts > 1, -2, first)
+    return Vocabulary(len(own), max(map(len, own)), slots, hashes)
 
 
 def lattices(words: list[str], v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices of words, pieces[word, end, length - 1] or -1) for groups of words of one length."""
+    """(indices of words, pieces[word, end, length - 1] or -1) for groups of words of one length, some CHUNK code points each."""
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
-    for n, index in by_length.items():
-        codes = np.frombuffer("".join(words[i] for i in index).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-        pieces = np.full((len(index), n + 1, MAX_PIECE), -1, np.int32)
-        h = np.zeros((len(index), n), np.uint64)
-        for length in range(1, min(MAX_PIECE, n) + 1):
-            h = _roll(h[:, : n - length + 1], codes[:, length - 1 :])
-            found = v.slots[(h >> np.uint64(11)) % np.uint64(_SLOTS)]
-            pieces[:, length:, length - 1] = np.where((found >= 0) & (v.hashes[found] == h), found, -1)
-        yield np.array(index), pieces
-
-
-def forward(pieces: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[word, end, language]; p has a last row for "no such piece".  A lone character counts UNKNOWN at least."""
-    n = pieces.shape[1] - 1
+    for n, same in by_length.items():
+        step = max(1, CHUNK // max(n, 1))
+        for at in range(0, len(same), step):
+            index = same[at : at + step]
+            codes = np.frombuffer("".join(words[i] for i in index).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(index), n)
+            pieces = np.full((len(index), n + 1, v.longest), -1, np.int32)
+            h = np.zeros((len(index), n), np.uint64)
+            for length in range(1, min(v.longest, n) + 1):
+                h = _roll(h[:, : n - length + 1], codes[:, length - 1 :])
+                pieces[:, length:, length - 1] = v.find(h)
+            yield np.array(index), pieces
+
+
+def lengths_at(pieces: np.ndarray) -> list[list[int]]:
+    """For each end, the lengths of two and more of the pieces that some word has there."""
+    out: list[list[int]] = [[] for _ in range(pieces.shape[1])]
+    for j, k in zip(*np.nonzero((pieces[:, :, 1:] >= 0).any(axis=0)), strict=True):
+        out[j].append(int(k) + 2)
+    return out
+
+
+def forward(pieces: np.ndarray, p: np.ndarray, whole: bool = False) -> np.ndarray:
+    """log alpha of the words' ends [word, language], or with whole of all ends [word, end, language].
+
+    p has a last row for "no such piece".  A lone character counts UNKNOWN at least.  The sums that later steps need
+    are scaled by the newest one before the range of a double ends, so words may have any length.
+    """
+    n, reach = pieces.shape[1] - 1, pieces.shape[2]
     alpha = np.zeros((len(pieces), n + 1, p.shape[1]))
     alpha[:, 0] = 1
+    scale = np.zeros((len(pieces), p.shape[1]))
+    logs = np.zeros_like(alpha) if whole else None
+    lengths = lengths_at(pieces)
     for j in range(1, n + 1):
         a = alpha[:, j - 1] * np.maximum(p[pieces[:, j, 0]], UNKNOWN)
-        for length in range(2, min(MAX_PIECE, j) + 1):
-            own = pieces[:, j, length - 1]
-            if (own >= 0).any():
-                a += alpha[:, j - length] * p[own]
+        for length in lengths[j]:
+            a += alpha[:, j - length] * p[pieces[:, j, length - 1]]
         alpha[:, j] = a
-    return alpha
+        if whole:
+            logs[:, j] = np.log(a) + scale
+        if j % reach == 0:
+            alpha[:, max(0, j - reach) : j + 1] /= a[:, None]
+            scale += np.log(a)
+    return logs if whole else np.log(alpha[:, n]) + scale
 
 
 def expected(pieces: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected counts [piece, language] of weighted words, by forward-backward."""
+    """Expected counts [piece, language] of weighted words, by forward-backward.
+
+    Going back, through[word, end] is the probability that a segmentation passes the end; a piece's share of it is
+    its part of the forward sum there.
+    """
     n = pieces.shape[1] - 1
-    alpha, beta = forward(pieces, p), np.zeros((len(pieces), n + 1, p.shape[1]))
-    beta[:, n] = 1
+    alpha, through = forward(pieces, p, whole=True), np.zeros((len(pieces), n + 1, p.shape[1]))
+    through[:, n] = 1
     out = np.zeros_like(p)
-    share = weight / alpha[:, n]
+    lengths = lengths_at(pieces)
     for j in range(n, 0, -1):
-        for length in range(1, min(MAX_PIECE, j) + 1):
+        for length in (1, *lengths[j]):
             own = pieces[:, j, length - 1]
             q = np.maximum(p[own], UNKNOWN) if length == 1 else p[own]
-            q = q * beta[:, j]
-            beta[:, j - length] += q
-            np.add.at(out, own, alpha[:, j - length] * q * share)
+            part = through[:, j] * q * np.exp(alpha[:, j - length] - alpha[:, j])
+            through[:, j - length] += part
+            np.add.at(out, own, part * weight)
     return out
 
 
 def words_of(text: str) -> list[str]:
-    """Words with their mark of a beginning, long ones in runs of MAX_WORD."""
-    out = []
-    for w in text.split():
-        w = "▁" + w
-        out += [w] if len(w) <= MAX_WORD else [w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-    return out
+    """Words with their mark of a beginning."""
+    return ["▁" + w for w in text.split()]
 
 
 @dataclass(frozen=True)
@@ -190,8 +222,7 @@ def score_texts(model: LanguageModel, texts: list[str]) -> np.ndarray:
     codes, distinct = pd.factorize(np.array([w for x in lists for w in x] or [""], dtype=object))
     logs = np.zeros((len(distinct), len(model.langs)))
     for index, pieces in lattices(list(distinct), v):
-        for at in range(0, len(index), 20_000):
-            logs[index[at : at + 20_000]] = np.log(forward(pieces[at : at + 20_000], model.p)[:, -1])
+        logs[index] = forward(pieces, model.p)
     sums = np.vstack([np.zeros(logs.shape[1]), np.cumsum(logs[codes], axis=0)])
     ends = np.cumsum([len(x) for x in lists])
     return sums[ends] - sums[ends - [len(x) for x in lists]]
@@ -244,6 +275,3 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs without those that have no language (null, or no letter); all columns stay as they are."""
     model = train(docs.where(~held_out(F.col(id_col))), text_col=text_col, lang_col=lang_col, id_col=id_col)
     return docs.where(predictor(model)(F.col(text_col))["lang"] != UNDETERMINED)
-
-
-assert math.log(UNKNOWN) * MAX_WORD > -700  # a word's forward sums stay in the range of a double

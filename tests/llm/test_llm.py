@@ -196,3 +196,35 @@ def test_languages(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = lang_id.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+def test_forward_sums_all_segmentations_of_whole_words():
+    """Pieces of any length and of shared slots, words beyond 24 characters, counts as in brute force."""
+    sp, v = library("piece_bpe_32k.model"), lang_id.vocabulary("piece_bpe_32k.model")
+    own = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    number = {}
+    for index, pieces in lang_id.lattices(own, v):
+        number |= {own[i]: int(pieces[k, -1, len(own[i]) - 1]) for k, i in enumerate(index)}
+    assert sorted(number.values()) == list(range(len(own)))
+    rng = np.random.RandomState(4)
+    p = np.vstack([rng.rand(len(own), 2) ** 8, np.zeros((1, 2))])
+    p /= p.sum(axis=0)
+    words = ["▁a", "▁function", "▁something", "▁translationformation", "▁internationalisationsdifferentsomething", "▁é①xq"]
+    logs, counts = np.zeros((len(words), 2)), np.zeros_like(p)
+    for index, pieces in lang_id.lattices(words, v):
+        logs[index] = lang_id.forward(pieces, p)
+        counts += lang_id.expected(pieces, p, np.ones((len(index), 1)))
+    want, wanted = np.zeros_like(logs), np.zeros_like(p)
+    for k, w in enumerate(words):
+        arcs = {(a, b): np.maximum(p[number.get(w[a:b], -1)], lang_id.UNKNOWN if b == a + 1 else 0) for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+        f, g = [np.ones(2)], {len(w): np.ones(2)}
+        for b in range(1, len(w) + 1):
+            f.append(sum(f[a] * arcs[a, b] for a in range(b)))
+        for a in range(len(w) - 1, -1, -1):
+            g[a] = sum(arcs[a, b] * g[b] for b in range(a + 1, len(w) + 1))
+        want[k] = np.log(f[-1])
+        for (a, b), q in arcs.items():
+            wanted[number.get(w[a:b], -1)] += f[a] * q * g[b] / f[-1]
+    assert np.allclose(logs, want) and np.allclose(counts, wanted)
+    long = next(lang_id.lattices(["▁something" * 400], v))[1]
+    assert np.isfinite(lang_id.forward(long, p)).all() and np.isfinite(lang_id.expected(long, p, np.ones((1, 1)))).all()
