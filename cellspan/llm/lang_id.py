@@ -27,6 +27,9 @@ UNKNOWN = 1e-7
 #: UTF-8 bytes of text that are scored at a time.
 BLOCK = 1_000_000
 UNDETERMINED = "und"
+#: keep_identified() rejects a text if more than UNEXPLAINED of its words are likelier by MARGIN nats without a language
+#: than in the text's best one, and the text as a whole by EVIDENCE nats.
+UNEXPLAINED, MARGIN, EVIDENCE = 0.5, 3.0, 100.0
 _SLOTS = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,16 +219,40 @@ def train(
     return LanguageModel(tokenizer, langs, p)
 
 
-def score_texts(model: LanguageModel, texts: list[str]) -> np.ndarray:
-    """log-likelihood [text, language], whole texts."""
+def word_scores(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-likelihood [distinct word, language], distinct word of each word, words before each text and in all)."""
     v, lists = vocabulary(model.tokenizer), [words_of(t) for t in texts]
     codes, distinct = pd.factorize(np.array([w for x in lists for w in x] or [""], dtype=object))
     logs = np.zeros((len(distinct), len(model.langs)))
     for index, pieces in lattices(list(distinct), v):
         logs[index] = forward(pieces, model.p)
-    sums = np.vstack([np.zeros(logs.shape[1]), np.cumsum(logs[codes], axis=0)])
-    ends = np.cumsum([len(x) for x in lists])
-    return sums[ends] - sums[ends - [len(x) for x in lists]]
+    return logs, codes, np.cumsum([0, *(len(x) for x in lists)])
+
+
+def sum_texts(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums [text, language] of values [word, language]."""
+    sums = np.vstack([np.zeros(values.shape[1]), np.cumsum(values, axis=0)])
+    return sums[at[1:]] - sums[at[:-1]]
+
+
+def score_texts(model: LanguageModel, texts: list[str]) -> np.ndarray:
+    """log-likelihood [text, language], whole texts."""
+    logs, codes, at = word_scores(model, texts)
+    return sum_texts(logs[codes], at)
+
+
+def blocks(texts: list[str | None]) -> Iterator[list[int]]:
+    """The numbers of the texts that have a letter, some BLOCK of text at a time."""
+    out, size = [], 0
+    for i, t in enumerate(texts):
+        if t and any(map(str.isalpha, t)):
+            out.append(i)
+            size += len(t)
+            if size >= BLOCK:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
 
 
 def predictor(model: LanguageModel):  # noqa: ANN201
@@ -238,23 +265,49 @@ def predictor(model: LanguageModel):  # noqa: ANN201
         for part in parts:
             texts = part.tolist()
             lang, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
-            todo = [i for i, t in enumerate(texts) if langs and t and any(map(str.isalpha, t))]
-            at = 0
-            while at < len(todo):
-                end, size = at, 0
-                while end < len(todo) and size < BLOCK:
-                    size += len(texts[todo[end]])
-                    end += 1
-                ll = score_texts(sent_model, [texts[i] for i in todo[at:end]])
+            for todo in blocks(texts) if langs else ():
+                ll = score_texts(sent_model, [texts[i] for i in todo])
                 best = ll.argmax(axis=1)
-                lang[todo[at:end]] = np.array(langs, object)[best]
-                score[todo[at:end]] = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
-                at = end
+                lang[todo] = np.array(langs, object)[best]
+                score[todo] = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
             yield pd.DataFrame({"lang": lang, "score": score})
 
     return predict
 
 
+def with_background(model: LanguageModel) -> LanguageModel:
+    """The model with one more language, in which all pieces are alike: text without a language."""
+    even = np.full((len(model.p), 1), 1 / (len(model.p) - 1))
+    even[-1] = 0
+    return LanguageModel(model.tokenizer, [*model.langs, UNDETERMINED], np.hstack([model.p, even]))
+
+
+def explained(model: LanguageModel, texts: list[str]) -> np.ndarray:
+    """Which texts some language explains; model comes from with_background()."""
+    logs, codes, at = word_scores(model, texts)
+    gain = (logs[:, :-1] - logs[:, -1:])[codes]
+    sums, rows = sum_texts(gain, at), np.arange(len(texts))
+    best = sums.argmax(axis=1)
+    odd = sum_texts((gain < -MARGIN).astype(float), at)[rows, best]
+    return (odd <= UNEXPLAINED * np.diff(at)) | (sums[rows, best] >= -EVIDENCE)
+
+
+def identified(model: LanguageModel):  # noqa: ANN201
+    """A pandas function from a text column to whether it has a letter and, if the model knows languages, one explains it."""
+    sent_model = with_background(model)
+
+    @F.pandas_udf("boolean")
+    def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts = part.tolist()
+            out = np.zeros(len(texts), bool)
+            for todo in blocks(texts):
+                out[todo] = explained(sent_model, [texts[i] for i in todo]) if len(sent_model.langs) > 1 else True
+            yield pd.Series(out)
+
+    return keep
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves no remainder by 5; null ids count as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -272,6 +325,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those that have no language (null, or no letter); all columns stay as they are."""
+    """docs without those that have no language; all columns stay as they are.
+
+    Those are texts that are null, have no letter, or that the fitted model rejects: most words are clearly
+    likelier as pieces without a language than in the best language (explained()).  A rejection takes EVIDENCE nats,
+    so short texts, and long words within prose, do not lead to one.  Where no row that is learnt from has a label,
+    there is no model to reject by and all texts with a letter stay.
+    """
     model = train(docs.where(~held_out(F.col(id_col))), text_col=text_col, lang_col=lang_col, id_col=id_col)
-    return docs.where(predictor(model)(F.col(text_col))["lang"] != UNDETERMINED)
+    return docs.where(identified(model)(F.col(text_col)))

@@ -9,7 +9,7 @@ from cellspan.llm.store import new_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go."""
+    """Documents without a language (null, no letter, or rejected by the model) go."""
     return lang_id.keep_identified(docs)
 
 

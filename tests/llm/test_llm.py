@@ -228,3 +228,17 @@ def test_forward_sums_all_segmentations_of_whole_words():
     assert np.allclose(logs, want) and np.allclose(counts, wanted)
     long = next(lang_id.lattices(["▁something" * 400], v))[1]
     assert np.isfinite(lang_id.forward(long, p)).all() and np.isfinite(lang_id.expected(long, p, np.ones((1, 1)))).all()
+
+
+def test_keep_identified(spark):
+    """Without labels all lettered texts stay; with them the model rejects long texts of no language, and nothing else."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    clean = {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    junk = "Привет как дела сегодня хорошая погода " * 10
+    some = docs.where("doc_id < 3").collect()[0].text
+    odd = [(-1, junk, None), (-2, "1234 !!", "en"), (-3, None, "en"), (-4, some + " " + "qzx7" * 2000, None), (-5, "Zyzzyva", None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    assert sorted(r.doc_id for r in lang_id.keep_identified(docs).collect()) == sorted(clean | {-4, -5})
+    for labels in ("cast(null as string)", "if(crc32(cast(doc_id as string)) % 5 = 0, lang, null)"):
+        blind = docs.selectExpr("doc_id", "text", f"{labels} as lang")
+        assert sorted(r.doc_id for r in lang_id.keep_identified(blind).collect()) == sorted(clean | {-1, -4, -5})
