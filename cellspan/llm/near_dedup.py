@@ -169,6 +169,15 @@ def near_duplicates(
     nothing.  Repeated rows share a component; a null id never names a component that has another id.  Extra columns
     are ignored; an empty table gives an empty result.
     """
+    return settled(docs, width, percent, miss, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def settled(docs: DataFrame, width: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates() with text_key and component, a number of the component: null without words, and its own where ids repeat."""
     bound_batches(docs.sparkSession)
     threshold = percent / 100
 
@@ -183,10 +192,10 @@ def near_duplicates(
                     if key not in seen:
                         seen[key] = signature(s).tobytes()
                     out.append((key, len(s), seen[key]))
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "set_id": [x[0] for x in out], "n_shingles": [x[1] for x in out], "sig": [x[2] for x in out]})
+            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "text_key": p["text_key"], "set_id": [x[0] for x in out], "n_shingles": [x[1] for x in out], "sig": [x[2] for x in out]})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stage(source.mapInPandas(sketch, "doc_id bigint, set_id bigint, n_shingles bigint, sig binary"), "near-rows")
+    rows = stage(source.withColumn("text_key", text_key(F.col("text"))).mapInPandas(sketch, "doc_id bigint, text_key bigint, set_id bigint, n_shingles bigint, sig binary"), "near-rows")
     # Classes of equal sets; the partial aggregation takes up groups of copies on the map side.
     classes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
 
@@ -247,11 +256,13 @@ def near_duplicates(
 
     member = classes.select("set_id", "low").join(merged.withColumnRenamed("node", "set_id"), "set_id")
     least = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = stage(member.join(least, "component").select("set_id", "component_id"), "near-components")
-    lone = classes.join(named, "set_id", "left").select("set_id", F.coalesce("component_id", "low").alias("component_id"))
-    out = rows.select("doc_id", "set_id", "n_shingles").join(lone, "set_id", "left")
+    named = stage(member.join(least, "component").select("set_id", "component", "component_id"), "near-components")
+    # A class without a component is one of its own; classes of null ids only have a component without an id.
+    own_id = F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component_id"))
+    lone = classes.join(named, "set_id", "left").select("set_id", own_id.alias("component_id"), F.coalesce("component", "set_id").alias("component"))
+    out = rows.select("doc_id", "text_key", "set_id", "n_shingles").join(lone, "set_id", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "component", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def shared_counts(named: DataFrame, classes: DataFrame, source: DataFrame, percent: int, width: int) -> DataFrame:
@@ -335,15 +346,25 @@ def confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, source: DataF
 def drop_near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, all columns as they are.
 
-    Rows without words stay.  Of repeated rows with the id that stays, one stays.
+    Rows without words stay.  Rows are told apart by id and text, null ids among them.  Of several rows of a component
+    with the id that stays (or all without an id) one stays: that of the smallest text key, any of repeated rows.
     """
-    found = stage(near_duplicates(docs, width, id_col=id_col, text_col=text_col), "near-result")
-    dropped = stage(found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "near-dropped")
-    out = docs.join(checked_broadcast(dropped), id_col, "left_anti")
-    if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    found = stage(settled(docs, width, 80, 1e-6, id_col, text_col).where("n_shingles > 0"), "near-result")
+    ids = ["doc_id", "text_key"]
+    several = found.where("kept").groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.min("text_key").alias("first")).where("rows > 1")
+    several = stage(found.where("kept").join(several.select("component", "first"), "component").select(*ids, "first"), "near-several")
+    dropped = found.where(~F.col("kept")).select(*ids).union(several.where("text_key <> first").select(*ids))
+    dropped = stage(dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "near-dropped")
+
+    def same(keys: DataFrame) -> Column:
+        return docs[id_col].cast("long").eqNullSafe(keys["__id"]) & (text_key(docs[text_col]) == keys["__key"])
+
+    out = docs.join(checked_broadcast(dropped), same(dropped), "left_anti")
+    repeated = several.where("text_key = first").groupBy(*ids).count().where("count > 1")
+    repeated = stage(repeated.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "near-repeated")
+    if repeated.isEmpty():
         return out
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    out = out.withColumn("__n", F.row_number().over(first))
-    return out.where(F.col(id_col).isNull() | (F.col("__n") == 1)).drop("__n")
-
-
+    again = out.join(checked_broadcast(repeated), same(repeated), "left_semi")
+    first = Window.partitionBy(F.col(id_col), text_key(F.col(text_col))).orderBy(F.lit(0))
+    again = again.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return out.join(checked_broadcast(repeated), same(repeated), "left_anti").unionByName(again)

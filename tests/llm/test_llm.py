@@ -242,3 +242,16 @@ def test_keep_identified(spark):
     for labels in ("cast(null as string)", "if(crc32(cast(doc_id as string)) % 5 = 0, lang, null)"):
         blind = docs.selectExpr("doc_id", "text", f"{labels} as lang")
         assert sorted(r.doc_id for r in lang_id.keep_identified(blind).collect()) == sorted(clean | {-1, -4, -5})
+
+
+def test_near_copies_of_null_and_shared_ids_are_dropped_by_row(spark):
+    near, own, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [
+        (1, near, "a"), (5, near + " more", "gone: near copy of 1"), (5, own, "b"),  # one id, a near copy and a clean text
+        (7, other, "c"), (7, "an entirely unlike text of some words", "d"), (8, "", "e"), (8, None, "f"), (8, "  ", "g"),
+        (None, near + " and more", "gone: near copy of 1"), (None, own + " end", "gone: near copy of 5"), (None, "a text without an id that has no copy", "h"),
+        (None, "first " + other[::-1], "i"), (None, "first " + other[::-1] + " end", "i"), (9, "repeated " + own[::-1], "j"), (9, "repeated " + own[::-1], "j"),
+        (10, near[::-1], "k"), (10, near[::-1] + " end", "k"),
+    ]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, note string"))
+    assert kept.columns == ["doc_id", "text", "note"] and sorted(r.note for r in kept.collect()) == list("abcdefghijk")
