@@ -321,7 +321,7 @@ ENDS = [
 ]
 # What an article can hold.
 PARTS = [
-    f"<p>{_LONG}</p>", f"<p>{_MORE} {_LONG}</p>", f"<p>{_SHORT}</p>", f"<p><b>{_SHORT}</b><br>{_LONG}", f"<h2>{_HEAD}</h2><p>{_MORE}</p>", f"<h3>{_SHORT}</h3><p>{_LONG}</p><p>{_MORE}</p>",
+    f"<p>{_LONG}</p>", f"<p>{_MORE} {_LONG}</p>", f"<p>{_SHORT}</p>", f"<p><b>{_SHORT}</b><br>{_LONG}", f"<h2>{_HEAD}</h2><p>{_MORE}</p>", f"<h3>{_SHORT}</h3><p>{_LONG}</p><p>{_MORE}</p>", f"<h3>{_HEAD}</h3><p>{_MORE}</p>", f"<h4>{_HEAD}</h4><p>{_LONG}</p>", f"<div><h3>{_HEAD}</h3><p>{_LONG}</p></div>",
     f"<ul><li>{_SHORT}</li><li>{_LONG}</li></ul>", f"<ol><li>{_HEAD}</li><li>{_SHORT}</li><li>{_HEAD}</li></ol>", f"<blockquote><p>{_LONG}</p></blockquote>", f"<blockquote>{_SHORT}</blockquote><p>{_MORE}</p>", f"<pre>{_LONG}</pre>",
     f"<table><tr><th>{_HEAD}</th><td>{_SHORT}</td></tr><tr><td>12</td><td>{_HEAD}</td></tr></table>", f"<figure><img src=x><figcaption>{_SHORT}</figcaption></figure>", f"<dl><dt>{_HEAD}</dt><dd>{_LONG}</dd></dl>",
     f"<div>{_LONG}</div>", f"<div>{_MORE}<div>{_LONG}</div></div>", f"<div><p>{_LONG}</p><p>{_SHORT}</p></div>", f"{_LONG}<br><br>{_MORE}", f'<p>{_SHORT} <a href="/l">{_HEAD}</a>, {_LONG}</p>', f"<section><h2>{_HEAD}</h2><p>{_LONG}</p></section>",
@@ -331,7 +331,9 @@ HEADS = ["<h1>{}</h1>", "<header><h1>{}</h1><p>By Anna Berg</p></header>", "<h2>
 SHELLS = [
     "<article data-content=1>{}</article>", "<article data-content=1>{}</article>", '<article class="story" data-content=1>{}</article>', "<main><article data-content=1>{}</article></main>", '<main data-content=1><article class="post">{}</article></main>', '<div id="content" data-content=1><div class="article entry">{}</div></div>',
     '<main id="main" role="main" data-content=1>{}</main>', '<div class="page" data-content=1>{}</div>', "<section data-content=1><div>{}</div></section>", "<div data-content=1>{}</div>", "<div><div data-content=1>{}</div></div>",
-    '<table><tr><td data-content=1>{}</td></tr></table>', '<div class="wrapper"><div class="col" data-content=1>{}</div></div>', '<div itemprop="articleBody" class="story body text" data-content=1>{}</div>', "{}",
+    '<table><tr><td data-content=1>{}</td></tr></table>', '<div class="wrapper"><div class="col" data-content=1>{}</div></div>', '<div itemprop="articleBody" class="story body text" data-content=1>{}</div>', "{}", "{}", "{}",
+    "<article data-content=1><div>{}</div></article>", '<article data-content=1><div class="inner"><div>{}</div></div></article>', '<section data-content=1><div class="text">{}</div></section>', "<main data-content=1><section><div>{}</div></section></main>",
+    '<div class="post" data-content=1><div class="entry"><div>{}</div></div></div>',
 ]
 
 
