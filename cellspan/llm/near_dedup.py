@@ -10,6 +10,8 @@
 3.  A pair's signatures are compared batch by batch; once the posterior probability that its similarity reaches
     the threshold is below ``miss``, it is dropped.  Survivors are confirmed on full shingle sets.
 4.  Components by min-label propagation with shortcuts, one row per class.
+
+A class is found by a 128-bit digest of its set; from there on it has a number.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bound_batches, checked_broadcast, stage
+from .store import bound_batches, checked_broadcast, free_names, stage, unstage
 
 BANDS, ROWS = 32, 5
 K = BANDS * ROWS
@@ -30,8 +32,10 @@ K = BANDS * ROWS
 BATCH = 16
 #: Times that shingles are counted, each time without the classes that the counts before ruled out.
 COUNTS = 3
-#: Members of a bucket from which on it is split.
-SPLIT = 4096
+#: Members of a bucket from which on it is split, in as many parts on either side; pairs of one class beyond which they are split.
+SPLIT, HUB = 1024, 8192
+#: A class of more than one in so many rows is frequent.
+FREQUENT = 1024
 #: Longs of the bitmap that a class's shingles are hashed into.
 WORDS = 32
 
@@ -63,7 +67,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     hashed = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in distinct], np.uint64)[codes]
     # h[i]: of the words i to i + width - 1, whatever text they are in; each text takes those that lie within it
     h = np.zeros(len(hashed), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(hashed))):
         h[: len(hashed) - k] = _mix(h[: len(hashed) - k] + hashed[k:] + np.uint64(k + 1))
     out, at = [], 0
     for x in lists:
@@ -90,9 +94,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_number(shingles: np.ndarray) -> int:
-    """The id of a set of shingles."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_digest(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a set of shingles."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def least_matches(n: int, threshold: float, miss: float, chance: float = 0.0) -> int:
@@ -165,8 +169,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    Texts of fewer than ``width`` words are one shingle; null texts and texts without words have none and link with
-    nothing.  Repeated rows share a component; a null id never names a component that has another id.  Extra columns
+    Texts of fewer than ``width`` words are one shingle, long ones are read whole; null texts and texts without words
+    have none and link with nothing.  Repeated rows share a component; a null id never names a component that has another id.  Extra columns
     are ignored; an empty table gives an empty result.
     """
     return settled(docs, width, percent, miss, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
@@ -188,16 +192,17 @@ def settled(docs: DataFrame, width: int, percent: int, miss: float, id_col: str,
             for at in range(0, len(texts), 500):
                 block, seen = texts[at : at + 500], {}
                 for t, s in zip(block, shingle_sets(block, width), strict=True):
-                    key = set_number(s)
+                    key = set_digest(s)
                     if key not in seen:
                         seen[key] = signature(s).tobytes()
                     out.append((key, len(s), seen[key]))
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "text_key": p["text_key"], "set_id": [x[0] for x in out], "n_shingles": [x[1] for x in out], "sig": [x[2] for x in out]})
+            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "text_key": p["text_key"], "digest": [x[0] for x in out], "n_shingles": [x[1] for x in out], "sig": [x[2] for x in out]})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stage(source.withColumn("text_key", text_key(F.col("text"))).mapInPandas(sketch, "doc_id bigint, text_key bigint, set_id bigint, n_shingles bigint, sig binary"), "near-rows")
+    rows = stage(source.withColumn("text_key", text_key(F.col("text"))).mapInPandas(sketch, "doc_id bigint, text_key bigint, digest binary, n_shingles bigint, sig binary"), "near-rows")
     # Classes of equal sets; the partial aggregation takes up groups of copies on the map side.
-    classes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where("n_shingles > 0").groupBy("digest")
+    classes = classes.agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
 
     def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -205,7 +210,8 @@ def settled(docs: DataFrame, width: int, percent: int, miss: float, id_col: str,
                 p["code"] = list(short_codes(np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(len(p), K)))
                 yield p
 
-    classes = stage(classes.mapInPandas(coded, "set_id bigint, low bigint, n bigint, sig binary, code array<bigint>"), "near-classes")
+    classes = classes.mapInPandas(coded, "digest binary, low bigint, n bigint, sig binary, copies bigint, code array<bigint>")
+    classes = stage(classes.withColumn("set_id", F.monotonically_increasing_id()), "near-classes")  # written at once, so numbers never change
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -216,13 +222,13 @@ def settled(docs: DataFrame, width: int, percent: int, miss: float, id_col: str,
                     h = _mix(h + sig[:, :, k] + np.uint64(k + 1))
                 yield pd.DataFrame({"set_id": np.repeat(p["set_id"].to_numpy(), BANDS), "bucket": h.astype(np.int64).ravel()})
 
-    bands = classes.select("set_id", "sig").mapInPandas(cut, "set_id bigint, bucket bigint")
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    bands = stage(bands.join(shared, "bucket"), "near-buckets")
+    every = classes.select("set_id", "sig").mapInPandas(cut, "set_id bigint, bucket bigint")
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    bands = stage(every.join(shared, "bucket"), "near-buckets")
     score = bands.groupBy("set_id").agg(F.sum("members").alias("score"))
     best = F.max_by("set_id", F.struct("score", "set_id"))
     pivots = stage(bands.join(score, "set_id").groupBy("bucket").agg(best.alias("pivot")), "near-pivots")
-    first = bands.join(pivots, "bucket").where("set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b"))
+    first = bands.join(pivots, "bucket").where("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
     first = stage(first.distinct(), "near-pairs")
     links = confirm(first, classes, rows, source, threshold, percent, miss, width)
     merged = components(links)
@@ -237,17 +243,21 @@ def settled(docs: DataFrame, width: int, percent: int, miss: float, id_col: str,
     held = F.expr(" + ".join(f"bit_count(bits[{i}])" for i in range(WORDS))).alias("held")
     common = stage(common.select("set_id", "n", "common", "bits", held), "near-counted")
     named = stage(named.join(common, "set_id").join(classes.select("set_id", "code"), "set_id"), "near-named")
-    # Large buckets are split on the one side and repeated on the other.
+    # Large buckets are split into a grid: a part of the one side meets a part of the other.
     used, parts = ["set_id", "component", "n", "common", "code", "held", "bits"], F.ceil(F.col("members") / SPLIT)
-    outside = named.where("component <> main").select("bucket", F.pmod(F.xxhash64("set_id"), parts).alias("part"), *(F.col(c).alias(f"x{c}") for c in used))
-    inside = named.select(F.col("bucket").alias("in"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("of"), "main", *(F.col(c).alias(f"y{c}") for c in used))
-    other = (F.col("bucket") == F.col("in")) & (F.col("part") == F.col("of")) & F.expr("xcomponent <> ycomponent") & F.expr("ycomponent = main or xset_id < yset_id")
+    part, all_parts = F.pmod(F.xxhash64("set_id"), parts), F.explode(F.sequence(F.lit(0), parts - 1))
+    outside = named.where("component <> main").select("bucket", part.alias("row"), all_parts.alias("column"), *(F.col(c).alias(f"x{c}") for c in used))
+    inside = named.select(F.col("bucket").alias("in"), all_parts.alias("of_row"), part.alias("of_column"), "main", *(F.col(c).alias(f"y{c}") for c in used))
+    cell = (F.col("bucket") == F.col("in")) & (F.col("row") == F.col("of_row")) & (F.col("column") == F.col("of_column"))
+    other = cell & F.expr("xcomponent <> ycomponent") & F.expr("ycomponent = main or xset_id < yset_id")
     other = other & F.expr(f"(100 + {percent}) * least(xcommon, ycommon) >= {percent} * (xn + yn)") & may_match("x", "y", threshold, percent, miss)
     both = " + ".join(f"bit_count(xbits[{i}] & ybits[{i}])" for i in range(WORDS))
     other = other & F.expr(f"(100 + {percent}) * (least(xn - xheld, yn - yheld) + {both}) >= {percent} * (xn + yn)")
     tasks = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables, much work: as many tasks as asked for
-    rest = outside.repartition(tasks, "bucket", "part").join(inside.repartition(tasks, "in", "of"), other).select(F.least("xset_id", "yset_id").alias("a"), F.greatest("xset_id", "yset_id").alias("b"))
-    rest = stage(rest.distinct().join(first, ["a", "b"], "left_anti"), "near-rest")
+    met = outside.repartition(tasks, "bucket", "row", "column").join(inside.repartition(tasks, "in", "of_row", "of_column"), other)
+    unordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    rest = met.select(F.col("xset_id").alias("a"), F.col("yset_id").alias("b")).select(*unordered).distinct()
+    rest = stage(rest.join(first.select(*unordered), ["a", "b"], "left_anti"), "near-rest")
     if not rest.isEmpty():
         more = confirm(rest, classes, rows, source, threshold, percent, miss, width)
         if not more.isEmpty():
@@ -256,13 +266,19 @@ def settled(docs: DataFrame, width: int, percent: int, miss: float, id_col: str,
 
     member = classes.select("set_id", "low").join(merged.withColumnRenamed("node", "set_id"), "set_id")
     least = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = stage(member.join(least, "component").select("set_id", "component", "component_id"), "near-components")
+    grouped = stage(member.join(least, "component").select("set_id", "component", "component_id"), "near-components")
+    unstage(bands, score, pivots, first, heads, open_, named, common, rest, merged)
     # A class without a component is one of its own; classes of null ids only have a component without an id.
     own_id = F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component_id"))
-    lone = classes.join(named, "set_id", "left").select("set_id", own_id.alias("component_id"), F.coalesce("component", "set_id").alias("component"))
-    out = rows.select("doc_id", "text_key", "set_id", "n_shingles").join(lone, "set_id", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "n_shingles", "component", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    lone = classes.join(grouped, "set_id", "left").select("digest", "copies", own_id.alias("component_id"), F.coalesce("component", "set_id").alias("component"))
+    # Rows without words have no class; those of classes of many copies find theirs without a shuffle.
+    slim, total = rows.where("n_shingles > 0").select("doc_id", "text_key", "digest", "n_shingles"), rows.count()
+    many = lone.where(F.col("copies") > total // FREQUENT).drop("copies")  # fewer than FREQUENT rows
+    heavy = slim.join(F.broadcast(many), "digest")
+    light = slim.join(F.broadcast(many.select("digest")), "digest", "left_anti").join(lone.drop("copies"), "digest")
+    wordless = rows.where("n_shingles = 0").select("doc_id", "text_key", "digest", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    out = heavy.unionByName(light).unionByName(wordless)
+    return out.select("doc_id", "text_key", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def shared_counts(named: DataFrame, classes: DataFrame, source: DataFrame, percent: int, width: int) -> DataFrame:
@@ -277,11 +293,11 @@ def shared_counts(named: DataFrame, classes: DataFrame, source: DataFrame, perce
             texts = p["text"].tolist()
             for at in range(0, len(texts), 500):
                 own = shingle_sets(texts[at : at + 500], width)
-                yield pd.DataFrame({"set_id": [set_number(s) for s in own], "shingles": [s.view(np.int64) for s in own], "bits": [bitmap(s) for s in own]})
+                yield pd.DataFrame({"digest": [set_digest(s) for s in own], "shingles": [s.view(np.int64) for s in own], "bits": [bitmap(s) for s in own]})
 
-    ids = stage(named.select("set_id").distinct(), "near-asked")
-    sets = texts_of(ids, classes, source).mapInPandas(listed, "set_id bigint, shingles array<bigint>, bits array<bigint>")
-    sets = stage(sets.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "near-listed")
+    ids = stage(named.select("set_id").distinct().join(classes.select("set_id", "digest"), "set_id"), "near-asked")
+    sets = texts_of(ids, classes, source).mapInPandas(listed, "digest binary, shingles array<bigint>, bits array<bigint>")
+    sets = stage(sets.join(ids, "digest").dropDuplicates(["set_id"]).drop("digest"), "near-listed")
     left = ids.count()
     for _ in range(COUNTS):
         each = sets.join(ids, "set_id", "left_semi").select("set_id", F.explode("shingles").alias("shingle"))
@@ -298,7 +314,7 @@ def shared_counts(named: DataFrame, classes: DataFrame, source: DataFrame, perce
 
 def texts_of(asked: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
     """The texts of the first documents of classes (set_id), others of the same ids possibly among them."""
-    first = asked.join(classes, "set_id").select(F.col("low").alias("id")).distinct()
+    first = asked.select("set_id").join(classes, "set_id").select(F.col("low").alias("id")).distinct()
     first = checked_broadcast(stage(first, "near-asked"))
     return source.join(first, source["doc_id"].eqNullSafe(first["id"]), "left_semi").select("text")
 
@@ -314,7 +330,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, source: DataF
 
     size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")  # else no intersection is large enough
     both = pairs.join(classes.select(F.col("set_id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
-    both = both.join(classes.select(F.col("set_id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b").where(size)
+    both = join_hubs(both, classes.select(F.col("set_id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), hubs_of(pairs)).where(size)
     left = stage(both.select("a", "b", "sa", "sb").mapInPandas(prune, "a bigint, b bigint"), "near-survivors")
 
     # One text for each class in question, then its set.
@@ -325,10 +341,11 @@ def confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, source: DataF
             texts = p["text"].tolist()
             for at in range(0, len(texts), 500):
                 own = shingle_sets(texts[at : at + 500], width)
-                yield pd.DataFrame({"set_id": [set_number(s) for s in own], "shingles": [s.tobytes() for s in own]})
+                yield pd.DataFrame({"digest": [set_digest(s) for s in own], "shingles": [s.tobytes() for s in own]})
 
-    full = texts_of(asked, classes, source).mapInPandas(sets, "set_id bigint, shingles binary").join(asked, "set_id", "left_semi").dropDuplicates(["set_id"])
-    full = stage(full, "near-sets")
+    asked = stage(asked.join(classes.select("set_id", "digest"), "set_id"), "near-confirm")
+    full = texts_of(asked, classes, source).mapInPandas(sets, "digest binary, shingles binary").join(asked, "digest").dropDuplicates(["set_id"])
+    full = stage(full.select("set_id", "shingles"), "near-sets")
 
     def exact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -339,10 +356,25 @@ def confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, source: DataF
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield p.loc[keep, ["a", "b"]]
 
-    both = left.join(full.select(F.col("set_id").alias("a"), F.col("shingles").alias("xa")), "a").join(full.select(F.col("set_id").alias("b"), F.col("shingles").alias("xb")), "b")
+    # A member's set travels with its pair; a pivot's is there once for each of its parts.
+    both = left.join(full.select(F.col("set_id").alias("a"), F.col("shingles").alias("xa")), "a")
+    both = join_hubs(both, full.select(F.col("set_id").alias("b"), F.col("shingles").alias("xb")), hubs_of(left))
     return stage(both.select("a", "b", "xa", "xb").mapInPandas(exact, "a bigint, b bigint"), "near-confirmed")
 
 
+def hubs_of(pairs: DataFrame) -> DataFrame:
+    """(b, parts) of the classes that more than HUB pairs have as their b."""
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")).where("parts > 1")
+    return checked_broadcast(stage(hubs, "near-hubs"))
+
+
+def join_hubs(pairs: DataFrame, values: DataFrame, hubs: DataFrame) -> DataFrame:
+    """pairs joined with values on b; the pairs of a hub go to as many tasks as it has parts."""
+    left = pairs.join(hubs, "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    right = values.join(hubs, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, ["b", "part"]).drop("part")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, all columns as they are.
 
@@ -354,17 +386,18 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id"
     several = found.where("kept").groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.min("text_key").alias("first")).where("rows > 1")
     several = stage(found.where("kept").join(several.select("component", "first"), "component").select(*ids, "first"), "near-several")
     dropped = found.where(~F.col("kept")).select(*ids).union(several.where("text_key <> first").select(*ids))
-    dropped = stage(dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "near-dropped")
+    own_id, own_key, n = free_names(docs, "near_id", "near_key", "n")
+    dropped = stage(dropped.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct(), "near-dropped")
 
     def same(keys: DataFrame) -> Column:
-        return docs[id_col].cast("long").eqNullSafe(keys["__id"]) & (text_key(docs[text_col]) == keys["__key"])
+        return docs[id_col].cast("long").eqNullSafe(keys[own_id]) & (text_key(docs[text_col]) == keys[own_key])
 
     out = docs.join(checked_broadcast(dropped), same(dropped), "left_anti")
     repeated = several.where("text_key = first").groupBy(*ids).count().where("count > 1")
-    repeated = stage(repeated.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "near-repeated")
+    repeated = stage(repeated.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)), "near-repeated")
     if repeated.isEmpty():
         return out
     again = out.join(checked_broadcast(repeated), same(repeated), "left_semi")
     first = Window.partitionBy(F.col(id_col), text_key(F.col(text_col))).orderBy(F.lit(0))
-    again = again.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    again = again.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
     return out.join(checked_broadcast(repeated), same(repeated), "left_anti").unionByName(again)
