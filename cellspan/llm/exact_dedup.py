@@ -3,7 +3,7 @@
 A Misra-Gries frequent-items sketch (``approx_top_k_*``, the weighted variant of Apache DataSketches) finds
 candidate digests in one pass of partial aggregation.  Their exact counts and first rows, at most ``TOP`` of
 them, are then verified and broadcast: rows of frequent texts are settled on the map side.  All other digests
-take one ordinary shuffle of narrow rows.
+take an ordinary shuffle: they are summed up on the map side first, and narrow rows are joined with the sums.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import filter_by_keys, stage
+from .store import filter_by_keys, free_names, stage
 
 #: Candidates asked of the sketch, and counters that it keeps: a digest with more than 3.5 / TRACKED of all rows is found.
 TOP, TRACKED, BRANCHES = 256, 1024, 64
@@ -38,9 +38,9 @@ def frequent(rows: DataFrame, key: str) -> list[int]:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null texts equal empty ones.  Of repeated rows (equal text and id) exactly one is kept.  A null id comes after
-    all others and stays only if its whole group has none.  Extra columns are ignored; an empty table gives an
-    empty result.
+    Null texts equal empty ones; texts of any length are read whole.  Of repeated rows (equal text and id) exactly one
+    is kept.  A null id comes after all others and stays only if its whole group has none.  Extra columns are ignored;
+    an empty table gives an empty result.
     """
     rows = stage(
         docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
@@ -58,30 +58,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("key", "text_sha256", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.rid").alias("keep_rid"))
     )
     verified = stage(verified, "exact-heavy")  # fewer than 2 * TRACKED rows, as each holds more than that share
-    by_text = Window.partitionBy("text_sha256")
-    ordered = by_text.orderBy(F.col("doc_id").isNull(), "doc_id", "rid")
     heavy = rows.join(F.broadcast(verified), ["key", "text_sha256"])
-    rest = rows.join(F.broadcast(verified), ["key", "text_sha256"], "left_anti").select(
-        "*",
-        F.count(F.lit(1)).over(by_text).alias("group_size"),
-        F.first("doc_id").over(ordered).alias("keep_id"),
-        F.first("rid").over(ordered).alias("keep_rid"),
-    )
+    light = rows.join(F.broadcast(verified), ["key", "text_sha256"], "left_anti")
+    groups = light.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
+    rest = light.join(groups, "text_sha256").select("*", F.col("first.doc_id").alias("keep_id"), F.col("first.rid").alias("keep_rid"))
     out = ["doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256"]
     return heavy.select(*out).unionByName(rest.select(*out))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() does not keep, with all their columns."""
+    """docs without the rows that exact_groups() does not keep, with all their columns, whatever their names.
+
+    Where ids name one row each, the ids of what goes are enough.  Else rows are told apart by id and text, null ids
+    among them, and of repeated rows any one stays.
+    """
     groups = stage(exact_groups(docs, id_col, text_col), "exact-groups")
     dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
     kept = groups.where("kept").select(F.col("doc_id").alias(id_col))
     clash = dropped.join(kept, id_col, "left_semi")
     if clash.isEmpty() and dropped.where(F.col(id_col).isNull()).isEmpty():
         return filter_by_keys(docs, dropped, id_col, "left_anti")
-    # Ids that do not name one row: settle by id and text, and one row of each.
-    pairs = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).withColumn("__id", F.col(id_col))
-    first = Window.partitionBy("__id", "__sha").orderBy("__id")
-    marked = marked.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return marked.join(pairs.distinct(), F.expr("true") & marked["__id"].eqNullSafe(pairs["__id"]) & (marked["__sha"] == pairs["__sha"]), "left_semi").drop("__id", "__sha", "__n")
+    own_id, own_sha, n = free_names(docs, "kept_id", "kept_sha", "n")
+    pairs = groups.where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha)).distinct()
+    sha = F.sha2(normalised(docs[text_col]), 256)
+    found = docs.join(pairs, docs[id_col].eqNullSafe(pairs[own_id]) & (sha == pairs[own_sha]))
+    first = Window.partitionBy(own_id, own_sha).orderBy(own_id)
+    return found.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*docs.columns)
