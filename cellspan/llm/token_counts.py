@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path, small, stage
+from .store import bound_batches, new_path, small, stage, unstage
 from .tokenizers import encode, version
 
 #: Rows (of id and digest, some 100 bytes) of repeated contents that are broadcast to skip them; beyond it the texts shuffle.
@@ -34,10 +34,11 @@ def count_tokens(
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
     cache_path: the stored counts, shared by runs; a new one for this call if None.  Null texts count as empty.
-    Repeated rows and null ids keep rows of their own; extra columns are ignored; an empty table gives an empty
-    result and leaves the cache as it is.
+    Texts of any length are counted whole.  Repeated rows and null ids keep rows of their own, also where the cache has
+    a digest twice; extra columns are ignored; an empty table gives an empty result and leaves the cache as it is.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     cache_path = cache_path or new_path(spark, "token-cache")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
@@ -62,5 +63,8 @@ def count_tokens(
     fresh = todo.select("digest", "text").mapInPandas(counts, "digest binary, n_tokens bigint")
     fresh = fresh.dropDuplicates(["digest"]).select("digest", F.lit(version(tokenizer)).alias("tokenizer"), "n_tokens")
     fresh.write.mode("append").parquet(cache_path)
-    known = read_cache(spark, cache_path).where(F.col("tokenizer") == version(tokenizer)).select("digest", "n_tokens")
-    return slim.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Runs that share a cache, or one that is tried again, may have appended a digest twice.
+    known = read_cache(spark, cache_path).where(F.col("tokenizer") == version(tokenizer)).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    unstage(misses, settled)
+    counted = slim.join(known, "digest")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
