@@ -166,16 +166,18 @@ class LanguageModel:
 
 
 def train(
-    docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", train_docs: int = 1000, rounds: int = 2, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"
-) -> LanguageModel:
+    docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", train_docs: int = 1000, rounds: int = 2, max_langs: int = 256,
+    text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
+) -> LanguageModel:
     """Fit on a sample of some ``train_docs`` labelled documents of each language, chosen by a hash of the id.
 
-    Rows with a null text or label teach nothing.  The sample bounds what is fitted on; nothing else is sampled.
+    Rows with a null text or label teach nothing, nor do labels beyond the ``max_langs`` most frequent (ties to the
+    first in order).  Both bound what is fitted on; nothing else is sampled.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     own = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
     v = vocabulary(tokenizer)
     if not langs:
@@ -316,8 +318,9 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit: object) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
-    Learns from rows that are not held out.  Repeated rows and null ids keep rows of their own; extra columns are
-    ignored; an empty table gives an empty result; without any label all is ``und``.
+    Learns from rows that are not held out.  Texts of any length are scored whole; of equally likely languages the
+    first in order is named.  Repeated rows and null ids keep rows of their own; extra columns are ignored; an empty
+    table gives an empty result; without any label all is ``und``.
     """
     model = train(docs.where(~held_out(F.col(id_col))), text_col=text_col, lang_col=lang_col, id_col=id_col, **fit)
     out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), predictor(model)(F.col(text_col)).alias("found"))

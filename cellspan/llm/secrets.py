@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import checked_broadcast, stage
+from .store import checked_broadcast, free_names, stage
 
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -138,8 +138,8 @@ def find_secrets(docs: DataFrame, fdr: float = 0.01, id_col: str = "doc_id", tex
     """One row per row of docs: doc_id, text_key, spans as an array of (start, kind, end), kind an index of KINDS.
 
     Offsets count code points, the end is exclusive.  Base spans are always there; a random run is added where it
-    overlaps no base span.  Null texts count as empty and have no spans; repeated rows and null ids keep rows of their
-    own; extra columns are ignored; an empty table gives an empty result.
+    overlaps no base span.  Texts of any length are read whole; null ones count as empty and have no spans; repeated
+    rows and null ids keep rows of their own; extra columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     hits = F.concat(_matches(text, 0, ASSIGN, 2), _matches(text, 1, ACCESS), _matches(text, 2, HEX), _matches(text, 3, RUN))
@@ -185,12 +185,16 @@ def span_text(spans: Column) -> Column:
 
 
 def redact_secrets(docs: DataFrame, fdr: float = 0.01, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by ``mark`` and all rows kept; n_chars, where there, follows the text."""
+    """docs with every found span replaced by ``mark`` and all rows kept; n_chars, where there, follows the text.
+
+    Rows are told apart by id and text, null ids among them; columns may have any names.
+    """
     spans = find_secrets(docs, fdr, id_col, text_col).where(F.size("spans") > 0)
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
+    own_id, own_key, own = free_names(docs, "span_id", "span_key", "spans")
+    spans = spans.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("spans").alias(own))
     spans = checked_broadcast(stage(spans, "secret-redact"), 100_000)
     text = F.col(text_col)
-    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__key")), "left")
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans[own_id]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans[own_key]), "left")
     # Reach: the furthest end of the spans so far, so that overlapping spans give one mark.
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -202,8 +206,8 @@ def redact_secrets(docs: DataFrame, fdr: float = 0.01, id_col: str = "doc_id", t
     def done(a: Column) -> Column:
         return F.concat(F.array_join(a["parts"], ""), F.substr(text, (a["at"] + 1).cast("int"), F.length(text)))
 
-    new = F.when(F.col("__spans").isNull(), text).otherwise(F.aggregate("__spans", zero, take, done))
+    new = F.when(F.col(own).isNull(), text).otherwise(F.aggregate(own, zero, take, done))
     change = {text_col: new}
     if "n_chars" in docs.columns:
-        change["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
+        change["n_chars"] = F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
     return joined.withColumns(change).select(*docs.columns)

@@ -74,7 +74,7 @@ def cut_points(sizes: list[int], n_shards: int) -> list[int]:
 def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, size, text_crc32, law, shard, slot, grown_shard.
 
-    A null text counts as empty (size 8) and shares the group of empty texts; a null id is kept and takes the last
+    Texts of any length count whole.  A null text counts as empty (size 8) and shares the group of empty texts; a null id is kept and takes the last
     slots of its atom; repeated rows are rows of their own and share a shard; extra columns are ignored; an empty
     table gives an empty result.  ``grown_shard`` is null, as it belongs to another law.
     """

@@ -5,11 +5,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import floor
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cellspan.llm import exact_dedup, html_extract, lang_id, near_dedup, packing, secrets, sharding, sp_wfst, token_counts, topk
 from cellspan.llm.tokenizers import library
@@ -255,3 +257,129 @@ def test_near_copies_of_null_and_shared_ids_are_dropped_by_row(spark):
     ]
     kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, note string"))
     assert kept.columns == ["doc_id", "text", "note"] and sorted(r.note for r in kept.collect()) == list("abcdefghijk")
+
+
+def test_top_k_of_wide_and_repeated_rows(spark):
+    """Against brute force in Python's integers: huge and tiny components, repeated ids and vectors, clashing names, no rows."""
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([0.1, -0.1, -1e-20, 2.5, 3e38, -3e38, 7e6]) * rng.random() for _ in range(3)], i) for i in range(40)]
+    rows += [(50, [1.0, 2.0, 3.0], 1), (50, [1.0, 2.0, 3.0], 2), (50, [-1.0, 0.5, 0.0], 3), (100, [1e300, 0.0, 0.0], 4), (None, [1.0, 1.0, 1.0], 5), (150, [], 6)]
+    whole = [(i, [floor(256 * v) for v in x]) for i, x, _ in rows if i is not None and x and max(map(abs, x)) < 1e90]
+    want = Counter()
+    for i, x in {(i, tuple(x)) for i, x in whole if i % 50 == 0}:
+        scores = sorted((-max(min(sum(a * b for a, b in zip(x, y)), topk.HIGH), topk.LOW), j) for j, y in whole if j != i)
+        want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:5]))
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank int")
+    assert Counter(map(tuple, topk.top_k(table).collect())) == want
+    assert topk.top_k(table.limit(0)).collect() == []
+
+
+def test_pruning_loses_no_row():
+    """Candidates in several blocks, thresholds known: the k best stay."""
+    rng = np.random.RandomState(1)
+    x = np.floor(rng.randn(5000, 16) * rng.rand(5000, 1) * 500)
+    x = x[np.argsort(-np.linalg.norm(x, axis=1))]
+    q, rotation = x[:40], np.linalg.svd(x.T @ x)[0]
+    i, ids, score = topk.best_rows(q, np.arange(40), x, np.arange(5000), rotation, np.full(40, -np.inf), 5)
+    for k in range(40):
+        s = (x.astype(int) @ q[k].astype(int)).tolist()
+        assert list(zip(score[i == k], ids[i == k])) == [(a, b) for a, b in sorted(((v, j) for j, v in enumerate(s) if j != k), key=lambda t: (-t[0], t[1]))[:5]]
+
+
+def test_token_cache_with_repeated_digests(spark, odd, tmp_path):
+    cache = f"file://{tmp_path}/twice"
+    first = sorted((r.doc_id or 0, r.n_tokens) for r in token_counts.count_tokens(odd, cache_path=cache).collect())
+    stored = token_counts.read_cache(spark, cache)
+    spark.createDataFrame(stored.collect(), stored.schema).write.mode("append").parquet(cache)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts.count_tokens(odd, cache_path=cache).collect()) == first
+
+
+def clashing(spark):
+    """Rows whose other columns have names that operators might use inside."""
+    names = ["__id", "__sha", "__n", "__key", "__spans", "spans", "span_id", "span_key", "kept_id", "kept_sha", "n", "rid", "key", "digest", "set_id", "text_key", "text_sha256", "kept", "start", "end", "lang"]
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in names)
+    texts = [(1, "a b c"), (2, "a  b c"), (2, "other"), (3, 'secret = "abcdefABCDEF123456"'), (None, "a b c"), (4, None), (5, BASE * 3), (6, BASE * 3 + "more")]
+    return spark.createDataFrame([(i, t, *(f"{c}{k}" for c in names)) for k, (i, t) in enumerate(texts)], schema)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = clashing(spark)
+    for function, gone in ((exact_dedup.drop_copies, 2), (near_dedup.drop_near_duplicates, 3), (secrets.redact_secrets, 0), (lang_id.keep_identified, 1)):
+        got = function(docs)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert len(rows) == docs.count() - gone, function
+        assert all(r["__n"][3:] == r["spans"][5:] == r["end"][3:] for r in rows)
+    for function in (sharding.shard_documents, packing.pack_documents, secrets.find_secrets, token_counts.count_tokens, sp_wfst.encode_digest, near_dedup.near_duplicates, lang_id.identify, exact_dedup.exact_groups):
+        assert function(docs).count() >= docs.count()
+
+
+def test_pieces_of_a_table(spark, odd, empty):
+    """Digests and ids of whole rows against the library, and back."""
+    sp = library("piece_bpe_32k.model")
+    assert sp_wfst.encode_digest(empty).count() == sp_wfst.encode_documents(empty).count() == 0
+    want = Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes()), True) for i, t, *_ in ROWS for x in [sp.encode(t or "")])
+    assert Counter(map(tuple, sp_wfst.encode_digest(odd).collect())) == want
+    back = sp_wfst.decode_ids(sp_wfst.encode_documents(odd).withColumn("decoded", F.lit(1))).collect()
+    assert len(back) == len(ROWS) and all(r.decoded == r.text and list(r.ids) == sp.encode(r.text) for r in back)
+    assert sp_wfst.decode_ids(spark.createDataFrame([(None,), ([],)], "ids array<int>")).collect()[0].decoded is None
+
+
+def test_normaliser_is_read_from_the_file():
+    field = lambda k, v: bytes([k << 3 | 2, len(v)]) + v
+    flag = lambda k, v: bytes([k << 3, v])
+    n = sp_wfst.Normaliser.of(field(1, b"x") + field(3, field(1, b"identity") + flag(3, 0) + flag(4, 1)))
+    assert n("  a  b ") == "a▁b" and sp_wfst.Normaliser.of(field(3, flag(4, 0)))(" a") == "▁▁a"
+    for refused in (field(2, b"table"), flag(5, 0)):
+        with pytest.raises(ValueError):
+            sp_wfst.Normaliser.of(field(3, refused))
+
+
+LEAD = "The first results came in after a long winter, and they were better than anyone at the station had hoped. Nobody slept."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<html><body>{LEAD}<p>{LEAD}</body></html>", [LEAD, LEAD]),
+        (f'<body><nav><a href="/">Home</a></nav><div>{LEAD}<div>{LEAD}</div></div></body>', [LEAD, LEAD]),
+        (f"<article><h1>A river</h1><p>{LEAD}</p><h2>Sources</h2><ul><li><a href=1>One source</a></li><li><a href=2>Another of them</a></li></ul></article>", ["A river", LEAD, "Sources", "One source", "Another of them"]),
+        (f"<article><p>{LEAD}</p><aside><p>Read also: <a href=x>that</a></p></aside><p>{LEAD}</p></article>", [LEAD, LEAD]),
+        (f"<article><p>{LEAD}</p></article><section class=reader-comments><h3>Say</h3><p>{LEAD}</p></section>", [LEAD]),
+        (f"<article><h1>A play</h1>{'<p>Never mind.</p>' * 60}<p>{LEAD}</p></article><footer>All rights reserved.</footer>", ["A play", *["Never mind."] * 60, LEAD]),
+        (f"<p>{LEAD}", [LEAD]),
+        ('<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav><footer>&copy; 2020</footer>', []),
+    ],
+)
+def test_main_text_of_odd_pages(page, want):
+    assert html_extract.main_text(page, html_extract.model()) == "\n\n".join(want)
+
+
+def test_main_text_of_layouts_that_were_not_learnt():
+    """Words of main texts found and kept clean on layouts, class names and texts that the training pages don't have."""
+    rng, found, right, all_ = random.Random(11), 0, 0, 0
+    say = lambda n: " ".join(rng.choice(["Ships", "came", "late", "but", "nobody", "minded,", "as", "bread", "was", "cheap", "again."]) for _ in range(n))
+    tops = ['<div class="masthead"><a href="/">Globe</a> <a href="/w">Weather</a></div>', '<header role="banner"><nav class="primary"><ul><li><a href="/a">Arts</a><li><a href="/b">Books</a></ul></nav></header>', "<center><a href=/>Index</a> - <a href=/n>Next</a></center>"]
+    sides = ['<div class="sidebar-right widget"><h4>{}</h4><ul><li><a href="/x">{}</a></li></ul></div>', '<aside id="secondary"><h3>{}</h3><p>{}</p></aside>', '<div class="ad-slot ad"><p>{} {}</p></div>', '<form id="signup-form"><p>{} {}</p><input></form>']
+    ends = ['<div id="comments-area" class="comments"><ol><li class="comment"><p>{}</p></li></ol></div>', '<footer id="colophon"><p>{}</p></footer>', '<section class="user-comments"><p>{}</p></section>']
+    shells = ['<div class="hentry post-12"><h1>{0}</h1>{1}</div>', '<main><h1>{0}</h1>{1}</main>', '<article class="single"><header><h1>{0}</h1></header><div class="prose">{1}</div></article>', '<div id="body-copy"><h2>{0}</h2>{1}</div>', "<section id=text><h1>{0}</h1><div>{1}</div></section>"]
+    for i in range(200):
+        words = lambda t: Counter(re.findall(r"\w+", t))
+        head, body = say(4), [say(rng.randint(8, 120)) for _ in range(rng.randint(2, 9))]
+        inner = "".join(f"<p>{t}</p>" if k % 4 else f"<h3>{say(3)}</h3><p>{t}</p>" for k, t in enumerate(body))
+        text = re.sub("<[^>]+>", " ", inner) + " " + head
+        page = tops[i % 3] + sides[i % 4].format(say(2), say(5)) + shells[i % 5].format(head, inner) + sides[(i + 1) % 4].format(say(2), say(9)) + ends[i % 3].format(say(14))
+        got, want = words(html_extract.main_text(f"<html><body>{page}</body></html>", html_extract.model())), words(text)
+        found, right, all_ = found + (got & want).total(), right + got.total(), all_ + want.total()
+    precision, recall = found / right, found / all_
+    print("precision", precision, "recall", recall)
+    assert 2 * precision * recall / (precision + recall) >= 0.95
+
+
+def test_pages_of_a_table(spark):
+    pages = [(1, "u", f"<article><p>{LEAD}</p></article>", "x"), (1, "u", f"<article><p>{LEAD}</p></article>", "x"), (2, None, None, "y"), (None, "v", "", None), (3, "w", f"<article>{f'<p>{LEAD}</p>' * 3000}</article>", "z")]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string, text string")
+    rows = html_extract.extract_pages(table).collect()
+    assert sorted((r.page_id or 0, r.url, r.n_chars) for r in rows if r.page_id in (1, 3)) == [(1, "u", len(LEAD))] * 2 + [(3, "w", 3000 * (len(LEAD) + 2) - 2)]
+    assert {(r.page_id, r.url, r.text, r.n_chars) for r in rows if r.page_id in (2, None)} == {(2, None, "", 0), (None, "v", "", 0)}
+    assert html_extract.extract_pages(table.limit(0)).collect() == []
