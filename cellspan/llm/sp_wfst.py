@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Compiled parts: the normaliser (identity here: spaces become U+2581 and one is put in front), the arcs (one per
-piece of the file) and byte fallback (an arc over any one character that no piece covers).  The file is a BPE
-model, whose merges are no additive piece costs.  They are expressed as weights on pairs of arcs: a pair costs 0
+Compiled parts: the normaliser (the rules that the file states: a space in front, runs of spaces, U+2581 for
+spaces; a file with a table of character rewrites is refused), the arcs (one per piece of the file) and byte
+fallback (an arc over any one character that no piece covers).  The file is a BPE model, whose merges are no additive piece costs.  They are expressed as weights on pairs of arcs: a pair costs 0
 if merging the two pieces' joint text gives just these two pieces, and infinity otherwise.  Composed with an
 input, the transducer has exactly one path of finite cost through every prefix, so the shortest path of the
 tropical semiring is found in one pass that keeps the last arc of each prefix.
@@ -13,20 +13,26 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizers import library
+from .store import bound_batches
+from .tokenizers import library, tokenizer_path
 
 SPACE = "▁"
 #: A chunk is a run of spaces with what follows up to the next; no piece reaches past one.  Longer chunks than LONG go by scalar steps.
 CHUNK, LONG = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), 48
 BLOCK = 4_000_000
+#: Distinct chunks whose ids a worker remembers, some 100 bytes each.
+KNOWN = 400_000
 _SLOTS = 1 << 21
+_PAIR_BITS = 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,11 +41,59 @@ def _roll(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+@dataclass(frozen=True)
+class Normaliser:
+    """What a piece file says is done to a text first."""
+
+    prefix: bool = True
+    collapse: bool = True
+
+    @classmethod
+    def of(cls, model: bytes) -> Normaliser:
+        # Fixed values of the file format: field 3 of a model is its normaliser; there, 2 is the table of rewrites,
+        # 3 a space in front, 4 removal of extra spaces, 5 the mark for spaces.
+        spec = dict(proto_fields(next((v for k, v in proto_fields(model) if k == 3), b"")))
+        if spec.get(2) or not spec.get(5, 1):
+            raise ValueError("a table of character rewrites, or spaces without a mark, is not supported")
+        return cls(bool(spec.get(3, 1)), bool(spec.get(4, 1)))
+
+    def __call__(self, text: str) -> str:
+        if self.collapse:
+            text = re.sub(" +", " ", text).strip(" ")
+        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+
+
 class Transducer:
     """Arcs and pair weights of one piece file."""
 
     def __init__(self, name: str) -> None:
         sp = library(name)
+        self.rules = Normaliser.of(Path(tokenizer_path(name)).read_bytes())
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.text = [sp.id_to_piece(i) for i in range(n)]
@@ -49,7 +103,12 @@ class Transducer:
         for i in range(n):
             if sp.is_byte(i):
                 self.bytes[int(self.text[i][3:5], 16)] = i
-        self.byte_value = {i: b for b, i in enumerate(self.bytes)}
+        #: The inverse transducer: the bytes of every piece.
+        self.raw = [t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for t in self.text]
+        for b, i in enumerate(self.bytes):
+            self.raw[i] = bytes([b])
+        #: ids (little-endian 32-bit) of short chunks met before.
+        self.known: dict[str, bytes] = {}
         self.longest = max(map(len, self.ids))
         if any(SPACE in t.lstrip(SPACE) for t in self.ids):
             raise ValueError("pieces that reach over a space are not supported")
@@ -59,18 +118,17 @@ class Transducer:
         self.extra: dict[str, int] = {}
         self.extra_text: list[str] = []
         self.pairs: dict[int, bool] = {}
-        self.pair_keys, self.pair_ok = np.empty(0, np.uint64), np.empty(0, bool)
+        self.pair_keys, self.pair_ok = np.zeros(1 << _PAIR_BITS, np.uint64), np.zeros(1 << _PAIR_BITS, bool)
         hashes = np.zeros(len(plain), np.uint64)
         for k, i in enumerate(plain):
             h = np.zeros(1, np.uint64)
             for c in self.text[i]:
                 h = _roll(h, np.array([ord(c)]))
             hashes[k] = h[0]
-        self.order = np.argsort(hashes)
-        self.hashes, self.hashed_ids = hashes[self.order], np.array(plain, np.int64)[self.order]
-        self.order = None
+        order = np.argsort(hashes)
+        self.hashes, self.hashed_ids = hashes[order], np.array(plain, np.int32)[order]
         assert len(np.unique(self.hashes)) == len(plain)
-        self.slots = np.full(_SLOTS, -1, np.int64)
+        self.slots = np.full(_SLOTS, -1, np.int32)
         at = (self.hashes >> np.uint64(11)) % np.uint64(_SLOTS)
         self.slots[at] = np.arange(len(at))
         self.crowded = np.zeros(_SLOTS, bool)  # slots of several pieces are searched
@@ -114,21 +172,21 @@ class Transducer:
         return ok
 
     def free_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """free() of arrays."""
+        """free() of arrays, through a table of one slot for each hash; a pair that lost its slot is asked for anew."""
         keys = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
-        known = self.pair_keys[at] == keys if len(self.pair_keys) else np.zeros(len(keys), bool)
+        slot = (keys * _MULT) >> np.uint64(64 - _PAIR_BITS)
+        known = self.pair_keys[slot] == keys
+        out = self.pair_ok[slot]
         if not known.all():
-            fresh = np.unique(keys[~known])
-            ok = np.array([self.free(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in fresh.tolist()], bool)
-            where = np.searchsorted(self.pair_keys, fresh)
-            self.pair_keys, self.pair_ok = np.insert(self.pair_keys, where, fresh), np.insert(self.pair_ok, where, ok)
-            if len(self.pair_keys) > 4_000_000:  # bounded memory: start anew
-                out = np.array([self.pairs[k] for k in keys.tolist()], bool)
-                self.pair_keys, self.pair_ok, self.pairs = np.empty(0, np.uint64), np.empty(0, bool), {}
-                return out
-            at = np.searchsorted(self.pair_keys, keys)
-        return self.pair_ok[at]
+            if len(self.pairs) > 4_000_000:  # bounded memory: start anew
+                self.pairs = {}
+            fresh, back = np.unique(keys[~known], return_inverse=True)
+            ok = np.array([self.free(k >> 32, k & 0xFFFFFFFF) for k in fresh.tolist()], bool)
+            out[~known] = ok[back]
+            where = (fresh * _MULT) >> np.uint64(64 - _PAIR_BITS)
+            one = np.unique(where, return_index=True)[1]
+            self.pair_keys[where[one]], self.pair_ok[where[one]] = fresh[one], ok[one]
+        return out
 
     def shortest(self, chunk: str) -> list[int]:
         """Arcs of the shortest path over one chunk, step by step."""
@@ -152,51 +210,57 @@ class Transducer:
         k = self.slots[slot]
         many = self.crowded[slot]
         if many.any():
-            k = np.where(many, np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1), k)
+            k[many] = np.minimum(np.searchsorted(self.hashes, h[many]), len(self.hashes) - 1)
         return np.where((k >= 0) & (self.hashes[k] == h), self.hashed_ids[k], -1)
 
-    def shortest_all(self, chunks: list[str]) -> list[np.ndarray]:
-        """shortest() of many distinct chunks, those of one length at a time."""
+    def shortest_all(self, chunks: list[str]) -> list[bytes]:
+        """ids (little-endian 32-bit) of the shortest paths of distinct chunks, those of one length at a time."""
         out: list = [None] * len(chunks)
         by_length: dict[int, list[int]] = {}
         for i, c in enumerate(chunks):
             if len(c) > LONG:
-                out[i] = np.array(self.shortest(c), np.int64)
+                out[i] = self.with_bytes(np.array(self.shortest(c), "<i4")).tobytes()
             else:
                 by_length.setdefault(len(c), []).append(i)
         for n, index in by_length.items():
             codes = np.frombuffer("".join(chunks[i] for i in index).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
             m, most = len(index), min(n, self.longest)
-            arcs = np.full((most + 1, m, n + 1), -1, np.int64)
+            arcs = np.full((most + 1, n + 1, m), -1, np.int32)
             h = np.zeros((m, n), np.uint64)
             for length in range(1, most + 1):
                 h = _roll(h[:, : n - length + 1], codes[:, length - 1 :])
-                arcs[length, :, length:] = self.lookup(h)
-            bare = arcs[1, :, 1:] < 0
+                arcs[length, length:] = self.lookup(h).T
+            bare = arcs[1, 1:] < 0
             if bare.any():
-                arcs[1, :, 1:][bare] = [self.char_arc(chr(c)) for c in codes[bare].tolist()]
-            last, size = np.full((m, n + 1), -1, np.int64), np.zeros((m, n + 1), np.int64)
+                arcs[1, 1:][bare] = [self.char_arc(chr(c)) for c in codes.T[bare].tolist()]
+            there = (arcs >= 0).any(axis=2)
+            last, size = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)
             for j in range(1, n + 1):
                 open_ = np.arange(m)
                 for length in range(min(most, j), 0, -1):
-                    own = arcs[length, open_, j]
-                    has = own >= 0
-                    if not has.any():
+                    if not there[length, j]:
                         continue
+                    own = arcs[length, j, open_]
+                    has = own >= 0  # then: has an arc that is free
                     rows, own = open_[has], own[has]
-                    ok = np.ones(len(rows), bool) if j == length else self.free_pairs(last[rows, j - length], own)
-                    last[rows[ok], j], size[rows[ok], j] = own[ok], length
-                    open_ = np.setdiff1d(open_, rows[ok], assume_unique=True)
+                    ok = np.ones(len(rows), bool) if j == length else self.free_pairs(last[j - length, rows], own)
+                    last[j, rows[ok]], size[j, rows[ok]] = own[ok], length
+                    has[has] = ok
+                    open_ = open_[~has]
                     if not len(open_):
                         break
-            # Back from the end; paths are read off column by column.
-            at, cols = np.full(m, n), []
+            # Back from the end; paths are read off column by column, then cut out of one run of bytes.
+            at, cols, every = np.full(m, n), [], np.arange(m)
             while (at > 0).any():
-                cols.append(np.where(at > 0, last[np.arange(m), at], -1))
-                at = at - size[np.arange(m), at]
-            path = np.array(cols).T[:, ::-1]
-            for i, row in zip(index, path, strict=True):
-                out[i] = row[row >= 0]
+                cols.append(np.where(at > 0, last[at, every], -1))
+                at = at - size[at, every]
+            path = np.array(cols, "<i4").T[:, ::-1]
+            ends = 4 * np.cumsum((path >= 0).sum(axis=1))
+            run = path[path >= 0].tobytes()
+            for i, a, b in zip(index, [0, *ends.tolist()], ends.tolist(), strict=False):
+                out[i] = run[a:b]
+            for k in np.flatnonzero((path >= len(self.text)).any(axis=1)).tolist():
+                out[index[k]] = self.with_bytes(path[k][path[k] >= 0]).tobytes()
         return out
 
     def with_bytes(self, arcs: np.ndarray) -> np.ndarray:
@@ -207,19 +271,29 @@ class Transducer:
         out = []
         for a in arcs.tolist():
             out += [a] if a < n else [self.bytes[b] for b in self.extra_text[a - n].encode("utf-8", "surrogatepass")]
-        return np.array(out, np.int64)
+        return np.array(out, "<i4")
+
+    def path_ids(self, chunks: list[str]) -> list[bytes]:
+        """ids of distinct chunks; shortest paths are searched only for those not met before."""
+        if len(self.known) > KNOWN:  # bounded memory: start anew
+            self.known = {}
+        new = [c for c in chunks if c not in self.known]
+        found = dict(zip(new, self.shortest_all(new), strict=True))
+        out = [self.known.get(c) or found[c] for c in chunks]
+        self.known |= {c: i for c, i in found.items() if len(c) <= LONG}
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """ids of whole texts."""
-        lists = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        lists = [CHUNK.findall(self.rules(t)) for t in texts]
         flat = [c for x in lists for c in x]
         if not flat:
-            return [np.empty(0, np.int64)] * len(texts)
+            return [np.empty(0, np.int32)] * len(texts)
         codes, distinct = pd.factorize(np.array(flat, dtype=object))
-        own = [self.with_bytes(a) for a in self.shortest_all(list(distinct))]
-        size = np.array([len(a) for a in own])
+        own = self.path_ids(list(distinct))
+        size = np.array([len(a) // 4 for a in own])
         start = np.concatenate([[0], np.cumsum(size)])
-        pool = np.concatenate(own)
+        pool = np.frombuffer(b"".join(own), "<i4")
         each = size[codes]
         ends = np.cumsum(each)
         # Each token's place in the pool: its chunk's start and its place in the chunk.
@@ -228,21 +302,9 @@ class Transducer:
         return [ids[a:b] for a, b in zip(upto, upto[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
-        """The inverse transducer: piece texts, runs of byte pieces as UTF-8, spaces for U+2581, the first one dropped."""
-        out, run = [], bytearray()
-        for i in ids:
-            b = self.byte_value.get(i)
-            if b is None:
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run = bytearray()
-                out.append(self.text[i])
-            else:
-                run.append(b)
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+        """The inverse transducer: the pieces' bytes as UTF-8, the space of the normaliser dropped."""
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if self.rules.prefix and text[:1] == " " else text
 
 
 @lru_cache(None)
@@ -264,22 +326,23 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, ids (array of int), text.
 
-    Null texts count as empty and have no ids.  Repeated rows and null ids keep rows of their own; extra columns are
-    ignored; an empty table gives an empty result.
+    Null texts count as empty and have no ids; texts of any length are encoded whole.  Repeated rows and null ids keep
+    rows of their own; extra columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = transducer(model)
         for p in parts:
             texts = p["text"].tolist()
             for a, b in _blocks(texts):
-                yield pd.DataFrame({"doc_id": p["doc_id"].iloc[a:b].astype("Int64"), "ids": [x.astype(np.int32) for x in t.encode(texts[a:b])], "text": texts[a:b]})
+                yield pd.DataFrame({"doc_id": p["doc_id"].iloc[a:b].astype("Int64"), "ids": [x for x in t.encode(texts[a:b])], "text": texts[a:b]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, ids array<int>, text string")
 
 
 def decode_ids(rows: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str = "ids") -> DataFrame:
-    """rows with ``decoded``: the text of an array of ids; null for null."""
+    """rows with ``decoded``: the text of an array of ids; null for null, empty for none; a column of that name is replaced."""
 
     @F.pandas_udf("string")
     def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -291,7 +354,11 @@ def decode_ids(rows: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str
 
 
 def encode_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), round_trip (decoding gives the text, U+2581 as a space)."""
+    """One row per row of docs: doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), round_trip (decoding gives the text, U+2581 as a space).
+
+    Nulls, repeated rows, extra columns, long texts and empty tables as in encode_documents().
+    """
+    bound_batches(docs.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = transducer(model)
@@ -299,10 +366,11 @@ def encode_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
             texts = p["text"].tolist()
             for a, b in _blocks(texts):
                 own = t.encode(texts[a:b])
+                back = [t.decode(x.tolist()) for x in own]
                 yield pd.DataFrame(
                     {
-                        "doc_id": p["doc_id"].iloc[a:b].astype("Int64").to_numpy(), "n_ids": [len(x) for x in own], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in own],
-                        "round_trip": [t.decode(x.tolist()) == s.replace(SPACE, " ") for x, s in zip(own, texts[a:b], strict=True)],
+                        "doc_id": p["doc_id"].iloc[a:b].astype("Int64").to_numpy(), "n_ids": [len(x) for x in own], "ids_crc32": [zlib.crc32(x.tobytes()) for x in own],
+                        "round_trip": [x == s.replace(SPACE, " ") for x, s in zip(back, texts[a:b], strict=True)],
                     }
                 ).astype({"doc_id": "Int64"})
 
