@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .store import bound_batches, checked_broadcast, stage
 
 #: Candidates that are bounded at a time, rows of greatest length that give the first thresholds, rows of a block of queries at most.
-BLOCK, SEED, QUERIES = 1024, 1024, 8192
+BLOCK, SEED, QUERIES = 1024, 1024, 4096
 #: Rows of a range of candidates: at least and at most; between, some two ranges for each shuffle partition.
-LEAST, MOST = 1024, 65536
+LEAST, MOST = 4096, 65536
 SLACK = 1e-6
 #: Components beyond WIDE go by Python's integers; those of HUGE and more count as not finite.
 WIDE, HUGE = float(1 << 24), 1e100
@@ -47,11 +47,12 @@ def best_rows(
     q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, rotation: np.ndarray, floor: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query numbers, vec ids, scores) that can be among the k best of each query; x comes in falling length, floor: scores below it don't count."""
-    dim = q.shape[1]
-    heads = sorted({max(1, dim // 8), max(1, dim // 4), max(1, dim // 2)})
+    head, more = max(1, q.shape[1] // 4), max(1, q.shape[1] // 2)
     qr, xr = q @ rotation, x @ rotation
     q_len, x_len = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
-    tails = [(h, np.linalg.norm(qr[:, h:], axis=1), np.linalg.norm(xr[:, h:], axis=1)) for h in heads]
+    q_tail, x_tail = (np.linalg.norm(v[:, head:], axis=1) for v in (qr, xr))
+    q_rest, x_rest = (np.linalg.norm(v[:, more:], axis=1) for v in (qr, xr))
+    whole = q_len.max(initial=0) * x_len.max(initial=0) < 1 << 53  # then sums of whole numbers are exact in doubles
     floor = floor.astype(float).copy()
     held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     for at in range(0, len(x), BLOCK):
@@ -59,21 +60,30 @@ def best_rows(
         alive = np.flatnonzero(q_len * x_len[at] * (1 + SLACK) + SLACK >= floor)
         if not len(alive):
             break  # lengths only fall
-        h, q_tail, x_tail = tails[0]
-        bound = qr[alive, :h] @ xr[s, :h].T + np.outer(q_tail[alive], x_tail[s]) + SLACK * (1 + np.outer(q_len[alive], x_len[s]))
-        i, j = np.nonzero(bound >= floor[alive, None])
-        i, j = alive[i], j + at
-        for h, q_tail, x_tail in tails[1:]:  # pairs that are left see more coordinates
-            keep = []
+        open_ = q_ids[alive, None] != x_ids[None, s]
+        bound = qr[alive, :head] @ xr[s, :head].T + np.outer(q_tail[alive], x_tail[s]) + SLACK * (1 + np.outer(q_len[alive], x_len[s]))
+        open_ &= bound >= floor[alive, None]
+        left = np.count_nonzero(open_)
+        if not left:
+            continue
+        if whole and left * 50 > open_.size:  # many are left: all scores in one product, and the k-th of the block as a threshold
+            scores = np.where(open_, q[alive] @ x[s].T, -np.inf)
+            low = floor[alive]
+            if scores.shape[1] > k:
+                low = np.maximum(low, np.partition(scores, -k, axis=1)[:, -k])
+            i, j = np.nonzero(open_ & (scores >= low[:, None]))
+            score = scores[i, j].astype(np.int64)
+            i, j = alive[i], j + at
+        else:  # few are left: they see more coordinates, then the rest
+            i, j = np.nonzero(open_)
+            i, j = alive[i], j + at
+            near = np.zeros(len(i), bool)
             for a in range(0, len(i), 100_000):
                 m, n = i[a : a + 100_000], j[a : a + 100_000]
-                part = np.einsum("ij,ij->i", qr[m, :h], xr[n, :h]) + q_tail[m] * x_tail[n] + SLACK * (1 + q_len[m] * x_len[n])
-                keep.append(part >= floor[m])
-            keep = np.concatenate([np.zeros(0, bool), *keep])
-            i, j = i[keep], j[keep]
-        other = q_ids[i] != x_ids[j]
-        i, j = i[other], j[other]
-        score = np.concatenate([np.empty(0, np.int64), *(products(q[i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000))])
+                part = np.einsum("ij,ij->i", qr[m, :more], xr[n, :more]) + q_rest[m] * x_rest[n] + SLACK * (1 + q_len[m] * x_len[n])
+                near[a : a + 100_000] = part >= floor[m]
+            i, j = i[near], j[near]
+            score = np.concatenate([np.empty(0, np.int64), *(products(q[i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000))])
         ok = score >= floor[i]
         i, ids, score = (np.concatenate(c) for c in zip(held, (i[ok], x_ids[j[ok]], score[ok]), strict=True))
         order = np.lexsort((ids, -score, i))
@@ -85,6 +95,16 @@ def best_rows(
     return held
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, staged, with ``at``: the number of the row in the order of partitions and of rows within them."""
+    rows = stage(df.withColumn("at", F.monotonically_increasing_id()), name)  # the partition above, the place in it in the lower 33 bits
+    part = F.shiftright("at", 33)
+    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy(part.alias("part")).count().collect())  # a row for each partition
+    before = rows.sparkSession.createDataFrame([(p, sum(n for _, n in sizes[:k])) for k, (p, _) in enumerate(sizes)], "part bigint, before bigint")
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("part", part).join(F.broadcast(before), "part").withColumn("at", F.col("before") + place).drop("part", "before")
+
+
 def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose id is divisible by ``every``.
 
@@ -104,9 +124,7 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col
     whole = whole.where(~F.exists(x, lambda v: v.isNull()))
     whole = whole.withColumn("norm", F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # at: the partition and the place in it, falling length; written at once, so that it never changes.
-    ordered = whole.repartitionByRange(tasks, F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id")
-    whole = stage(ordered.withColumn("at", F.monotonically_increasing_id()), "topk-rows")
+    whole = numbered(whole.repartitionByRange(tasks, F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id"), "topk-rows")
     totals = whole.agg(F.max(F.size("x")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
     dim, out = totals["dim"], "query_id bigint, rank int, vec_id bigint, score bigint"
     if not dim:
@@ -156,7 +174,7 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col
     blocks = -(-asked.count() // QUERIES)
     if not blocks:
         return spark.createDataFrame([], out)
-    asked = stage(asked.repartitionByRange(blocks, "reach", "vec_id").withColumn("q", F.monotonically_increasing_id()), "topk-queries")
+    asked = numbered(asked.repartitionByRange(blocks, "reach", "vec_id"), "topk-queries").withColumnRenamed("at", "q")
     asked = asked.withColumn("block", F.floor(F.col("q") / QUERIES))
     whole = whole.withColumn("range", F.floor(F.col("at") / length))
 
