@@ -28,7 +28,50 @@ def tilt_z(extent: Column, volume: float = 130.0, elongation: float = 3.6) -> Co
     return clip(extent / (2 * elongation * radius), 0.1, 1.0)
 
 
-def section_state(area: Column, nucleus: Column) -> Column:
-    """How a section cuts a cell, by the nucleus's share of its area; the order of the cases counts."""
-    share = nucleus / area
-    return F.when(share < 0.15, "tangential").when(share > 0.6, "nuclear").when(area < 45, "partial").otherwise("complete")
+def section_state(area: Column, nucleus: Column, aspect: Column, edge: Column, small_below: Column) -> Column:
+    """How a section cuts a cell; the order of the cases counts.  edge: share of its outline on the border."""
+    share, bare, small = nucleus / area, nucleus <= 0, area < small_below
+    # The states' thresholds.
+    return (
+        F.when(area <= 0, "unknown").when(~bare & (share > 0.6), "nucleus_rich").when(~bare & share.between(0.2, 0.6) & (edge < 0.05), "full")
+        .when(small & (aspect > 3.0), "sliver").when(bare & small, "membrane_only").when(bare | (share < 0.1), "nucleus_poor").otherwise("full")
+    )
+
+
+def ridge_object(area: Column, distance: Column, overlap: Column, near: Column) -> Column:
+    """What a membrane ridge is; the order of the cases counts."""
+    # The classes' thresholds.
+    return (
+        F.when(area <= 12, "debris_or_puncta").when(near | (distance <= 3.0), "boundary_offset").when(overlap > 0.1, "membrane_only_or_sliver_near_nucleus")
+        .when(distance <= 12.0, "out_of_plane_membrane").otherwise("unassigned_membrane_ridge")
+    )
+
+
+def assigned(cell_id: Column) -> Column:
+    """True where a molecule has a cell; the names that stand for none are fixed values."""
+    return F.coalesce(~cell_id.isin("", "0", "cell_0", "UNASSIGNED", "None", "nan"), F.lit(False))
+
+
+def packed_cell_id(prefix: Column, suffix: Column) -> Column:
+    """The written form of a packed id: eight letters a to p for the hex digits of prefix, a dash, suffix."""
+    digits = F.lpad(F.lower(F.hex(prefix)), 8, "0")
+    return F.concat(F.translate(digits, "0123456789abcdef", "abcdefghijklmnop"), F.lit("-"), suffix.cast("string"))
+
+
+def in_box_halfopen(x: Column, y: Column) -> Column:
+    return (x >= F.col("xmin")) & (x < F.col("xmax")) & (y >= F.col("ymin")) & (y < F.col("ymax"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return dot(a, b) / F.greatest(F.sqrt(dot(a, a) * dot(b, b)), F.lit(1e-12))
+
+
+def normal_tail(z: Column) -> Column:
+    """P(N(0, 1) > z), by the rational approximation 26.2.17 of Abramowitz and Stegun."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.when(z >= 0, tail).otherwise(1 - tail)

@@ -12,7 +12,6 @@ from cellspan.operators import evidence, ranks, spatial, tiles
 from cellspan.sources.views import view
 
 TIERS = ["annotation", "transcripts", "neighbor", "unresolved"]
-STATES = ["complete", "nuclear", "partial", "tangential"]
 
 _GRID = str([i / 32 for i in range(33)])
 _TILES = """m AS (SELECT p.*, tx, ty, tx = floor(x / 60) AND ty = floor(y / 60) AS owned FROM (SELECT cell_id, centroid_x AS x, centroid_y AS y,
@@ -77,12 +76,6 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
     return of.select("cell_idx", type_.alias("resolved"), source.alias("source"))
 
 
-def _states(s: SparkSession, d: str) -> DataFrame:
-    cells = view(s, d, "v_cells").where("cell_type is not null")
-    cells = cells.withColumn("state", columns.section_state(F.col("cell_area"), F.col("nucleus_area")))
-    return cells.groupBy("cell_type").agg(*((F.count_if(F.col("state") == v) / F.count(F.lit(1))).alias(v) for v in STATES))
-
-
 def _welch(s: SparkSession, d: str) -> DataFrame:
     cells = view(s, d, "v_cells").where("cell_type is not null")
     marked = spatial.radius_join(cells, cells.where("cell_type = 'BUILDING'"), 12.0).select(F.col("src").alias("cell_idx")).distinct().withColumn("near", F.lit(True))
@@ -229,11 +222,6 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: _resolved(s, d).groupBy(F.coalesce("resolved", F.lit("none")).alias("resolved")).pivot("source", TIERS).count().na.fill(0),
         f"{_CASCADE} SELECT coalesce(resolved, 'none') AS resolved, " + ", ".join(f"count(*) FILTER (WHERE source = '{t}') AS {t}" for t in TIERS) + " FROM w GROUP BY 1",
     ),
-    "sectioning_distribution": (
-        lambda s, d: _r(_states(s, d), *STATES),
-        "q AS (SELECT cell_type, CASE WHEN nucleus_area / cell_area < 0.15 THEN 'tangential' WHEN nucleus_area / cell_area > 0.6 THEN 'nuclear' WHEN cell_area < 45 THEN 'partial' ELSE 'complete' END AS state FROM v_cells WHERE cell_type IS NOT NULL) SELECT cell_type, "
-        + ", ".join(f"round(count(*) FILTER (WHERE state = '{v}') / count(*), 6) AS {v}" for v in STATES) + " FROM q GROUP BY 1",
-    ),
     "slab_projection": (
         lambda s, d: _r(_slabs(s, d), "length"),
         "p AS (SELECT CAST(slab AS INTEGER) AS slab, greatest(0, least(z_center_um + z_extent_um / 2, slab + 5) - greatest(z_center_um - z_extent_um / 2, slab)) AS part FROM v_z_attrs, generate_series(0, 25, 5) t(slab)) SELECT slab, round(sum(part), 6) AS length, count(*) FILTER (WHERE part > 0) AS n_cells FROM p GROUP BY 1",

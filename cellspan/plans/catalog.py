@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspan.operators import geometry, spatial, stats
-from cellspan.plans import analysis
+from cellspan.plans import analysis, measures, tables
 from cellspan.sources.views import view, with_views
 
 FLAGSHIP = "crop_counts"
@@ -39,7 +39,7 @@ def _upsert(s: SparkSession, d: str) -> DataFrame:
 
 
 #: name: (query, SQL without the views)
-ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "crop_counts": (
         lambda s, d: spatial.crop_counts(view(s, d, "v_molecules"), view(s, d, "v_crops")),
         """SELECT c.crop_id, count(m.o) AS total, count(m.o) FILTER (WHERE m.cell_id <> 'UNASSIGNED') AS assigned FROM v_crops c LEFT JOIN (
@@ -97,7 +97,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "z_upsert": (_upsert, "SELECT cell_id, z_center_um, z_extent_um, CASE WHEN z_confidence < 0.3 THEN 1.0e0 ELSE z_confidence END AS z_confidence FROM v_z_attrs"),
 }
 
-ALL |= analysis.ALL
+ALL |= analysis.ALL | tables.ALL | measures.ALL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -106,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     # A SQL text that starts with a table expression of its own goes on with the views' list.
-    return {k: with_views(sql) if sql.lstrip().startswith("SELECT") else with_views(f",{sql}").replace("\n,e AS", ",\ne AS") for k, (_, sql) in ALL.items()}
+    return {k: with_views(sql) if sql.lstrip().startswith("SELECT") else with_views(f",{sql}").replace("\n,e AS", ",\ne AS") for k, (_, sql) in ALL.items() if sql}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 CELLS = """select c_custkey as cell_idx, concat('cell_', cast(c_custkey as varchar(20))) as cell_id,
@@ -14,7 +17,7 @@ MOLECULES = """select l_orderkey * 10 + l_linenumber as mol_key, l_orderkey, l_l
   l_linenumber as factor, p_brand as feature_name,
   v.centroid_x + ((l_partkey * 13) % 121 - 60) / 10.0e0 as x_location,
   v.centroid_y + ((l_suppkey * 29 + l_partkey) % 121 - 60) / 10.0e0 as y_location,
-  l_quantity as qv, case when l_linestatus = 'F' then 1 else 0 end as overlaps_nucleus
+  l_quantity as qv, case when l_linestatus = 'F' then 1 else 0 end as overlaps_nucleus, l_discount * 60.0e0 as nucleus_distance
 from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join v_cells v on o_custkey = v.cell_idx"""
 POLYGONS = """select cell_idx, cell_id, ord as vertex_ord,
   centroid_x + (3.0e0 + cell_idx % 5 * 0.5e0) * ux as vertex_x, centroid_y + (2.0e0 + cell_idx % 3 * 0.5e0) * uy as vertex_y
@@ -35,12 +38,17 @@ BASE = ("region", "nation", "customer", "part", "orders", "lineitem")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; the base tables are read lazily, so columns and filters reach the scans."""
+    """A view as a DataFrame; the base tables are read lazily, so columns and filters reach the scans.
+
+    Tables are registered under names of their own, so that no view of the session is replaced.
+    """
+    own = {t: f"cellspan_{zlib.crc32(sf_dir.encode()):08x}_{t}" for t in (*BASE, "v_cells")}
+    text = lambda sql: re.sub(r"\b(" + "|".join(own) + r")\b", lambda m: own[m[0]], sql)
     for table in BASE:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(own[table])
     if name != "v_cells":
-        spark.sql(CELLS).createOrReplaceTempView("v_cells")
-    return spark.sql(VIEWS[name])
+        spark.sql(text(CELLS)).createOrReplaceTempView(own["v_cells"])
+    return spark.sql(text(VIEWS[name]))
 
 
 def with_views(sql: str) -> str:
