@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellspan.operators.measures import running
+from cellspan.operators.models import cut
+
+
+def places(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """df with ``place`` (from 0) and ``size`` of each row in its group's order.
+
+    Groups may be few and large: rows are dealt by ranges of (group, order), numbered within a range, and counted on from
+    the ranges ahead, of which there are as many as shuffle partitions.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(parts, group, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(group, "range").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(group)
+    ahead = F.coalesce(F.sum("n").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(group, "range", ahead.alias("ahead"), F.sum("n").over(w).alias("size"))
+    place = F.row_number().over(Window.partitionBy(group, "range").orderBy(*order)) - 1
+    return rows.withColumn("place", place).join(F.broadcast(counts), [group, "range"]).withColumn("place", F.col("place") + F.col("ahead")).drop("range", "ahead")  # groups plus ranges rows
+
 
 def uniform_rank(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
     """Rank within the group scaled to [0, 1]; ties by key; 0 for a group of one."""
-    w = Window.partitionBy(group)
-    rank = (F.row_number().over(w.orderBy(value, key)) - 1) / F.greatest(F.count(F.lit(1)).over(w) - 1, F.lit(1))
-    return df.select(key, group, rank.alias("rank"))
+    return places(df, group, [value, key]).select(key, group, (F.col("place") / F.greatest(F.col("size") - 1, F.lit(1))).alias("rank"))
 
 
 def top2_margin(counts: DataFrame, group: str, choice: str, n: str = "n") -> DataFrame:
@@ -23,18 +41,14 @@ def top2_margin(counts: DataFrame, group: str, choice: str, n: str = "n") -> Dat
 
 def ordered_split(df: DataFrame, group: str, order: list[str], share: float = 0.15) -> DataFrame:
     """Of each group in order, the last share is test, the share before it val, one row at least; the rest train."""
-    w = Window.partitionBy(group)
-    held = F.greatest(F.lit(1.0), F.rint(F.count(F.lit(1)).over(w) * share))
-    left = F.count(F.lit(1)).over(w) - F.row_number().over(w.orderBy(*order))
-    return df.withColumn("split", F.when(left < held, "test").when(left < 2 * held, "val").otherwise("train"))
+    held, left = F.greatest(F.lit(1.0), F.rint(F.col("size") * share)), F.col("size") - 1 - F.col("place")
+    return places(df, group, order).withColumn("split", F.when(left < held, "test").when(left < 2 * held, "val").otherwise("train")).drop("place", "size")
 
 
 def spread_picks(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
     """k rows of each group, evenly spaced in order."""
-    w = Window.partitionBy(group)
-    rows = df.withColumn("i", (F.row_number().over(w.orderBy(*order)) - 1).cast("double")).withColumn("last", F.count(F.lit(1)).over(w) - 1)
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.rint(j * F.col("last") / F.lit(max(k - 1, 1))))
-    return rows.where(F.array_contains(wanted, F.col("i"))).drop("i", "last")
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.rint(j * (F.col("size") - 1) / F.lit(max(k - 1, 1))))
+    return places(df, group, order).where(F.array_contains(wanted, F.col("place").cast("double"))).drop("place", "size")
 
 
 def cumulative_histogram(df: DataFrame, group: str, value: str, bins: int) -> DataFrame:
@@ -52,20 +66,19 @@ def compact_labels(pixels: DataFrame) -> DataFrame:
 
 
 def local_maxima(pixels: DataFrame, reach: int) -> DataFrame:
-    """Pixels that equal the maximum of the square around them; dense images."""
-    row = Window.partitionBy("scene_id", "y").orderBy("x").rowsBetween(-reach, reach)
-    column = Window.partitionBy("scene_id", "x").orderBy("y").rowsBetween(-reach, reach)
+    """Pixels that equal the maximum of the square around them; frames count positions, so images may have gaps."""
+    row = Window.partitionBy("scene_id", "y").orderBy("x").rangeBetween(-reach, reach)
+    column = Window.partitionBy("scene_id", "x").orderBy("y").rangeBetween(-reach, reach)
     return pixels.withColumn("m", F.max("value").over(row)).withColumn("m", F.max("m").over(column)).where("value = m").drop("m")
 
 
 def best_f1(scored: DataFrame) -> DataFrame:
     """The score threshold of the best F1 for rows (score, truth); equal scores stand or fall together, ties to the higher.
 
-    Scores are summed up first, so that the running sums go over distinct scores.
+    Scores are summed up first, then run up in ranges of scores.
     """
     by = scored.groupBy("score").agg(F.sum("truth").alias("tp"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.select("score", F.sum("tp").over(w).alias("tp"), F.sum("n").over(w).alias("n"))
+    run = running(by, "score", ["tp", "n"], descending=True)
     f1 = 2 * F.col("tp") / (F.col("n") + F.col("all"))
     run = run.crossJoin(F.broadcast(scored.agg(F.sum("truth").alias("all")))).select("score", f1.alias("f1"))  # one row
     best = F.max_by(F.struct("score", "f1"), F.struct("f1", "score")).alias("b")

@@ -22,11 +22,20 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, size: f
     return binned.join(cover, ["gx", "gy"]).where(in_box_closed(F.col(x), F.col(y))).drop("gx", "gy")
 
 
-def crop_counts(molecules: DataFrame, crops: DataFrame, min_qv: float = 20, size: float = 40.0) -> DataFrame:
-    """Total and assigned molecules per crop; a molecule counts for the first crop in order only; crops without any are zero."""
-    good = molecules.where(F.col("qv") >= min_qv).select("x_location", "y_location", "cell_id").withColumn("mid", F.monotonically_increasing_id())
-    first = points_in_boxes(good, crops, "x_location", "y_location", size).groupBy("mid").agg(F.min("crop_ord").alias("crop_ord"), F.first("cell_id").alias("cell_id"))
-    counts = first.groupBy("crop_ord").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("cell_id") != "UNASSIGNED").alias("assigned"))
+def crop_counts(molecules: DataFrame, crops: DataFrame, min_qv: float = 20, size: float = 40.0, most: int = 200_000) -> DataFrame:
+    """Total and assigned molecules per crop; a molecule counts for the first crop in order only; crops without any are zero.
+
+    A point lies in one bin, so the bin's crops in order are one array: the first that holds the point is found in a
+    projection, and what is shuffled are partial counts.  The bins are broadcast if they are at most ``most``.
+    """
+    cover = crops.withColumn("gx", F.explode(F.sequence(cell_of(F.col("xmin"), size), cell_of(F.col("xmax"), size))))
+    cover = cover.withColumn("gy", F.explode(F.sequence(cell_of(F.col("ymin"), size), cell_of(F.col("ymax"), size))))
+    bins = cover.groupBy("gx", "gy").agg(F.sort_array(F.collect_list(F.struct("crop_ord", "xmin", "xmax", "ymin", "ymax"))).alias("boxes"))
+    bins = F.broadcast(bins) if cover.limit(most + 1).count() <= most else bins
+    x, y = F.col("x_location"), F.col("y_location")
+    good = molecules.where(F.col("qv") >= min_qv).select("x_location", "y_location", "cell_id").withColumn("gx", cell_of(x, size)).withColumn("gy", cell_of(y, size))
+    hit = F.get(F.filter("boxes", lambda b: (x >= b["xmin"]) & (x <= b["xmax"]) & (y >= b["ymin"]) & (y <= b["ymax"])), F.lit(0))["crop_ord"]
+    counts = good.join(bins, ["gx", "gy"]).select(hit.alias("crop_ord"), "cell_id").where("crop_ord is not null").groupBy("crop_ord").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("cell_id") != "UNASSIGNED").alias("assigned"))
     return crops.select("crop_ord", "crop_id").join(counts, "crop_ord", "left").select("crop_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("assigned", F.lit(0)).alias("assigned"))
 
 

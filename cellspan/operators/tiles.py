@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellspan.operators.raster import in_ring
+
 
 def tile_members(points: DataFrame, x: str, y: str, step: float, size: float) -> DataFrame:
     """Every (point, tile) of overlapping square tiles of ``size`` laid every ``step``; owned: the tile whose core holds the point."""
@@ -16,18 +18,11 @@ def tile_members(points: DataFrame, x: str, y: str, step: float, size: float) ->
     return out.withColumn("owned", owned)
 
 
-def points_in_rings(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Ray casting of points (mol_key, x_location, y_location, key) against the edges (key, x1, y1, x2, y2) of their ring."""
-    y, slope = F.col("y_location"), (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1") + F.lit(1e-12))
-    crosses = ((F.col("y1") > y) != (F.col("y2") > y)) & (F.col("x_location") < slope * (y - F.col("y1")) + F.col("x1"))
-    return points.join(edges, key).groupBy("mol_key", key).agg((F.count_if(crosses) % 2 == 1).alias("inside"))
-
-
-def ring_edges(vertices: DataFrame, corners: int) -> DataFrame:
-    """The edges of rings of ``corners`` vertices numbered from 0."""
-    a = vertices.select("cell_id", "vertex_ord", F.col("vertex_x").alias("x1"), F.col("vertex_y").alias("y1"))
-    b = vertices.select("cell_id", ((F.col("vertex_ord") + corners - 1) % corners).alias("vertex_ord"), F.col("vertex_x").alias("x2"), F.col("vertex_y").alias("y2"))
-    return a.join(b, ["cell_id", "vertex_ord"])
+def points_in_rings(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+    """points with ``inside``: whether they lie in the ring of their key; a ring is collected once, a point tested in a projection."""
+    ring = F.transform(F.sort_array(F.collect_list(F.struct("vertex_ord", "vertex_x", "vertex_y"))), lambda v: F.struct(v["vertex_x"].alias("x"), v["vertex_y"].alias("y")))
+    rings = vertices.groupBy(key).agg(ring.alias("ring"))
+    return points.join(rings, key).withColumn("inside", in_ring(F.col("x_location"), F.col("y_location"), F.col("ring"))).drop("ring")
 
 
 def bin_density(points: DataFrame, key: str, x: str, y: str, size: float) -> DataFrame:

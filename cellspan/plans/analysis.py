@@ -84,8 +84,7 @@ def _welch(s: SparkSession, d: str) -> DataFrame:
 
 def _inside(s: SparkSession, d: str) -> DataFrame:
     m = view(s, d, "v_molecules").where("qv >= 20 and cell_id <> 'UNASSIGNED'")
-    m = m.withColumn("mol_key", F.monotonically_increasing_id()).select("mol_key", "cell_id", "x_location", "y_location")
-    hit = tiles.points_in_rings(m, tiles.ring_edges(view(s, d, "v_polygons"), 8), "cell_id")
+    hit = tiles.points_in_rings(m.select("cell_id", "x_location", "y_location"), view(s, d, "v_polygons"), "cell_id")
     return hit.groupBy("cell_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("inside").alias("inside"))
 
 

@@ -204,7 +204,7 @@ ALL = {
     "fwhm_islands": (
         lambda s, d: _r(ops.fwhm(_profiles(s, d), 0.2, 3.0).select("label", "z_extent", "z_confidence"), "z_extent", "z_confidence"),
         """p AS (SELECT label, scene_id AS z, avg(value) * 10 AS v FROM v_pixels WHERE label > 0 GROUP BY 1, 2), b AS (SELECT *, v - min(v) OVER w AS b, min(v) OVER w AS base FROM p WINDOW w AS (PARTITION BY label)), m AS (SELECT *, max(b) OVER (PARTITION BY label) AS peak FROM b),
-        a AS (SELECT label, any_value(peak) AS peak, any_value(base) AS base, min(z) FILTER (WHERE b = peak) AS at FROM m GROUP BY 1), l AS (SELECT m.label, coalesce(max(z) FILTER (WHERE z < at AND b <= m.peak / 2), -1) AS lo, coalesce(min(z) FILTER (WHERE z > at AND b <= m.peak / 2), 5) AS hi FROM m JOIN a USING (label) GROUP BY 1)
+        a AS (SELECT label, any_value(peak) AS peak, any_value(base) AS base, min(z) FILTER (WHERE b = peak) AS pk FROM m GROUP BY 1), l AS (SELECT m.label, coalesce(max(z) FILTER (WHERE z < pk AND b <= m.peak / 2), -1) AS lo, coalesce(min(z) FILTER (WHERE z > pk AND b <= m.peak / 2), 5) AS hi FROM m JOIN a USING (label) GROUP BY 1)
         SELECT label, (hi - lo - 2) * 3e0 AS z_extent, round(peak / greatest(base, 1), 6) AS z_confidence FROM a JOIN l USING (label) WHERE peak > 0.2""",
     ),
     "axial_profile": (

@@ -184,8 +184,8 @@ ALL = {
         "SELECT CAST(floor(x_location / 100) * 1000 + floor(y_location / 100) AS BIGINT) AS tile_idx, cell_id = 'UNASSIGNED' AS is_ghost, count(*) AS n, count(DISTINCT feature_name) AS genes FROM v_molecules GROUP BY 1, 2",
     ),
     "edge_fit_crops": (
-        lambda s, d: ops.crops_within(view(s, d, "v_crops"), _bounds(s, d).selectExpr("xmin - 12 as xmin", "xmax + 12 as xmax", "ymin - 12 as ymin", "ymax + 12 as ymax")).select("crop_id"),
-        f"{_BOUNDS} SELECT crop_id FROM v_crops c, b WHERE c.xmin >= b.xmin - 12 AND c.xmax <= b.xmax + 12 AND c.ymin >= b.ymin - 12 AND c.ymax <= b.ymax + 12",
+        lambda s, d: ops.crops_within(view(s, d, "v_crops"), _bounds(s, d).selectExpr("xmin - 60 as xmin", "xmax + 60 as xmax", "ymin - 60 as ymin", "ymax + 60 as ymax")).select("crop_id"),
+        f"{_BOUNDS} SELECT crop_id FROM v_crops c, b WHERE c.xmin >= b.xmin - 60 AND c.xmax <= b.xmax + 60 AND c.ymin >= b.ymin - 60 AND c.ymax <= b.ymax + 60",
     ),
     "edge_touching": (
         lambda s, d: ops.edge_touching(geometry.polygon_stats(view(s, d, "v_polygons")), _bounds(s, d)).select("cell_id", "touches_edge"),
