@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bound_batches, checked_broadcast, free_names, stage, unstage
+from .store import bound_batches, checked_broadcast, free_names, small, stage, unstage
 
 BANDS, ROWS = 32, 5
 K = BANDS * ROWS
@@ -33,7 +33,7 @@ BATCH = 16
 #: Times that shingles are counted, each time without the classes that the counts before ruled out.
 COUNTS = 3
 #: Members of a bucket from which on it is split, in as many parts on either side; pairs of one class beyond which they are split.
-SPLIT, HUB = 1024, 8192
+SPLIT, HUB = 2048, 65536
 #: A class of more than one in so many rows is frequent.
 FREQUENT = 1024
 #: Longs of the bitmap that a class's shingles are hashed into.
@@ -362,14 +362,18 @@ def confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, source: DataF
     return stage(both.select("a", "b", "xa", "xb").mapInPandas(exact, "a bigint, b bigint"), "near-confirmed")
 
 
-def hubs_of(pairs: DataFrame) -> DataFrame:
-    """(b, parts) of the classes that more than HUB pairs have as their b."""
-    hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")).where("parts > 1")
-    return checked_broadcast(stage(hubs, "near-hubs"))
+def hubs_of(pairs: DataFrame) -> DataFrame | None:
+    """(b, parts) of the classes that more than HUB of the staged pairs have as their b; None where there can be none."""
+    if small(pairs, HUB):
+        return None
+    hubs = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")).where("parts > 1"), "near-hubs")
+    return None if hubs.isEmpty() else checked_broadcast(hubs)
 
 
-def join_hubs(pairs: DataFrame, values: DataFrame, hubs: DataFrame) -> DataFrame:
+def join_hubs(pairs: DataFrame, values: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """pairs joined with values on b; the pairs of a hub go to as many tasks as it has parts."""
+    if hubs is None:
+        return pairs.join(values, "b")
     left = pairs.join(hubs, "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     right = values.join(hubs, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return left.join(right, ["b", "part"]).drop("part")

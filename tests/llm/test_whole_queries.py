@@ -198,3 +198,20 @@ def test_labels_beyond_the_bound_teach_nothing(spark):
     rows = [(i, "abc def ghi", "one" if i % 3 else f"rare{i}") for i in range(30)]
     model = lang_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_langs=2)
     assert model.langs == ["one", "rare0"] and model.p.shape[1] == 2
+
+
+def test_hubs_and_large_buckets_are_split_without_loss(spark, monkeypatch):
+    """The grid of buckets and the parts of hubs on small tables: components as in brute force."""
+    from cellspan.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SPLIT", 4)
+    monkeypatch.setattr(near_dedup, "HUB", 5)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(60):
+        words, at, n = list(base), rng.randrange(100), rng.randint(0, 14)
+        words[at : at + n] = [f"x{i}-{k}" for k in range(n)]
+        rows.append((i, " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4)
