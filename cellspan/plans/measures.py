@@ -132,7 +132,7 @@ ALL = {
     ),
     "typical_area": (
         lambda s, d: _r(ops.typical_area(view(s, d, "v_pixels"), 25, 0.5), "area"),
-        "n AS (SELECT scene_id, label, count(*) * 0.25 AS area, bool_or(y IN (0, 24) OR x IN (0, 24)) AS border FROM v_pixels WHERE label > 0 GROUP BY 1, 2) SELECT label, round(coalesce(quantile_cont(area, 0.5) FILTER (WHERE NOT border), (SELECT quantile_cont(area, 0.5) FROM n WHERE NOT border)), 6) AS area FROM n GROUP BY 1",
+        "n AS (SELECT scene_id, label, count(*) * 0.25e0 AS area, bool_or(y IN (0, 24) OR x IN (0, 24)) AS border FROM v_pixels WHERE label > 0 GROUP BY 1, 2) SELECT label, round(coalesce(quantile_cont(area, 0.5) FILTER (WHERE NOT border), (SELECT quantile_cont(area, 0.5) FROM n WHERE NOT border)), 6) AS area FROM n GROUP BY 1",
     ),
     "tile_alpha": (
         lambda s, d: _r(ops.tile_alpha(_fractions(s, d), view(s, d, "v_cells").select("cell_id", F.floor(F.col("centroid_x") / 100).alias("tile")), _alpha(s, d, False)), "alpha"),
