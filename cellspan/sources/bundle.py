@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cellspan.functions import columns
 
 # Fixed values of the format: file names, column names and the names that columns may have instead.
-MANIFEST = "experiment.xenium"
+MANIFEST = "experiment.json"
 TABLES = ("transcripts", "cells", "cell_boundaries", "nucleus_boundaries")
 ALIASES = {"cell_id": ("cell_id", "cell"), "centroid_x": ("x_centroid", "x", "centroid_x"), "centroid_y": ("y_centroid", "y", "centroid_y"), "cell_type": ("cell_type", "celltype")}
 #: Boxes up to which a scan is given each box; beyond, their common bounds.
@@ -29,8 +29,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def manifest(spark: SparkSession, folder: str) -> dict:
-    """The manifest with its defaults: pixel_size 1, z_step_size none."""
-    rows = spark.read.text(f"{folder}/{MANIFEST}", wholetext=True).first()
+    """The manifest, the file named experiment whatever its ending, with its defaults: pixel_size 1, z_step_size none."""
+    rows = spark.read.text(f"{folder}/{MANIFEST.split('.')[0]}.*", wholetext=True).first()
     return {"pixel_size": 1.0, "z_step_size": None, "run_name": None} | json.loads(rows["value"])
 
 
