@@ -35,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identify_language), ("exact_dedup", remove_copies), ("near_dedup", remove_near_copies), ("secret_scan", redact), ("packing", pack)]
 
-#: Language ID, near-duplicate components and packing have no SQL form; the stages have tests of their own, run() has none yet.
+#: Language ID, near-duplicate components and packing have no SQL form; tests hold run() against plain Python on a small fixture.
 ORACLE_SQL = None
 
 
