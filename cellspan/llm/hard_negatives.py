@@ -91,11 +91,11 @@ class Space:
         return np.sqrt(np.maximum(length2 + self.most - 2 * score.astype(float), 0))
 
 
-def dealt(anchors: DataFrame, candidates: DataFrame, space: Space, local: Callable, schema: str, tasks: int) -> DataFrame:
+def dealt(anchors: DataFrame, candidates: DataFrame, space: Space, local: Callable, schema: str, tasks: int, copied: list | None = None) -> DataFrame:
     """The rows that local(anchors, candidates) gives for every group of anchors and part of the candidates that can serve it.
 
     anchors: q, anchor_id, label, x, cell, from_pivot, near, far (the distances between which a row can serve it), and more.
-    candidates: vec_id, label, x, at.
+    candidates: vec_id, label, x, at.  copied: a list that takes the table of copies, to see how many there are.
     """
     spark, row_bytes = anchors.sparkSession, 8 * (space.dim + 1)
     n = anchors.count()
@@ -127,7 +127,7 @@ def dealt(anchors: DataFrame, candidates: DataFrame, space: Space, local: Callab
         for group, p in served(parts):
             yield pd.DataFrame({"group": group, "part": p["part"].unique()})
 
-    def copied(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def copies_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group, p in served(parts):
             yield p.assign(group=group)
 
@@ -135,7 +135,9 @@ def dealt(anchors: DataFrame, candidates: DataFrame, space: Space, local: Callab
     candidates = candidates.select("vec_id", "label", "x", F.floor(F.col("at") / size).alias("part"))
     met = checked_broadcast(stage(candidates.mapInPandas(meetings, "group bigint, part bigint").distinct(), "negatives-met"))
     left = groups.join(met, "group").groupBy("group", "part")
-    copies = candidates.mapInPandas(copied, "vec_id bigint, label bigint, x array<double>, part bigint, group bigint")
+    copies = candidates.mapInPandas(copies_of, "vec_id bigint, label bigint, x array<double>, part bigint, group bigint")
+    if copied is not None:
+        copied.append(copies)
 
     def join(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         space = sent.value[0]
