@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspan.functions import columns
+from cellspan.operators.quantiles import wide_quantiles
 
 
 def edge_touching(stats: DataFrame, bounds: DataFrame, margin: float = 0.0) -> DataFrame:
@@ -21,19 +22,31 @@ def crops_within(crops: DataFrame, bounds: DataFrame) -> DataFrame:
     return crops.crossJoin(F.broadcast(b)).where("xmin >= bxmin and xmax <= bxmax and ymin >= bymin and ymax <= bymax").select(*crops.columns)  # one row
 
 
-def override_splits(crops: DataFrame, regions: DataFrame, split: str = "split") -> DataFrame:
-    """crops whose centre lies in a region (xmin, xmax, ymin, ymax, region_split) take its split, test before val."""
+def override_splits(crops: DataFrame, regions: DataFrame, split: str = "split", most: int = 10_000) -> DataFrame:
+    """crops whose centre lies in a region (xmin, xmax, ymin, ymax, region_split) take its split, test before val.
+
+    Up to ``most`` regions are broadcast; more of them meet the crops in the squares that they cover.
+    """
     r = regions.select(*(F.col(c).alias(f"r{c}") for c in ("xmin", "xmax", "ymin", "ymax")), "region_split")
     x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
     inside = (x >= F.col("rxmin")) & (x <= F.col("rxmax")) & (y >= F.col("rymin")) & (y <= F.col("rymax"))
-    hit = crops.join(F.broadcast(r.limit(10_000)), inside).groupBy("crop_id").agg(F.min("region_split").alias("region_split"))  # 'test' < 'val'; a handful of regions
+    few = r.limit(most + 1).count() <= most
+    if few:
+        met = crops.join(F.broadcast(r), inside)  # most rows at most
+    else:  # Regions go to the squares that they cover, as large as a region is on average; a crop's centre lies in one.
+        side = r.agg(F.avg(F.greatest(F.col("rxmax") - F.col("rxmin"), F.col("rymax") - F.col("rymin")))).first()[0] or 1.0
+        cell = lambda v: F.floor(v / side)
+        for g, a in (("gx", "x"), ("gy", "y")):
+            r = r.withColumn(g, F.explode(F.sequence(cell(F.col(f"r{a}min")), cell(F.col(f"r{a}max")))))
+        met = crops.withColumns({"gx": cell(x), "gy": cell(y)}).join(r, ["gx", "gy"]).where(inside)
+    hit = met.groupBy("crop_id").agg(F.min("region_split").alias("region_split"))  # 'test' < 'val'
     return crops.join(hit, "crop_id", "left").withColumn(split, F.coalesce("region_split", split)).drop("region_split")
 
 
 def checkerboard(crops: DataFrame) -> DataFrame:
     """split of crops by the medians of their centres: high x and y is test, low x and high y is val, the rest train; fewer than three are train."""
     x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
-    mid = crops.agg(F.percentile(x, 0.5).alias("mx"), F.percentile(y, 0.5).alias("my"), F.count(F.lit(1)).alias("n"))
+    mid = wide_quantiles(crops, [], {"x": x, "y": y}, {"50": 0.5}).select(F.col("x_50").alias("mx"), F.col("y_50").alias("my"), F.col("x_n").alias("n"))
     split = F.when((F.col("n") < 3) | (y < F.col("my")), "train").when(x >= F.col("mx"), "test").otherwise("val")
     return crops.crossJoin(F.broadcast(mid)).withColumn("split", split).drop("mx", "my", "n")  # one row
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellspan.operators.quantiles import quantile_table
+
 
 def consensus(methods: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """Rules (keys, strength) of several methods: which found each, how many, the tier and the geometric mean of strengths."""
@@ -53,6 +55,6 @@ def mean_distance(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 def quantile_distance(df: DataFrame, group: str, value: str, points: int) -> DataFrame:
     """Mean distance of each group's quantile function from that of all rows, on an even grid."""
     grid = [i / (points - 1) for i in range(points)]
-    own, all_ = df.groupBy(group).agg(F.percentile(value, grid).alias("q")), df.agg(F.percentile(value, grid).alias("w"))
-    gaps = F.zip_with("q", "w", lambda a, b: F.abs(a - b))
-    return own.crossJoin(F.broadcast(all_)).select(group, (F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v) / points).alias("distance"))  # one row
+    own = quantile_table(df, [group], {"v": F.col(value)}, grid).select(group, "q", "value")
+    whole = quantile_table(df, [], {"v": F.col(value)}, grid).select("q", F.col("value").alias("all"))  # points rows
+    return own.join(F.broadcast(whole), "q").groupBy(group).agg((F.sum(F.abs(F.col("value") - F.col("all"))) / points).alias("distance"))

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspan.functions.columns import clip
+from cellspan.operators.quantiles import quantile_table, wide_quantiles
+from cellspan.operators.ranks import places, running
 
 
 def quantile_targets(stats: DataFrame, values: list[str], qs: list[float], least: int) -> DataFrame:
     """Quantiles of values per type of at least ``least`` complete cells (touches_edge false)."""
-    g = stats.where(~F.col("touches_edge") & F.col("cell_type").isNotNull()).groupBy("cell_type")
-    return g.agg(F.count(F.lit(1)).alias("n"), *(F.percentile(v, q).alias(f"{v}_p{int(round(q * 100))}") for v in values for q in qs)).where(F.col("n") >= least)
+    whole = stats.where(~F.col("touches_edge") & F.col("cell_type").isNotNull())
+    n = whole.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    wide = wide_quantiles(whole, ["cell_type"], {v: F.col(v) for v in values}, {f"p{int(round(q * 100))}": q for q in qs})
+    return n.join(wide.drop(*(f"{v}_n" for v in values)), "cell_type", "left")
 
 
 def admixture_rate(alpha: DataFrame, rules: DataFrame) -> DataFrame:
@@ -25,9 +29,11 @@ def admixture_rate(alpha: DataFrame, rules: DataFrame) -> DataFrame:
 def typical_area(pixels: DataFrame, size: int, pixel: float) -> DataFrame:
     """Median area of each label over the scenes where it does not touch the border, the median over all labels where it always does."""
     n = pixels.where("label > 0").groupBy("scene_id", "label").agg((F.count(F.lit(1)) * pixel * pixel).alias("area"), F.max(F.col("y").isin(0, size - 1) | F.col("x").isin(0, size - 1)).alias("border"))
-    whole = n.where(~F.col("border")).agg(F.percentile("area", 0.5).alias("all"))
-    own = n.groupBy("label").agg(F.percentile(F.when(~F.col("border"), F.col("area")), 0.5).alias("own"))
-    return own.crossJoin(F.broadcast(whole)).select("label", F.coalesce("own", "all").alias("area"))  # one row
+    inner = n.where(~F.col("border"))
+    whole = quantile_table(inner, [], {"area": F.col("area")}, [0.5]).agg(F.max("value").alias("all"))
+    own = quantile_table(inner, ["label"], {"area": F.col("area")}, [0.5]).select("label", F.col("value").alias("own"))
+    labels = n.select("label").distinct().join(own, "label", "left")
+    return labels.crossJoin(F.broadcast(whole)).select("label", F.coalesce("own", "all").alias("area"))  # one row
 
 
 def tile_alpha(fractions: DataFrame, tiles: DataFrame, overall: DataFrame, weight: float = 0.7) -> DataFrame:
@@ -56,9 +62,10 @@ def render_ratio(real: DataFrame, synth: DataFrame, least: int) -> DataFrame:
 
 def relative_efficiency(values: DataFrame, group: str, value: str) -> DataFrame:
     """Median of value in each group over the median of all rows, held to 0.25 to 4, with log-moments of positive values."""
-    whole = values.agg(F.percentile(value, 0.5).alias("all"))
-    g = values.groupBy(group).agg(F.percentile(value, 0.5).alias("own"), F.avg(F.when(F.col(value) > 0, F.ln(value))).alias("log_mean"), F.stddev_pop(F.when(F.col(value) > 0, F.ln(value))).alias("log_std"))
-    return g.crossJoin(F.broadcast(whole)).select(group, clip(F.col("own") / F.col("all"), 0.25, 4.0).alias("efficiency"), "log_mean", "log_std")  # one row
+    whole = quantile_table(values, [], {"v": F.col(value)}, [0.5]).agg(F.max("value").alias("all"))
+    own = quantile_table(values, [group], {"v": F.col(value)}, [0.5]).select(group, F.col("value").alias("own"))
+    g = values.groupBy(group).agg(F.avg(F.when(F.col(value) > 0, F.ln(value))).alias("log_mean"), F.stddev_pop(F.when(F.col(value) > 0, F.ln(value))).alias("log_std"))
+    return g.join(own, group, "left").crossJoin(F.broadcast(whole)).select(group, clip(F.col("own") / F.col("all"), 0.25, 4.0).alias("efficiency"), "log_mean", "log_std")  # one row
 
 
 def ridge_fit(samples: DataFrame, edges: list[float], background: float, least: int) -> DataFrame:
@@ -71,7 +78,8 @@ def ridge_fit(samples: DataFrame, edges: list[float], background: float, least:
     pairs = list(zip(edges, edges[1:], strict=False))
     bin_ = F.coalesce(*(F.when((F.col("distance") >= a) & (F.col("distance") < b), F.lit((a + b) / 2)) for a, b in pairs))
     enough = samples.groupBy("cell_type").agg(F.count_distinct("cell").alias("cells")).where(F.col("cells") >= least)
-    m = samples.withColumn("centre", bin_).where("centre is not null").groupBy("cell_type", "centre").agg((F.percentile("value", 0.5) - background).alias("excess"))
+    middle = quantile_table(samples.withColumn("centre", bin_).where("centre is not null"), ["cell_type", "centre"], {"v": F.col("value")}, [0.5])
+    m = middle.select("cell_type", "centre", (F.col("value") - background).alias("excess"))
     fit = m.where("excess > 1e-4").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.ln("excess"), F.col("centre") * F.col("centre")).alias("slope"), F.regr_intercept(F.ln("excess"), F.col("centre") * F.col("centre")).alias("at"))
     fit = fit.where("n >= 2 and slope < -1e-4").join(enough, "cell_type")
     return fit.select("cell_type", clip(F.exp("at"), 0.0, 2.0).alias("amplitude"), clip(F.sqrt(-1 / (2 * F.col("slope"))), 0.5, 20.0).alias("width"))
@@ -93,19 +101,6 @@ def f1_calibration(scores: DataFrame, truth: DataFrame, keys: list[str]) -> Data
     return r.agg(best.alias("b")).select("b.*")
 
 
-def running(by: DataFrame, order: str, sums: list[str], descending: bool = False, ranges: int = 0) -> DataFrame:
-    """by with running sums over distinct values of order: sums within ranges of the order, plus those of the ranges ahead (few rows)."""
-    n = ranges or int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.desc(order) if descending else F.asc(order)
-    edges = [r[0] for r in by.agg(F.explode(F.percentile_approx(order, [k / n for k in range(1, n)], 1000))).distinct().collect()] if n > 1 else []
-    part = reduce(lambda c, e: c + (F.col(order) >= F.lit(e)).cast("int"), edges, F.lit(0))
-    rows = by.withColumn("part", -part if descending else part)
-    within = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    before = rows.groupBy("part").agg(*(F.sum(c).alias(c) for c in sums)).select("part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in sums))
-    return rows.withColumns({c: F.sum(c).over(within) for c in sums}).join(F.broadcast(before), "part").withColumns({c: F.col(c) + F.col(f"{c}_before") for c in sums}).select(order, *sums)
-
-
 def naive_bayes(flags: DataFrame, methods: list[str], truth: str = "truth", eps: float = 0.02) -> DataFrame:
     """P(real | pattern) for every pattern of the methods' flags; rates held to [eps, 1 - eps], the prior to eps at least."""
     rate = lambda m, t: clip(F.sum(F.when(F.col(truth) == t, F.col(m).cast("double")).otherwise(0.0)) / F.greatest(F.count_if(F.col(truth) == t), F.lit(1)), eps, 1 - eps)
@@ -151,7 +146,7 @@ def roundtrip(rules: DataFrame, planted: DataFrame, keys: list[str]) -> DataFram
 def sensor_noise(pixels: DataFrame, least: int = 1000, least_dark: int = 100, half: float = 30.0) -> DataFrame:
     """(scene_id, read_std, dark_mean, shot_k): deviation of pixels below the 5th percentile plus 1, and what the middle varies beyond it."""
     p = pixels.where("value > 0")
-    q = p.groupBy("scene_id").agg(F.percentile("value", 0.05).alias("p5"), F.percentile("value", 0.5).alias("p50"), F.count(F.lit(1)).alias("n"))
+    q = wide_quantiles(p, ["scene_id"], {"v": F.col("value")}, {"5": 0.05, "50": 0.5}).select("scene_id", F.col("v_5").alias("p5"), F.col("v_50").alias("p50"), F.col("v_n").alias("n"))
     j = p.join(q, "scene_id")
     dark, mid = F.col("value") < F.col("p5") + 1, F.col("value").between(F.greatest(F.col("p50") - half, F.lit(1.0)), F.col("p50") + half)
     pick = lambda f, c: f(F.when(c, F.col("value")))
@@ -182,12 +177,10 @@ def fwhm(profile: DataFrame, floor: float, spacing: float) -> DataFrame:
 
 def quantile_remap(values: DataFrame, target: DataFrame, group: str, key: list[str], points: int) -> DataFrame:
     """values replaced by the target table (group, q, t) at their rank: uniform rank within the group, linear between the table's points."""
-    w = Window.partitionBy(group)
-    rank = (F.row_number().over(w.orderBy("value", *key)) - 1) / F.greatest(F.count(F.lit(1)).over(w) - 1, F.lit(1))
-    at = rank * (points - 1)
-    rows = values.withColumn("at", at).withColumn("q", F.least(F.floor("at"), F.lit(points - 2)).cast("int"))
+    at = F.col("place") / F.greatest(F.col("size") - 1, F.lit(1)) * (points - 1)
+    rows = places(values, group, ["value", *key]).withColumn("at", at).drop("place", "size").withColumn("q", F.least(F.floor("at"), F.lit(points - 2)).cast("int"))
     table = target.withColumn("next", F.lead("t").over(Window.partitionBy(group).orderBy("q")))
-    return rows.join(F.broadcast(table), [group, "q"]).withColumn("remapped", F.col("t") + (F.col("at") - F.col("q")) * (F.col("next") - F.col("t"))).drop("at", "q", "t", "next")  # points rows a group
+    return rows.join(table, [group, "q"]).withColumn("remapped", F.col("t") + (F.col("at") - F.col("q")) * (F.col("next") - F.col("t"))).drop("at", "q", "t", "next")
 
 
 def inverse_cdf(rows: DataFrame, weights: DataFrame, group: str, choice: str, u: str) -> DataFrame:
@@ -201,6 +194,7 @@ def inverse_cdf(rows: DataFrame, weights: DataFrame, group: str, choice: str, u:
 
 def match_summary(links: DataFrame, n_a: DataFrame, n_b: DataFrame) -> DataFrame:
     """Rates, mean and median IoU, shares above 0.5 and 0.75 of matches (iou), against the numbers of labels (one row n each)."""
-    m = links.agg(F.count(F.lit(1)).alias("matched"), F.avg("iou").alias("mean_iou"), F.percentile("iou", 0.5).alias("median_iou"), *(F.avg((F.col("iou") >= t).cast("double")).alias(f"iou_at_{int(t * 100)}") for t in (0.5, 0.75)))
-    m = m.crossJoin(F.broadcast(n_a.select(F.col("n").alias("na")))).crossJoin(F.broadcast(n_b.select(F.col("n").alias("nb"))))  # one row each
+    m = links.agg(F.count(F.lit(1)).alias("matched"), F.avg("iou").alias("mean_iou"), *(F.avg((F.col("iou") >= t).cast("double")).alias(f"iou_at_{int(t * 100)}") for t in (0.5, 0.75)))
+    middle = quantile_table(links, [], {"iou": F.col("iou")}, [0.5]).agg(F.max("value").alias("median_iou"))
+    m = m.crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(n_a.select(F.col("n").alias("na")))).crossJoin(F.broadcast(n_b.select(F.col("n").alias("nb"))))  # one row each
     return m.select("matched", (F.col("matched") / F.greatest("na", F.lit(1))).alias("match_rate_a"), (F.col("matched") / F.greatest("nb", F.lit(1))).alias("match_rate_b"), "mean_iou", "median_iou", "iou_at_50", "iou_at_75", (F.col("nb") - F.col("na")).alias("count_delta"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellspan.operators.measures import running
-from cellspan.operators.models import cut
+from cellspan.operators.staging import cut
 
 
 def places(df: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -26,6 +27,26 @@ def places(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     return rows.withColumn("place", place).join(F.broadcast(counts), [group, "range"]).withColumn("place", F.col("place") + F.col("ahead")).drop("range", "ahead")  # groups plus ranges rows
 
 
+def running(by: DataFrame, order: str, sums: list[str], descending: bool = False, ranges: int = 0) -> DataFrame:
+    """by with running sums over distinct values of order: sums within ranges of the order, plus those of the ranges ahead (few rows)."""
+    n = ranges or int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.desc(order) if descending else F.asc(order)
+    edges = [r[0] for r in by.agg(F.explode(F.percentile_approx(order, [k / n for k in range(1, n)], 1000))).distinct().collect()] if n > 1 else []
+    part = reduce(lambda c, e: c + (F.col(order) >= F.lit(e)).cast("int"), edges, F.lit(0))
+    rows = by.withColumn("part", -part if descending else part)
+    within = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = rows.groupBy("part").agg(*(F.sum(c).alias(c) for c in sums)).select("part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in sums))
+    return rows.withColumns({c: F.sum(c).over(within) for c in sums}).join(F.broadcast(before), "part").withColumns({c: F.col(c) + F.col(f"{c}_before") for c in sums}).select(order, *sums)
+
+
+def first_of_group(df: DataFrame, group: str, order: list[str], k: int, salts: int = 64) -> DataFrame:
+    """The first k rows of each group in order: k of each of ``salts`` parts of a group first, so that no task sees a whole group."""
+    part = F.pmod(F.xxhash64(*order), F.lit(salts))
+    some = df.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))).where(F.col("place") <= k)
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= k).drop("part", "place")
+
+
 def uniform_rank(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
     """Rank within the group scaled to [0, 1]; ties by key; 0 for a group of one."""
     return places(df, group, [value, key]).select(key, group, (F.col("place") / F.greatest(F.col("size") - 1, F.lit(1))).alias("rank"))

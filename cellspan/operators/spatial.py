@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellspan.operators import nearest
+
 
 def in_box_closed(x: Column, y: Column, box: str = "") -> Column:
     return (x >= F.col(f"{box}xmin")) & (x <= F.col(f"{box}xmax")) & (y >= F.col(f"{box}ymin")) & (y <= F.col(f"{box}ymax"))
@@ -39,19 +41,24 @@ def crop_counts(molecules: DataFrame, crops: DataFrame, min_qv: float = 20, size
     return crops.select("crop_ord", "crop_id").join(counts, "crop_ord", "left").select("crop_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("assigned", F.lit(0)).alias("assigned"))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, key: str = "cell_idx", x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
-    """(src, dst, d2) of all pairs of unlike keys within radius; the left side is exploded to the 3 x 3 bins around it."""
+def radius_join(left: DataFrame, right: DataFrame, radius: float, key: str = "cell_idx", x: str = "centroid_x", y: str = "centroid_y", most: int = 4096) -> DataFrame:
+    """(src, dst, d2) of all pairs of unlike keys within radius; the left side is exploded to the 3 x 3 bins around it.
+
+    A bin of more than ``most`` rows of the right side is dealt over parts, which every left row near it meets.
+    """
     around = left.select(F.col(key).alias("src"), F.col(x).alias("sx"), F.col(y).alias("sy"))
     for a, v in (("gx", "sx"), ("gy", "sy")):
         bin_ = cell_of(F.col(v), radius)
         around = around.withColumn(a, F.explode(F.array(bin_ - 1, bin_, bin_ + 1)))
     other = right.select(F.col(key).alias("dst"), F.col(x).alias("dx"), F.col(y).alias("dy"))
     other = other.withColumn("gx", cell_of(F.col("dx"), radius)).withColumn("gy", cell_of(F.col("dy"), radius))
+    parts = other.groupBy("gx", "gy").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    around = around.join(parts, ["gx", "gy"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = other.join(parts, ["gx", "gy"]).withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"))
     d2 = (F.col("sx") - F.col("dx")) * (F.col("sx") - F.col("dx")) + (F.col("sy") - F.col("dy")) * (F.col("sy") - F.col("dy"))
-    return around.join(other, ["gx", "gy"]).withColumn("d2", d2).where((F.col("src") != F.col("dst")) & (F.col("d2") <= radius * radius)).select("src", "dst", "d2")
+    return around.drop("parts").join(other.drop("parts"), ["gx", "gy", "part"]).withColumn("d2", d2).where((F.col("src") != F.col("dst")) & (F.col("d2") <= radius * radius)).select("src", "dst", "d2")
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, radius: float) -> DataFrame:
-    """radius_join() cut to the k nearest of each row; ties go to the smaller id."""
-    near = Window.partitionBy("src").orderBy("d2", "dst")
-    return radius_join(left, right, radius).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    """(src, dst, d2, rank) of the k nearest within radius; ties go to the smaller id.  A dense bin does not make all its pairs."""
+    return nearest.nearest(left, right, k, far=radius)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellspan.operators.quantiles import wide_quantiles
+
 
 def noise_fraction(molecules: DataFrame) -> DataFrame:
     """Share of unassigned molecules, 0 for none."""
@@ -32,7 +34,10 @@ def nuclear_fraction(molecules: DataFrame, least: int = 10) -> DataFrame:
 
 def type_quantiles(cells: DataFrame, value: str = "nucleus_area") -> DataFrame:
     """n and p10, p50, p90 per type, linear interpolation."""
-    return cells.where("cell_type is not null").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"), *(F.percentile(value, q).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)))
+    typed = cells.where("cell_type is not null")
+    wide = wide_quantiles(typed, ["cell_type"], {"v": F.col(value)}, {"10": 0.1, "50": 0.5, "90": 0.9})
+    n = typed.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(wide, "cell_type", "left").select("cell_type", "n", *(F.col(f"v_{p}").alias(f"p{p}") for p in (10, 50, 90)))
 
 
 def factor_fractions(molecules: DataFrame, factors: list[int]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellspan.functions import columns
 from cellspan.operators import evidence, ranks, spatial, tiles
+from cellspan.operators.quantiles import wide_quantiles
 from cellspan.sources.views import view
 
 TIERS = ["annotation", "transcripts", "neighbor", "unresolved"]
@@ -102,9 +103,9 @@ def _slabs(s: SparkSession, d: str) -> DataFrame:
 
 def _lut(s: SparkSession, d: str) -> DataFrame:
     p = view(s, d, "v_pixels")
-    lut = p.groupBy("scene_id").agg(F.percentile("value", 0.01).alias("low"), F.percentile("value", 0.998).alias("high"))
+    lut = wide_quantiles(p, ["scene_id"], {"v": F.col("value")}, {"low": 0.01, "high": 0.998}).select("scene_id", F.col("v_low").alias("low"), F.col("v_high").alias("high"))
     v = columns.lut_normalize(F.col("value"), F.col("low"), F.col("high"))
-    return p.join(F.broadcast(lut), "scene_id").where("label > 0").groupBy("scene_id", "label").agg(F.avg(v).alias("mean"))  # a row for each scene's channel
+    return p.join(lut, "scene_id").where("label > 0").groupBy("scene_id", "label").agg(F.avg(v).alias("mean"))
 
 
 def _scatter(s: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellspan.operators import models as ops
-from cellspan.operators import raster, spatial, stats, tiles
+from cellspan.operators import ranks, raster, spatial, stats, tiles
 from cellspan.plans.analysis import _NEAR, _r
 from cellspan.plans.measures import _MATCH, _matches
 from cellspan.plans.tables import _BOUNDS, _bounds
@@ -237,7 +237,7 @@ ALL = {
         f"{_NEAR.replace('25 ', '40 ').replace('+ 25', '+ 40').replace('- 25', '- 40')}, s AS (SELECT min(cell_idx) AS i FROM v_cells WHERE cell_type IS NOT NULL GROUP BY cell_type), k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS r FROM e JOIN s ON i = src WHERE d2 <= 1600) SELECT src AS seed, dst AS cell_idx, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 4",
     ),
     "bucket_cap": (
-        lambda s, d: view(s, d, "v_cells").where("cell_type is not null").withColumn("r", F.row_number().over(Window.partitionBy("cell_type").orderBy(ops.uniform(F.col("cell_idx"), 4), "cell_idx"))).where("r <= 10").select("cell_type", "cell_idx"),
+        lambda s, d: ranks.first_of_group(view(s, d, "v_cells").where("cell_type is not null").withColumn("u", ops.uniform(F.col("cell_idx"), 4)), "cell_type", ["u", "cell_idx"], 10).select("cell_type", "cell_idx"),
         "SELECT cell_type, cell_idx FROM (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY (cell_idx * 7919 + 4 * 104729) % 10007, cell_idx) AS r FROM v_cells WHERE cell_type IS NOT NULL) WHERE r <= 10",
     ),
     "tiles_union_all": (

@@ -12,6 +12,7 @@ from cellspan.operators import measures as ops
 from cellspan.plans.analysis import _FRACTIONS, _NEAR, _alpha, _fractions, _rules
 from cellspan.plans.analysis import _RULES as _RULE_SQL
 from cellspan.plans.tables import _BOUNDS, _STATS, _bounds
+from cellspan.operators.quantiles import quantile_table, wide_quantiles
 from cellspan.sources.views import view
 
 
@@ -36,7 +37,8 @@ def _stats(s: SparkSession, d: str) -> DataFrame:
 
 def _zs(s: SparkSession, d: str) -> DataFrame:
     z = view(s, d, "v_z_attrs").join(view(s, d, "v_cells").where("cell_type is not null").select("cell_id", "cell_type"), "cell_id")
-    return z.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"), *(F.percentile(v, q).alias(f"{k}_p{int(q * 100)}") for k, v in (("extent", "z_extent_um"), ("center", "z_center_um")) for q in (0.1, 0.5, 0.9)))
+    wide = wide_quantiles(z, ["cell_type"], {"extent": F.col("z_extent_um"), "center": F.col("z_center_um")}, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return wide.withColumnRenamed("extent_n", "n").drop("center_n")
 
 
 def _samples(s: SparkSession, d: str) -> DataFrame:
@@ -63,8 +65,8 @@ def _truth(s: SparkSession, d: str) -> DataFrame:
 
 
 def _target(s: SparkSession, d: str, points: int) -> DataFrame:
-    q = F.percentile(F.col("value") * 2, [i / (points - 1) for i in range(points)])
-    return view(s, d, "v_pixels").where("label > 0").groupBy("scene_id").agg(q.alias("t")).select("scene_id", F.posexplode("t").alias("q", "t"))
+    t = quantile_table(view(s, d, "v_pixels").where("label > 0"), ["scene_id"], {"v": F.col("value") * 2}, [i / (points - 1) for i in range(points)])
+    return t.select("scene_id", F.rint(F.col("q") * (points - 1)).cast("int").alias("q"), F.col("value").alias("t"))
 
 
 def _flags(s: SparkSession, d: str) -> DataFrame:
@@ -110,7 +112,7 @@ def _breakdown(s: SparkSession, d: str) -> DataFrame:
 def _histograms(s: SparkSession, d: str) -> DataFrame:
     """Per-cell molecule counts in 60 logarithmic bins up to their 99th percentile."""
     n = view(s, d, "v_molecules").where("cell_id <> 'UNASSIGNED'").groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
-    top = n.agg(F.ln(F.percentile("n", 0.99) + 1).alias("top"))
+    top = quantile_table(n, [], {"n": F.col("n")}, [0.99]).agg(F.ln(F.max("value") + 1).alias("top"))
     b = F.least(F.floor(F.ln(F.col("n") + 1) / F.col("top") * 60), F.lit(60)).alias("bin")
     return n.crossJoin(F.broadcast(top)).groupBy(b).agg(F.count(F.lit(1)).alias("cells"))  # one row
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellspan.functions import columns
 from cellspan.operators import cells as ops
 from cellspan.operators import geometry, spatial, stats
+from cellspan.operators.quantiles import quantile_table
 from cellspan.sources import bundle
 from cellspan.sources.views import view
 
@@ -36,7 +37,7 @@ def _states(s: SparkSession, d: str) -> DataFrame:
     """Per type and state, zeros filled in: aspect and edge contact come from ids, as the views have square cells."""
     c = view(s, d, "v_cells").where("cell_type is not null")
     c = c.withColumns({"aspect": 1 + F.col("cell_idx") % 7 / F.lit(2.0), "edge": F.col("cell_idx") % 10 / F.lit(100.0), "nucleus": F.when(F.col("cell_idx") % 6 == 0, 0.0).otherwise(F.col("nucleus_area"))})
-    small = c.agg(F.percentile("cell_area", 0.3).alias("small"))
+    small = quantile_table(c, [], {"v": F.col("cell_area")}, [0.3]).agg(F.max("value").alias("small"))
     c = c.crossJoin(F.broadcast(small)).withColumn("state", columns.section_state(F.col("cell_area"), F.col("nucleus"), F.col("aspect"), F.col("edge"), F.col("small")))  # one row
     n = c.groupBy("cell_type").agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("state") == v).alias(v) for v in _STATE))
     return n.select("cell_type", *((F.col(v) / F.col("all")).alias(v) for v in _STATE))
