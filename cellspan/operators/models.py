@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellspan.operators import spatial
+from cellspan.operators import spatial, suppression
 from cellspan.operators.staging import cut
 
 
@@ -129,34 +129,14 @@ def smooth_angles(edges: DataFrame, start: DataFrame, kappa: float, angles: int
     return now.select("node", "angle")
 
 
-def greedy_matches(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(a, b, d): pairs that are each other's nearest (ties to smaller ids), taken out, again, until none is left or rounds are over."""
-    left, out = cut(pairs.select("a", "b", F.round("d", 9).alias("d")), "pairs"), None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        near = lambda k, o: left.groupBy(k).agg(F.min_by(o, F.struct("d", o)).alias("best"))
-        na, nb = near("a", "b"), near("b", "a")
-        hit = left.join(na, "a").where("b = best").drop("best").join(nb, "b").where("a = best").select("a", "b", "d")
-        hit = cut(hit, "matched")
-        out = hit if out is None else out.unionByName(hit)
-        left = cut(left.join(hit.select("a"), "a", "left_anti").join(hit.select("b"), "b", "left_anti"), "pairs")
-    return out if out is not None else pairs.select("a", "b", "d").limit(0)
-
-
-def thin(points: DataFrame, distance: float, key: str, x: str, y: str, rounds: int = 50) -> DataFrame:
-    """Points of the greedy order by key, none nearer than distance to an earlier kept one: points without an undecided earlier neighbour stay, their neighbours go."""
-    near = spatial.radius_join(points, points, distance, key, x, y).where("dst < src").select("src", "dst")
-    near, open_, kept = cut(near, "near"), cut(points.select(key), "open"), None
-    for _ in range(rounds):
-        blocked = near.join(open_.withColumnRenamed(key, "dst"), "dst", "left_semi").select(F.col("src").alias(key))
-        stay = cut(open_.join(blocked, key, "left_anti"), "kept")
-        if stay.isEmpty():
-            break
-        kept = stay if kept is None else kept.unionByName(stay)
-        gone = near.join(stay.withColumnRenamed(key, "dst"), "dst", "left_semi").select(F.col("src").alias(key))
-        open_ = cut(open_.join(stay, key, "left_anti").join(gone, key, "left_anti"), "open")
-    return points.join(kept, key, "left_semi") if kept is not None else points.limit(0)
+def greedy_matches(pairs: DataFrame) -> DataFrame:
+    """(a, b, d) by rising d (ties to smaller ids), each a and b once, until none is left."""
+    return suppression.nearest_pairs(pairs)
+
+
+def thin(points: DataFrame, distance: float, key: str, x: str, y: str) -> DataFrame:
+    """Points of the greedy order by key, none within distance of an earlier kept one."""
+    return suppression.suppress(points, distance, [], key, x, y, closed=True)
 
 
 def nearest_vectors(queries: DataFrame, bank: DataFrame, k: int, most: int = 100_000) -> DataFrame:
