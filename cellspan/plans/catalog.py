@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspan.operators import geometry, spatial, stats
-from cellspan.plans import analysis, loops, measures, selection, tables
+from cellspan.plans import analysis, images, loops, measures, selection, tables
 from cellspan.sources.views import view, with_views
 
 FLAGSHIP = "crop_counts"
@@ -97,7 +97,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "z_upsert": (_upsert, "SELECT cell_id, z_center_um, z_extent_um, CASE WHEN z_confidence < 0.3 THEN 1.0e0 ELSE z_confidence END AS z_confidence FROM v_z_attrs"),
 }
 
-ALL |= analysis.ALL | tables.ALL | measures.ALL | loops.ALL | selection.ALL
+ALL |= analysis.ALL | tables.ALL | measures.ALL | loops.ALL | selection.ALL | images.ALL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -107,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     # A SQL text that starts with a table expression of its own goes on with the views' list.
     texts = {k: with_views(sql) if sql.lstrip().startswith("SELECT") else with_views(f",{sql}").replace("\n,e AS", ",\ne AS") for k, (_, sql) in ALL.items() if sql}
-    return {k: sql.replace("WITH ", "WITH RECURSIVE ", 1) if k in selection.RECURSIVE else sql for k, sql in texts.items()}
+    return {k: sql.replace("WITH ", "WITH RECURSIVE ", 1) if k in selection.RECURSIVE | images.RECURSIVE else sql for k, sql in texts.items()}

@@ -32,8 +32,12 @@ PIXELS = """select r_regionkey as scene_id, a.n_nationkey as y, b.n_nationkey as
 from region cross join nation a cross join nation b"""
 Z_ATTRS = """select cell_id, 12.0e0 + (cell_idx * 37) % 90 / 10.0e0 as z_center_um, 5.0e0 + (cell_idx * 53) % 120 / 10.0e0 as z_extent_um,
   (cell_idx * 11) % 100 / 100.0e0 as z_confidence from v_cells where cell_idx % 9 <> 0"""
+_STEPS = {n: ", ".join(f"({i})" for i in range(-n, n + 1)) for n in (7, 11)}
+MASKS = f"""select cell_idx, cast(floor(centroid_y * 2) + 12 + dy as bigint) as y, cast(floor(centroid_x * 2) + 12 + dx as bigint) as x,
+  power(((floor(centroid_x * 2) + dx + 0.5e0) / 2 - centroid_x) / (3.0e0 + cell_idx % 5 * 0.5e0), 2) + power(((floor(centroid_y * 2) + dy + 0.5e0) / 2 - centroid_y) / (2.0e0 + cell_idx % 3 * 0.5e0), 2) as r2
+from v_cells cross join (values {_STEPS[11]}) a(dx) cross join (values {_STEPS[7]}) b(dy)"""
 
-VIEWS = {"v_cells": CELLS, "v_molecules": MOLECULES, "v_polygons": POLYGONS, "v_crops": CROPS, "v_pixels": PIXELS, "v_z_attrs": Z_ATTRS}
+VIEWS = {"v_cells": CELLS, "v_molecules": MOLECULES, "v_polygons": POLYGONS, "v_crops": CROPS, "v_pixels": PIXELS, "v_z_attrs": Z_ATTRS, "v_masks": MASKS}
 BASE = ("region", "nation", "customer", "part", "orders", "lineitem")
 
 
