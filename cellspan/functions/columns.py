@@ -75,3 +75,57 @@ def normal_tail(z: Column) -> Column:
     t = 1 / (1 + 0.2316419 * F.abs(z))
     tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+#: The coefficients of Lanczos' series for g = 7.
+_LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012,
+    9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x above 0."""
+    z = x - 1
+    t = z + 7.5
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        series = series + F.lit(c) / (z + i)
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.ln(t) - t + F.ln(series)
+
+
+def beta_share(x: Column, a: Column, b: Column, terms: int = 250) -> Column:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction on the side where that is quick."""
+    flip = x >= (a + 1) / (a + b + 2)
+    p, q, u = F.when(flip, b).otherwise(a), F.when(flip, a).otherwise(b), F.when(flip, 1 - x).otherwise(x)
+    safe = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def step(s: Column, m: Column) -> Column:
+        """Two links of the fraction: numerators of even and odd number."""
+        even = m * (s["q"] - m) * s["u"] / ((s["p"] + 2 * m - 1) * (s["p"] + 2 * m))
+        d, c = 1 / safe(1 + even * s["d"]), safe(1 + even / s["c"])
+        h = s["h"] * d * c
+        odd = -(s["p"] + m) * (s["p"] + s["q"] + m) * s["u"] / ((s["p"] + 2 * m) * (s["p"] + 2 * m + 1))
+        d, c = 1 / safe(1 + odd * d), safe(1 + odd / c)
+        return F.struct(s["p"].alias("p"), s["q"].alias("q"), s["u"].alias("u"), c.alias("c"), d.alias("d"), (h * d * c).alias("h"))
+
+    d0 = 1 / safe(1 - (p + q) * u / (p + 1))
+    start = F.struct(p.cast("double").alias("p"), q.cast("double").alias("q"), u.cast("double").alias("u"), F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+    fraction = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda s: s["h"])
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + p * F.ln(u) + q * F.ln(1 - u)) / p
+    share = F.when(u <= 0, 0.0).otherwise(front * fraction)
+    return F.when(flip, 1 - share).otherwise(share)
+
+
+def student_tail(t: Column, df: Column, most: float = 20_000.0) -> Column:
+    """P(T > t) of Student's distribution with df degrees of freedom; beyond ``most`` the normal tail at the matching place."""
+    small = F.least(df, F.lit(most))
+    upper = 0.5 * beta_share(small / (small + t * t), small / 2, F.lit(0.5))
+    z = t * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
+    return F.when(df > most, normal_tail(z)).when(t >= 0, upper).otherwise(1 - upper)
+
+
+def binomial_tail(k: Column, n: Column, p: Column) -> Column:
+    """P(k or more of n) by the normal approximation, without correction; 1 without trials; where nothing varies 1 up to the mean, else 1e-12."""
+    mean, deviation = n * p, F.sqrt(n * p * (1 - p))
+    return F.when(n <= 0, 1.0).when(deviation == 0, F.when(k <= mean, 1.0).otherwise(1e-12)).otherwise(normal_tail((k - mean) / deviation))

@@ -139,34 +139,37 @@ def thin(points: DataFrame, distance: float, key: str, x: str, y: str) -> DataFr
     return suppression.suppress(points, distance, [], key, x, y, closed=True)
 
 
-def nearest_vectors(queries: DataFrame, bank: DataFrame, k: int, most: int = 100_000) -> DataFrame:
+def nearest_vectors(queries: DataFrame, bank: DataFrame, k: int, side: int = 8192) -> DataFrame:
     """(q, b, cos, rank): the k of bank (b, v) with the largest cosine for each query (q, v), other ids only, ties to the smaller.
 
-    The bank is a reference set of bounded size, checked, against which queries run in blocks; a larger one is an error.
+    Both sides are dealt into blocks of some ``side`` rows; every block of queries meets every block of the bank in a task of its own, which
+    hands on k rows a query.  Neither side passes the driver.
     """
     import numpy as np
     import pandas as pd
 
-    rows = bank.select("b", "v").limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"the bank has more than {most} vectors")
-    rows = rows.sort_values("b")
-    if not len(rows):
-        return queries.sparkSession.createDataFrame([], "q bigint, b bigint, cos double, rank int")
-    ids, m = rows["b"].to_numpy(), np.stack(rows["v"].to_list()).astype(float)
-    sent = queries.sparkSession.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]))
-
-    def search(parts):  # noqa: ANN001, ANN202
-        ids, m = sent.value
-        for p in parts:
-            for at in range(0, len(p), 256):
-                b = p.iloc[at : at + 256]
-                x = np.stack(b["v"].to_list()).astype(float)
-                s = np.round(x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None] @ m.T, 9)
-                s[b["q"].to_numpy()[:, None] == ids[None]] = -2
+    queries, bank = (cut(d, "vectors") for d in (queries.select("q", F.col("v").cast("array<double>").alias("v")), bank.select("b", F.col("v").cast("array<double>").alias("v"))))
+    blocks = [max(1, -(-d.count() // side)) for d in (queries, bank)]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("i", F.pmod(F.xxhash64("q"), F.lit(blocks[0])).cast("int")).withColumn("j", every(blocks[1]))
+    right = bank.withColumn("j", F.pmod(F.xxhash64("b"), F.lit(blocks[1])).cast("int")).withColumn("i", every(blocks[0]))
+    unit = lambda p: (m := np.stack(p["v"].to_list()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]
+
+    def search(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": [], "b": [], "cos": []}).astype({"q": "int64", "b": "int64", "cos": "float64"})]
+        if len(qs) and len(bs):
+            bs = bs.sort_values("b")
+            ids, m, x = bs["b"].to_numpy(), unit(bs), unit(qs)
+            for at in range(0, len(qs), 256):
+                own = qs["q"].to_numpy()[at : at + 256]
+                s = np.round(x[at : at + 256] @ m.T, 9)
+                s[own[:, None] == ids[None]] = -2
                 order = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(s, order, 1)
                 ok = best > -2
-                yield pd.DataFrame({"q": np.repeat(b["q"].to_numpy(), order.shape[1])[ok.ravel()], "b": ids[order][ok], "cos": best[ok], "rank": np.broadcast_to(np.arange(1, order.shape[1] + 1), order.shape)[ok].astype("int32")})
+                out.append(pd.DataFrame({"q": np.repeat(own, order.shape[1])[ok.ravel()], "b": ids[order][ok], "cos": best[ok]}))
+        return pd.concat(out)
 
-    return queries.select("q", "v").mapInPandas(search, "q bigint, b bigint, cos double, rank int")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(search, "q bigint, b bigint, cos double")
+    best = Window.partitionBy("q").orderBy(F.desc("cos"), "b")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

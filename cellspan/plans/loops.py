@@ -56,7 +56,7 @@ _MOLS = "m AS (SELECT DISTINCT mol_key * 100000 + l_partkey % 1000 * 100 + l_sup
 
 def _reassigned(s: SparkSession, d: str) -> DataFrame:
     cells = view(s, d, "v_cells")
-    m = _molecules(s, d).join(cells.select("cell_id", F.col("cell_idx").alias("cell")), "cell_id").select("mol", "factor", "cell").distinct().dropDuplicates(["mol"])
+    m = _molecules(s, d).join(cells.select("cell_id", F.col("cell_idx").alias("cell")), "cell_id").groupBy("mol").agg(F.min("factor").alias("factor"), F.min("cell").alias("cell"))
     m = ops.cut(m, "molecules")
     near = spatial.radius_join(cells, cells, 8.0).select(F.col("src").alias("cell"), F.col("dst"))
     others = m.join(near, "cell").select("mol", F.col("dst").alias("cell"), F.lit(False).alias("own"))

@@ -183,7 +183,7 @@ ALL = {
         f"{_RULE_SQL} SELECT factor, feature_name, share >= 0.04e0 AS detected, round(CASE WHEN share >= 0.04e0 THEN share ELSE 0 END, 6) AS strength, (SELECT count(*) FROM g WHERE share >= 0.04e0 AND NOT nuclear >= 0.5e0) AS other_rules FROM g WHERE nuclear >= 0.5e0",
     ),
     "binomial_tail": (
-        lambda s, d: view(s, d, "v_molecules").groupBy("feature_name").agg(F.count(F.lit(1)).alias("n"), F.sum("overlaps_nucleus").alias("k")).select("feature_name", "n", "k", F.round(columns.normal_tail((F.col("k") - 0.5 - F.col("n") * 0.5) / F.sqrt(F.col("n") * 0.25)), 5).alias("p")), None,
+        lambda s, d: view(s, d, "v_molecules").groupBy("feature_name").agg(F.count(F.lit(1)).alias("n"), F.sum("overlaps_nucleus").alias("k")).select("feature_name", "n", "k", F.round(columns.binomial_tail(F.col("k"), F.col("n"), F.lit(0.5)), 5).alias("p")), None,
     ),
     "intensity_quantiles": (
         lambda s, d: _r(_target(s, d, 17), "t"),

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.operators import assignment, cells, crops, nearest, suppression
+from cellspan.operators import admixture, assignment, cells, crops, nearest, spatial, suppression
+from cellspan.operators.staging import cut, shared_path
+from cellspan.sources import bundle, versioned
 from cellspan.sources.views import view
+from cellspan.streaming import strips
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -74,6 +77,48 @@ def _override(s: SparkSession, d: str) -> DataFrame:
     return cells.override_splits(c, r, most=10).select("crop_id", "split")
 
 
+def _many_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Counts in a crop around every 15th cell, over molecules in Parquet: beyond 64 crops the scan gets their common bounds."""
+    molecules = cut(view(s, d, "v_molecules").select("x_location", "y_location", "qv", "cell_id"), "molecules")
+    c = view(s, d, "v_cells").where("cell_idx % 15 = 1")
+    boxes = c.select(F.col("cell_idx").alias("crop_ord"), F.col("cell_id").alias("crop_id"), *((F.col(f"centroid_{a}") + h).alias(f"{a}{n}") for a in "xy" for n, h in (("min", -12.0), ("max", 12.0))))
+    boxes = cut(boxes, "boxes")
+    return spatial.crop_counts(bundle.scan_molecules(molecules, boxes).withColumn("qv", F.lit(20.0)), boxes)
+
+
+def _strata(s: SparkSession, d: str) -> DataFrame:
+    c = view(s, d, "v_cells").where("cell_type is not null").select("cell_id", "cell_idx", "cell_type", "centroid_x", "centroid_y")
+    n = view(s, d, "v_molecules").join(c.select("cell_id", "cell_type"), "cell_id").groupBy("cell_id", "cell_type", "factor").agg(F.count(F.lit(1)).alias("n"))
+    whole = n.groupBy("cell_id").agg(F.sum("n").alias("all"))
+    fractions = cut(n.join(whole, "cell_id").select("cell_id", "cell_type", "factor", (F.col("n") / F.col("all")).alias("share")), "fractions")
+    edges = spatial.radius_join(c, c, 15.0, "cell_id").select("src", "dst")
+    rules = admixture.neighbor_rules(admixture.cooccurrence(fractions, edges, c.select("cell_id", "cell_type"), admixture.native_types(fractions)))
+    return _rounded(rules, "mean_with", "mean_without", "delta", "t", "df").drop("p")
+
+
+def _cached_z(s: SparkSession, d: str) -> DataFrame:
+    """A cache of depths: a region first, then an update of some, then the whole; the rest is fitted only once."""
+    folder = shared_path(s, "z-cache")
+    z = view(s, d, "v_z_attrs").join(view(s, d, "v_cells").select("cell_id", "centroid_x", "centroid_y"), "cell_id")
+
+    def fit(box: tuple | None) -> DataFrame:
+        inside = z if box is None else z.where(F.col("centroid_x").between(*box[:2]) & F.col("centroid_y").between(*box[2:]))
+        return inside.select("cell_id", "z_center_um", "z_extent_um", "z_confidence")
+
+    region = versioned.load_or_fit(s, folder, "cell_id", fit, (100.0, 200.0, 0.0, 1e9))
+    versioned.upsert(region.where("z_confidence < 0.5").withColumn("z_confidence", F.lit(1.0)), folder, "cell_id")
+    return versioned.load_or_fit(s, folder, "cell_id", fit, (150.0, 260.0, 0.0, 1e9))
+
+
+def _strips(s: SparkSession, d: str) -> DataFrame:
+    """Strips of a grid of 7 tiles a row whose molecules have arrived: tiles of 60 um that hold any."""
+    m = view(s, d, "v_molecules").where("x_location >= 0 and x_location < 420 and y_location >= 0")
+    tile = (F.floor(F.col("y_location") / 60) * 7 + F.floor(F.col("x_location") / 60)).alias("tile")
+    tiles = cut(m.groupBy(tile).agg(F.count(F.lit(1)).alias("value")), "tiles")
+    rows = tiles.agg(F.max("tile")).first()[0]
+    return strips.ready(tiles, (rows or 0) // 7 + 1, 7)
+
+
 def _crop_sql() -> str:
     return f"SELECT concat('crop_', lpad(CAST(row_number() OVER (ORDER BY pick) AS VARCHAR), 5, '0')) AS crop_id, round(x - 30, 6) AS xmin, round(x + 30, 6) AS xmax, round(y - 30, 6) AS ymin, round(y + 30, 6) AS ymax FROM k"
 
@@ -142,6 +187,40 @@ ALL = {
         ).replace("p2 AS", "u1 AS (SELECT *, 1 AS turn FROM p1), p2 AS", 1)
         + " SELECT concat('region', row_number() OVER (ORDER BY n_cells DESC, turn)) AS region, round(x0 + wx * 50, 6) AS xmin, round(y0 + wy * 50, 6) AS ymin, n_cells FROM u4, e",
     ),
+    "crop_counts_many_boxes": (
+        _many_boxes,
+        """b AS (SELECT cell_idx AS o, cell_id AS crop_id, centroid_x AS x, centroid_y AS y FROM v_cells WHERE cell_idx % 15 = 1),
+        m AS (SELECT cell_id, (SELECT min(o) FROM b WHERE x_location BETWEEN x - 12 AND x + 12 AND y_location BETWEEN y - 12 AND y + 12) AS o FROM v_molecules WHERE qv >= 20)
+        SELECT crop_id, count(m.o) AS total, count(m.o) FILTER (WHERE m.cell_id <> 'UNASSIGNED') AS assigned FROM b LEFT JOIN m USING (o) GROUP BY 1""",
+    ),
+    "neighbor_cooccurrence": (
+        _strata,
+        """c AS (SELECT cell_id, cell_type, centroid_x AS x, centroid_y AS y FROM v_cells WHERE cell_type IS NOT NULL),
+        n AS (SELECT cell_id, cell_type, factor, count(*) AS n FROM v_molecules JOIN c USING (cell_id) GROUP BY 1, 2, 3), f AS (SELECT cell_id, cell_type, factor, n / sum(n) OVER (PARTITION BY cell_id) AS share FROM n),
+        k AS (SELECT cell_type, count(DISTINCT cell_id) AS cells FROM f GROUP BY 1),
+        s AS (SELECT factor, first(cell_type ORDER BY round(-v / cells, 9), cell_type) AS source FROM (SELECT factor, cell_type, sum(share) AS v FROM f GROUP BY 1, 2) JOIN k USING (cell_type) GROUP BY 1),
+        e AS (SELECT DISTINCT a.cell_id, b.cell_type AS source FROM c a JOIN c b ON a.cell_id <> b.cell_id AND """ + _D2 + """ <= 225),
+        g AS (SELECT factor, source, c.cell_type AS target, e.cell_id IS NOT NULL AS near, coalesce(share, 0) AS share FROM c JOIN s ON c.cell_type <> source LEFT JOIN e USING (cell_id, source) LEFT JOIN f USING (cell_id, factor)),
+        q AS (SELECT factor, source, target, count(*) FILTER (WHERE near) AS n1, count(*) FILTER (WHERE NOT near) AS n0, avg(share) FILTER (WHERE near) AS m1, avg(share) FILTER (WHERE NOT near) AS m0,
+          var_samp(share) FILTER (WHERE near) AS v1, var_samp(share) FILTER (WHERE NOT near) AS v0 FROM g GROUP BY 1, 2, 3),
+        u AS (SELECT *, v1 / n1 + v0 / n0 AS w, CASE WHEN n1 > 1 AND n0 > 1 AND v1 / n1 + v0 / n0 > 0 THEN (m1 - m0) / sqrt(v1 / n1 + v0 / n0) END AS t,
+          CASE WHEN n1 > 1 AND n0 > 1 AND v1 / n1 + v0 / n0 > 0 THEN power(v1 / n1 + v0 / n0, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v0 / n0, 2) / (n0 - 1)) END AS df FROM q),
+        p AS (SELECT *, df / 2 AS a, df / (df + t * t) AS x FROM u),
+        r AS (SELECT *, exp(a * ln(x) - lgamma(a) - lgamma(0.5e0) + lgamma(a + 0.5e0)) / a * list_sum([1 / sqrt(1 - x * power((i + 0.5e0) / 4000, 1 / a)) FOR i IN range(4000)]) / 4000 AS p FROM p)
+        SELECT factor, source, target, n1 AS n_with, n0 AS n_without, round(m1, 6) AS mean_with, round(m0, 6) AS mean_without, round(m1 - m0, 6) AS delta, round(t, 6) AS t, round(df, 6) AS df,
+        coalesce(n1 >= 30 AND n0 >= 30 AND t > 0 AND m1 - m0 >= 0.005 AND p < 0.01, false) AS is_rule FROM r""",
+    ),
+    "z_cache": (
+        _cached_z,
+        """SELECT cell_id, z_center_um, z_extent_um, CASE WHEN centroid_x < 125 AND z_confidence < 0.5 THEN 1.0e0 ELSE z_confidence END AS z_confidence
+        FROM v_z_attrs JOIN v_cells USING (cell_id) WHERE centroid_x BETWEEN 75 AND 285 AND centroid_y >= -25""",
+    ),
+    "strips_ready": (
+        _strips,
+        """t AS (SELECT CAST(floor(y_location / 60) * 7 + floor(x_location / 60) AS BIGINT) AS tile, count(*) AS v FROM v_molecules WHERE x_location >= 0 AND x_location < 420 AND y_location >= 0 GROUP BY 1),
+        n AS (SELECT max(tile) // 7 + 1 AS rows FROM t), b AS (SELECT tile // 7 + k AS strip, v FROM t, (VALUES (0), (1)) s(k))
+        SELECT strip, count(*) AS tiles, CAST(sum(v) AS DOUBLE) AS total FROM b, n WHERE strip <= rows - 1 GROUP BY strip HAVING count(*) = CASE WHEN strip = 0 THEN 7 ELSE 14 END""",
+    ),
     "split_many_regions": (
         _override,
         f"""{_CELLS}, r AS (SELECT (p_partkey * 37) % 400 - 4e0 AS xmin, (p_partkey * 61) % 300 - 4e0 AS ymin, CASE WHEN p_partkey % 3 = 0 THEN 'test' ELSE 'val' END AS s FROM part)
