@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellspan.functions.columns import clip
 from cellspan.operators.quantiles import quantile_table, wide_quantiles
 from cellspan.operators.ranks import places, running
+from cellspan.operators.staging import cut
 
 
 def quantile_targets(stats: DataFrame, values: list[str], qs: list[float], least: int) -> DataFrame:
@@ -119,14 +120,15 @@ def naive_bayes(flags: DataFrame, methods: list[str], truth: str = "truth", eps:
 def calibrated_consensus(methods: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """Rules of several methods: tier, strengths over their F1 threshold (truth: at least two methods), their geometric mean, posterior."""
     names = list(methods)
-    rows = reduce(DataFrame.unionByName, (d.select(*keys, "strength", F.lit(m).alias("method")) for m, d in methods.items()))
+    rows = cut(reduce(DataFrame.unionByName, (d.select(*keys, "strength", F.lit(m).alias("method")) for m, d in methods.items())), "rules")
     wide = rows.groupBy(*keys).pivot("method", names).agg(F.max("strength"))
     wide = wide.withColumns({f"by_{m}": F.col(m).isNotNull() for m in names})
     wide = wide.withColumn("n_methods", reduce(lambda a, b: a + b, (F.col(f"by_{m}").cast("int") for m in names)))
+    wide = cut(wide, "found")
     truth = wide.where("n_methods >= 2").select(*keys)
     for m in names:
-        cut = f1_calibration(methods[m], truth, keys).select(F.col("threshold").alias(f"cut_{m}"))
-        wide = wide.join(F.broadcast(cut), F.lit(True), "left")  # one row at most
+        best = f1_calibration(rows.where(F.col("method") == m).select(*keys, "strength"), truth, keys).select(F.col("threshold").alias(f"cut_{m}"))
+        wide = wide.join(F.broadcast(best), F.lit(True), "left")  # one row at most
     post = naive_bayes(wide.select(*(F.col(f"by_{m}") for m in names), (F.col("n_methods") >= 2).alias("truth")), [f"by_{m}" for m in names])
     wide = wide.withColumns({f"{m}_calibrated": F.when(F.col(f"by_{m}") & (F.col(f"cut_{m}") != 0), F.col(m) / F.col(f"cut_{m}")).otherwise(0.0) for m in names})
     strengths = F.filter(F.array(*(F.col(f"{m}_calibrated") for m in names)), lambda v: v > 0)

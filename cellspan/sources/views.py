@@ -48,10 +48,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     own = {t: f"cellspan_{zlib.crc32(sf_dir.encode()):08x}_{t}" for t in (*BASE, "v_cells")}
     text = lambda sql: re.sub(r"\b(" + "|".join(own) + r")\b", lambda m: own[m[0]], sql)
-    for table in BASE:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(own[table])
-    if name != "v_cells":
-        spark.sql(text(CELLS)).createOrReplaceTempView(own["v_cells"])
+    for table in own:  # those that the view names, each listed once in a session
+        if re.search(rf"\b{table}\b", VIEWS[name] + CELLS * ("v_cells" in VIEWS[name])) and not spark.catalog.tableExists(own[table]):
+            rows = spark.sql(text(CELLS)) if table == "v_cells" else spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            rows.createOrReplaceTempView(own[table])
     return spark.sql(text(VIEWS[name]))
 
 
