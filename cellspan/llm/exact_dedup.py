@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import filter_by_keys, free_names, stage
+from .store import filter_by_keys, free_names, quoted, stage
 
 #: Candidates asked of the sketch, and counters that it keeps: a digest with more than 3.5 / TRACKED of all rows is found.
 TOP, TRACKED, BRANCHES = 256, 1024, 64
@@ -83,4 +83,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sha = F.sha2(normalised(docs[text_col]), 256)
     found = docs.join(pairs, docs[id_col].eqNullSafe(pairs[own_id]) & (sha == pairs[own_sha]))
     first = Window.partitionBy(own_id, own_sha).orderBy(own_id)
-    return found.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*docs.columns)
+    return found.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*map(quoted, docs.columns))

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import checked_broadcast, free_names, stage
+from .store import checked_broadcast, free_names, quoted, stage
 
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,6 +35,8 @@ KINDS = ["assign", "access", "hex", "random"]
 HEX_SYMBOLS = "0123456789abcdef"
 BASE32_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: The letters that make up two thirds of written words in the languages of Latin script.
+OFTEN = "AEINORST"
 #: Lower ends of the length classes of the false-discovery control, and steps of its thresholds.
 LENGTHS, STEPS = (20, 24, 32, 48, 96), 100
 #: Standard errors by which an estimate must exceed the false-discovery rate to count as above it.
@@ -74,11 +76,15 @@ def randomness(rows: DataFrame, run: str = "run") -> DataFrame:
     rows = rows.withColumn("symbols", F.when(hexes, HEX_SYMBOLS).when(base32, BASE32_SYMBOLS).otherwise(BASE64_SYMBOLS))
     values = F.transform(F.regexp_extract_all("plain", F.lit("."), F.lit(0)), lambda x: F.call_function("instr", F.col("symbols"), x).cast("double") - 1)
     rows = rows.withColumn("values", values).withColumn("n", F.size("values").cast("double")).withColumn("middle", F.length("symbols") / 2)
-    # Cells of the alphabet with their shares: single symbols for hex, ranges of like symbols for the larger ones.
-    shares = F.when(hexes, F.array_repeat(F.lit(1 / 16), 16)).when(base32, F.array(*map(F.lit, (13 / 32, 13 / 32, 6 / 32))))
-    rows = rows.withColumn("shares", shares.otherwise(F.array(*map(F.lit, (26 / 64, 26 / 64, 10 / 64, 2 / 64)))))
-    wide = lambda x: F.when(x < 26, 0).when(x < 52, 1).when(x < 62, 2).otherwise(3)
-    cell = lambda x: F.when(hexes, x.cast("int")).when(base32, F.floor(x / 13).cast("int")).otherwise(wide(x))
+    # Cells of the alphabet with their shares: single symbols for hex; for the larger ones, letters of either case that words are
+    # mostly made of, the other letters, digits, signs.  Names stand out by the first, random runs fill all alike.
+    often = len(OFTEN)
+    shares = F.when(hexes, F.array_repeat(F.lit(1 / 16), 16)).when(base32, F.array(*(F.lit(n / 32) for n in (often, 26 - often, 6))))
+    rows = rows.withColumn("shares", shares.otherwise(F.array(*(F.lit(n / 64) for n in (often, 26 - often, often, 26 - often, 10, 2)))))
+    common = lambda x: (x % 26).isin(*(float(ord(c) - 65) for c in OFTEN))
+    letter = lambda x, a: F.when(common(x), a).otherwise(a + 1)
+    wide = lambda x: F.when(x < 26, letter(x, 0)).when(x < 52, letter(x, 2)).when(x < 62, 4).otherwise(5)
+    cell = lambda x: F.when(hexes, x.cast("int")).when(base32, F.when(x < 26, letter(x, 0)).otherwise(2)).otherwise(wide(x))
     rows = rows.withColumn("cells", F.transform("values", cell))
     zero = F.struct(*(F.lit(v).cast("double").alias(k) for k, v in (("last", -1), ("s", 0), ("ss", 0), ("sp", 0), ("runs", 0), ("up", 0))))
     high = lambda v: v >= F.col("middle")
@@ -210,4 +216,4 @@ def redact_secrets(docs: DataFrame, fdr: float = 0.01, id_col: str = "doc_id", t
     change = {text_col: new}
     if "n_chars" in docs.columns:
         change["n_chars"] = F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
-    return joined.withColumns(change).select(*docs.columns)
+    return joined.withColumns(change).select(*map(quoted, docs.columns))

@@ -86,6 +86,11 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column name for select(), dots and back quotes in it among the rest."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True if df (cheap to count: a staged table) has at most limit rows."""
     return df.count() <= limit

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from cellspan.llm import packing, queries, secrets, sharding
+from cellspan.llm import exact_dedup, near_dedup, packing, queries, secrets, sharding
 from cellspan.llm.tokenizers import library
 
 from test_llm import brute_components
@@ -215,3 +215,42 @@ def test_hubs_and_large_buckets_are_split_without_loss(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4)
+
+
+def test_columns_with_dots(spark):
+    """Stages keep columns of any name, also where rows have to be told apart by text."""
+    rows = [(1, 'x token = "abcDEF123456ghi" y', 1, "p"), (2, "some text here", 2, "q"), (2, "other text here", 3, "r"), (3, "some  text here", 4, "s"), (None, "some text here", 5, "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` int, `kept``id` string")
+    for stage in (exact_dedup.drop_copies, secrets.redact_secrets, near_dedup.drop_near_duplicates):
+        out = stage(docs)
+        assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} <= {r[2:] for r in rows}
+    assert len(exact_dedup.drop_copies(docs).collect()) == 3
+
+
+NAMES = (
+    "get set user account manager config test server handler request response token index cache store query result model view control service factory client message queue event "
+    "stream buffer reader writer file path name type value list string number date error status code level group table column field key thread pool task worker node region image "
+    "pixel color width height length count total average first last next open close start stop begin create delete update insert select merge split join filter search replace copy"
+).split()
+
+
+def names(n, rng):
+    """Identifiers and paths of 20 to some 50 characters: camel case, with and without digits, snake case."""
+    out = []
+    while len(out) < n:
+        style, name = len(out) % 4, ""
+        while len(name) < 20 + len(out) % 24:
+            w = rng.choice(NAMES)
+            name += (w.capitalize(), ("_" if name else "") + w, ("/" if name else "") + w, w.capitalize() + str(rng.randrange(1000)))[style]
+        out.append(name)
+    return out
+
+
+def test_names_are_not_random(spark):
+    """Of 1000 made-up names at most 4 % pass for random; of as many random keys 96 % at least do."""
+    rng = random.Random(2)
+    keys = ["".join(rng.choice(LETTERS) for _ in range(rng.choice([20, 24, 32, 40, 64]))) for _ in range(1000)]
+    rows = [("name", r) for r in names(1000, rng)] + [("key", r) for r in keys]
+    p = secrets.randomness(spark.createDataFrame(rows, "kind string, run string")).collect()
+    share = {k: sum(r.p >= 0.01 for r in p if r.kind == k) / 1000 for k in ("name", "key")}
+    assert share["name"] <= 0.04 and share["key"] >= 0.96
