@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.operators import admixture, assignment, cells, crops, nearest, spatial, suppression
+from cellspan.operators import admixture, assignment, cells, crops, fields, nearest, spatial, stats, suppression
 from cellspan.operators.staging import cut, shared_path
 from cellspan.sources import bundle, versioned
 from cellspan.sources.views import view
@@ -119,6 +119,31 @@ def _strips(s: SparkSession, d: str) -> DataFrame:
     return strips.ready(tiles, (rows or 0) // 7 + 1, 7)
 
 
+def _neighbours(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = view(s, d, "v_cells")
+    return c, spatial.knn_join(c, c, 6, 15.0).select("src", "dst")
+
+
+def _gibbs(s: SparkSession, d: str) -> DataFrame:
+    """Types drawn by the marginal of the cells' types and what their neighbours are, then held to the marginal."""
+    c, edges = _neighbours(s, d)
+    n = {r["cell_type"]: float(r["n"]) for r in c.where("cell_type is not null").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cond = {(r["type_a"], r["type_b"]): r["share"] for r in stats.neighbor_matrix(edges, c).collect()}  # types squared rows
+    drawn = fields.gibbs_types(c.select(F.col("cell_idx").alias("node")), edges, n, cond, 2)
+    return drawn.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tilts(s: SparkSession, d: str) -> DataFrame:
+    c, edges = _neighbours(s, d)
+    start = c.select(F.col("cell_idx").alias("node"), (F.col("cell_area") / 40).alias("angle"), (F.col("cell_area") / F.col("nucleus_area")).alias("ratio"))
+    return _rounded(fields.sample_tilts(edges, start, sweeps=5), "angle")
+
+
+def _coloured(s: SparkSession, d: str) -> DataFrame:
+    c, edges = _neighbours(s, d)
+    return fields.colours(edges, c.select(F.col("cell_idx").alias("node")))
+
+
 def _crop_sql() -> str:
     return f"SELECT concat('crop_', lpad(CAST(row_number() OVER (ORDER BY pick) AS VARCHAR), 5, '0')) AS crop_id, round(x - 30, 6) AS xmin, round(x + 30, 6) AS xmax, round(y - 30, 6) AS ymin, round(y + 30, 6) AS ymax FROM k"
 
@@ -131,7 +156,7 @@ g AS (SELECT i, [{{'x': x, 'y': y}}] AS held FROM r WHERE i = 1 UNION ALL
 #: Queries whose SQL goes step by step.
 RECURSIVE = {"min_distance_cells", "grid_crop_boxes", "density_crop_boxes"}
 
-#: Queries without SQL are held against plain Python in tests/test_crops.py and tests/test_greedy.py.
+#: Queries without SQL are held against plain Python in tests/test_crops.py, test_greedy.py and test_fields.py.
 ALL = {
     "knn_uncapped_per_crop": (
         _knn,
@@ -210,6 +235,9 @@ ALL = {
         SELECT factor, source, target, n1 AS n_with, n0 AS n_without, round(m1, 6) AS mean_with, round(m0, 6) AS mean_without, round(m1 - m0, 6) AS delta, round(t, 6) AS t, round(df, 6) AS df,
         coalesce(n1 >= 30 AND n0 >= 30 AND t > 0 AND m1 - m0 >= 0.005 AND p < 0.01, false) AS is_rule FROM r""",
     ),
+    "gibbs_types_drawn": (_gibbs, None),
+    "tilt_sweeps": (_tilts, None),
+    "graph_colours": (_coloured, None),
     "z_cache": (
         _cached_z,
         """SELECT cell_id, z_center_um, z_extent_um, CASE WHEN centroid_x < 125 AND z_confidence < 0.5 THEN 1.0e0 ELSE z_confidence END AS z_confidence
