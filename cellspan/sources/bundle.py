@@ -14,6 +14,7 @@ from cellspan.functions import columns
 MANIFEST = "experiment.json"
 TABLES = ("transcripts", "cells", "cell_boundaries", "nucleus_boundaries")
 ALIASES = {"cell_id": ("cell_id", "cell"), "centroid_x": ("x_centroid", "x", "centroid_x"), "centroid_y": ("y_centroid", "y", "centroid_y"), "cell_type": ("cell_type", "celltype")}
+NUMBERS = ("x", "y", "x_centroid", "y_centroid", "z_centroid", "centroid_x", "centroid_y", "x_location", "y_location", "z_location", "qv", "vertex_x", "vertex_y", "cell_area", "nucleus_area", "transcript_counts", "nucleus_distance", "overlaps_nucleus")
 #: Boxes up to which a scan is given each box; beyond, their common bounds.
 MOST_BOXES = 64
 
@@ -40,7 +41,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
     for end in ("csv", "csv.gz"):
         if exists(spark, f"{folder}/{name}.{end}"):
-            rows = spark.read.csv(f"{folder}/{name}.{end}", header=True, inferSchema=True)
+            rows = spark.read.csv(f"{folder}/{name}.{end}", header=True)  # one pass; ids stay text
+            rows = rows.withColumns({c: F.col(c).cast("double") for c in rows.columns if c in NUMBERS})
             return rows.repartition(spark.sparkContext.defaultParallelism) if end == "csv.gz" else rows
     raise FileNotFoundError(f"{folder} has no table {name}")
 
@@ -151,7 +153,10 @@ def write_bundle(folder: str, molecules: DataFrame, cells: DataFrame, polygons:
 
 
 def replace_table(df: DataFrame, path: str, key: str) -> None:
-    """Write df sorted by key within files beside path, then take its place by renaming, so that a reader finds the old table or the new one."""
+    """Write df sorted by key within files beside path, then take its place by renaming; between the two renames a reader finds no table.
+
+    Tables that are read while they change are better kept in versions (sources.versioned), which have no such moment.
+    """
     fs, p = _fs(df.sparkSession, path)
     fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(fresh)
