@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.operators import images, raster
+from cellspan.operators import images, raster, spectra
 from cellspan.sources.views import view
 
 PIXEL = 0.5
@@ -94,10 +94,25 @@ def _enclosed(s: SparkSession, d: str) -> DataFrame:
     return out.select("component", "area", *(F.round(c, 6).alias(c) for c in ("cy", "cx", "radius", "enclosure", "score")))
 
 
+def _textured(s: SparkSession, d: str) -> DataFrame:
+    """The image of the cells with a value that repeats along its rows and columns."""
+    return _labels(s, d).select("scene_id", "y", "x", (((F.col("x") * 7 + F.col("y") * 13) % 97) / 97).alias("value"))
+
+
+def _radial(s: SparkSession, d: str) -> DataFrame:
+    power = spectra.log_power(_textured(s, d), 32, 12)
+    return power.groupBy("bin").agg(F.count(F.lit(1)).alias("patches"), F.round(F.avg("power"), 4).alias("power"))
+
+
+def _anisotropy(s: SparkSession, d: str) -> DataFrame:
+    polar = spectra.log_power(_textured(s, d), 32, 8, 8)
+    return spectra.anisotropy(polar, 8, 8).select("py", "px", F.round("anisotropy", 4).alias("anisotropy"))
+
+
 #: Queries whose SQL goes step by step.
 RECURSIVE = {"label_contours", "scene_geometry", "collect_polygons"}
 
-#: Queries without SQL are held against plain Python in tests/test_images.py.
+#: Queries without SQL are held against plain Python in tests/test_images.py and test_sampling.py.
 ALL = {
     "painted_labels": (
         lambda s, d: _labels(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("area"), F.sum("nucleus").alias("nucleus")),
@@ -117,4 +132,6 @@ ALL = {
         UNION ALL SELECT cell_idx + 1, 'real', CAST(vertex_ord AS BIGINT), round(vertex_x, 6), round(vertex_y, 6) FROM v_polygons WHERE cell_idx % 2 = 0""",
     ),
     "enclosed_ridges": (_enclosed, None),
+    "radial_power": (_radial, None),
+    "cardinal_anisotropy": (_anisotropy, None),
 }

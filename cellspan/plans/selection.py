@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.operators import admixture, assignment, cells, crops, fields, nearest, spatial, stats, suppression
+from cellspan.operators import admixture, assignment, cells, crops, fields, nearest, sampling, spatial, stats, suppression
 from cellspan.operators.staging import cut, shared_path
 from cellspan.sources import bundle, versioned
 from cellspan.sources.views import view
@@ -144,6 +144,28 @@ def _coloured(s: SparkSession, d: str) -> DataFrame:
     return fields.colours(edges, c.select(F.col("cell_idx").alias("node")))
 
 
+def _states(s: SparkSession, d: str) -> DataFrame:
+    """States of cells, drawn by weights that differ by type."""
+    c = view(s, d, "v_cells").select(F.col("cell_idx").alias("key"), "cell_type")
+    types = c.where("cell_type is not null").select("cell_type").distinct()
+    names = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("state"), F.lit(p).alias("p")) for i, (n, p) in enumerate((("full", 5.0), ("nucleus_poor", 2.0), ("sliver", 1.0))))))
+    weights = types.select("cell_type", names.alias("w")).select("cell_type", "w.ord", "w.state", (F.col("w.p") * F.length("cell_type")).alias("p"))
+    return sampling.sample_states(c, weights, 7).groupBy("cell_type", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _templates(s: SparkSession, d: str) -> DataFrame:
+    """For cells without a type or nucleus data a template of the observed ones, by type and zone of 100 um."""
+    c = view(s, d, "v_cells").withColumn("zone", F.floor(F.col("centroid_x") / 100))
+    bank = c.where("cell_idx % 3 <> 0 and cell_type is not null").select(F.col("cell_idx").alias("template"), "cell_type", "zone")
+    return sampling.sample_templates(c.where("cell_idx % 3 = 0").select(F.col("cell_idx").alias("key"), "cell_type", "zone"), bank, 7).select("key", "template")
+
+
+def _split_manifest(s: SparkSession, d: str) -> DataFrame:
+    split = F.when(F.col("cell_idx") % 5 == 3, "val").when(F.col("cell_idx") % 5 == 4, "test").otherwise("train")
+    m = sampling.split_manifest(view(s, d, "v_cells").select(F.col("cell_id").alias("crop_id"), split.alias("split")))
+    return m.select("split", "n", F.array_join("crops", ",").alias("crops"))
+
+
 def _crop_sql() -> str:
     return f"SELECT concat('crop_', lpad(CAST(row_number() OVER (ORDER BY pick) AS VARCHAR), 5, '0')) AS crop_id, round(x - 30, 6) AS xmin, round(x + 30, 6) AS xmax, round(y - 30, 6) AS ymin, round(y + 30, 6) AS ymax FROM k"
 
@@ -156,7 +178,7 @@ g AS (SELECT i, [{{'x': x, 'y': y}}] AS held FROM r WHERE i = 1 UNION ALL
 #: Queries whose SQL goes step by step.
 RECURSIVE = {"min_distance_cells", "grid_crop_boxes", "density_crop_boxes"}
 
-#: Queries without SQL are held against plain Python in tests/test_crops.py, test_greedy.py and test_fields.py.
+#: Queries without SQL are held against plain Python in tests/test_crops.py, test_greedy.py, test_fields.py and test_sampling.py.
 ALL = {
     "knn_uncapped_per_crop": (
         _knn,
@@ -238,6 +260,13 @@ ALL = {
     "gibbs_types_drawn": (_gibbs, None),
     "tilt_sweeps": (_tilts, None),
     "graph_colours": (_coloured, None),
+    "sampled_states": (_states, None),
+    "sampled_templates": (_templates, None),
+    "split_manifest": (
+        _split_manifest,
+        """s AS (SELECT cell_id, CASE cell_idx % 5 WHEN 3 THEN 'val' WHEN 4 THEN 'test' ELSE 'train' END AS split FROM v_cells)
+        SELECT split, count(*) AS n, string_agg(cell_id, ',' ORDER BY cell_id) AS crops FROM s GROUP BY 1""",
+    ),
     "z_cache": (
         _cached_z,
         """SELECT cell_id, z_center_um, z_extent_um, CASE WHEN centroid_x < 125 AND z_confidence < 0.5 THEN 1.0e0 ELSE z_confidence END AS z_confidence
