@@ -107,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     # A SQL text that starts with a table expression of its own goes on with the views' list.
     texts = {k: with_views(sql) if sql.lstrip().startswith("SELECT") else with_views(f",{sql}").replace("\n,e AS", ",\ne AS") for k, (_, sql) in ALL.items() if sql}
-    return {k: sql.replace("WITH ", "WITH RECURSIVE ", 1) if k in selection.RECURSIVE | images.RECURSIVE else sql for k, sql in texts.items()}
+    return {k: sql.replace("WITH ", "WITH RECURSIVE ", 1) if k in selection.RECURSIVE | images.RECURSIVE | loops.RECURSIVE else sql for k, sql in texts.items()}

@@ -9,6 +9,7 @@ from cellspan.operators import models as ops
 from cellspan.operators import ranks, raster, spatial, stats, tiles
 from cellspan.plans.analysis import _NEAR, _r
 from cellspan.plans.measures import _MATCH, _matches
+from cellspan.plans.selection import GREEDY
 from cellspan.plans.tables import _BOUNDS, _bounds
 from cellspan.sources.views import view
 
@@ -189,6 +190,17 @@ def _injected(s: SparkSession, d: str) -> DataFrame:
     return m.where("r <= floor(all * 0.3)").groupBy("cell_idx", "to").agg(F.count(F.lit(1)).alias("n"))
 
 
+_NMS = "c AS (SELECT cell_idx, centroid_x AS x, centroid_y AS y FROM v_cells), " + GREEDY.format(order="cell_idx", rows="c", d2="= 100", stop="") + " SELECT cell_idx FROM r JOIN g USING (i)"
+_RASTER = """e AS (SELECT cell_idx, vertex_x AS ax, vertex_y AS ay, coalesce(lead(vertex_x) OVER w, first_value(vertex_x) OVER w) AS bx, coalesce(lead(vertex_y) OVER w, first_value(vertex_y) OVER w) AS by_
+  FROM v_polygons WINDOW w AS (PARTITION BY cell_idx ORDER BY vertex_ord)),
+b AS (SELECT cell_idx, CAST(floor(min(vertex_x)) AS BIGINT) AS x0, CAST(floor(max(vertex_x)) AS BIGINT) AS x1, CAST(floor(min(vertex_y)) AS BIGINT) AS y0, CAST(floor(max(vertex_y)) AS BIGINT) AS y1 FROM v_polygons GROUP BY 1),
+q AS (SELECT cell_idx, py, unnest(generate_series(x0, x1)) AS px FROM (SELECT *, unnest(generate_series(y0, y1)) AS py FROM b)),
+i AS (SELECT cell_idx, px, py FROM q JOIN e USING (cell_idx) GROUP BY ALL HAVING count(*) FILTER (WHERE (ay > py + 0.5e0) <> (by_ > py + 0.5e0) AND px + 0.5e0 < (bx - ax) / (by_ - ay + 1e-12) * (py + 0.5e0 - ay) + ax) % 2 = 1)
+SELECT cell_idx, count(*) AS area FROM (SELECT px, py, max(cell_idx) AS cell_idx FROM i GROUP BY 1, 2) GROUP BY 1"""
+
+#: Queries whose SQL goes step by step.
+RECURSIVE = {"nms_thinning"}
+
 ALL = {
     "gmm_em_fixed2": (lambda s, d: _r(_mixture(s, d), "share", "centre", "scale"), _gmm_sql(2)),
     "compartment_responsibilities": (
@@ -226,7 +238,7 @@ ALL = {
         """m AS (SELECT cell_type, tx, ty FROM (SELECT *, unnest(generate_series(CAST(floor((centroid_x - 100) / 50) AS BIGINT) + 1, CAST(floor(centroid_x / 50) AS BIGINT))) AS tx FROM v_cells WHERE cell_type IS NOT NULL) c, generate_series(CAST(floor((centroid_y - 100) / 50) AS BIGINT) + 1, CAST(floor(centroid_y / 50) AS BIGINT)) t(ty)),
         n AS (SELECT tx, ty, cell_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY tx, ty) AS total FROM m GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY round(n / total, 9) DESC, tx, ty) AS rank FROM n WHERE total >= 10) SELECT cell_type, tx, ty, round(n / total, 6) AS share, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""",
     ),
-    "nms_thinning": (lambda s, d: ops.thin(view(s, d, "v_cells"), 10.0, "cell_idx", "centroid_x", "centroid_y").select("cell_idx"), None),
+    "nms_thinning": (lambda s, d: ops.thin(view(s, d, "v_cells"), 10.0, "cell_idx", "centroid_x", "centroid_y").select("cell_idx"), _NMS),
     "top_objects": (lambda s, d: view(s, d, "v_cells").select("cell_idx", (F.col("cell_area") * F.col("nucleus_area")).alias("score")).orderBy(F.desc("score"), "cell_idx").limit(64), "SELECT cell_idx, cell_area * nucleus_area AS score FROM v_cells ORDER BY score DESC, cell_idx LIMIT 64"),
     "top5_scores": (
         lambda s, d: view(s, d, "v_molecules").where("cell_id <> 'UNASSIGNED'").groupBy("cell_id", "factor").agg(F.count(F.lit(1)).alias("n")).groupBy("cell_id").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "factor"))), 1, 5), lambda v: F.concat_ws(":", v["factor"].cast("string"), (-v["m"]).cast("string"))), ",").alias("top")),
@@ -277,7 +289,7 @@ ALL = {
         "p AS (SELECT scene_id, label, greatest(value - 0.1e0, 0) AS v FROM v_pixels WHERE label > 0) SELECT scene_id, label, CAST(sum(round_even(v * 4095, 0)) AS BIGINT) AS none, CAST(sum(floor(100 + v * 2900)) AS BIGINT) AS lut_native, CAST(sum(floor(v * 3000)) AS BIGINT) AS lut_zerofloor, CAST(sum(floor(v * 5000e0 / 0.8e0)) AS BIGINT) AS scale FROM p GROUP BY 1, 2",
     ),
     "pyramid_2x": (lambda s, d: _r(raster.pyramid(view(s, d, "v_pixels")), "value"), "SELECT scene_id, CAST(floor(y / 2) AS BIGINT) AS y2, CAST(floor(x / 2) AS BIGINT) AS x2, round(avg(value), 6) AS value FROM v_pixels GROUP BY 1, 2, 3"),
-    "rasterise_last": (lambda s, d: raster.rasterise(view(s, d, "v_polygons"), 1.0, True).groupBy("cell_idx").agg(F.count(F.lit(1)).alias("area")), None),
+    "rasterise_last": (lambda s, d: raster.rasterise(view(s, d, "v_polygons"), 1.0, True).groupBy("cell_idx").agg(F.count(F.lit(1)).alias("area")), _RASTER),
     "erode_labels": (
         lambda s, d: raster.erode(view(s, d, "v_pixels")).groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("area")),
         "SELECT scene_id, label, count(*) AS area FROM (SELECT a.scene_id, a.label, a.y, a.x FROM v_pixels a JOIN v_pixels b ON a.scene_id = b.scene_id AND a.label = b.label AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 WHERE a.label > 0 GROUP BY 1, 2, 3, 4 HAVING count(*) = 9) GROUP BY 1, 2",

@@ -171,9 +171,10 @@ def _crop_sql() -> str:
 
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
-_GREEDY = """r AS (SELECT *, row_number() OVER (ORDER BY {order}) AS i FROM {rows}),
+#: The greedy choice in an order, step by step; d2: what a squared distance to a kept one must not be below (a leading "=": nor equal).
+GREEDY = """r AS (SELECT *, row_number() OVER (ORDER BY {order}) AS i FROM {rows}),
 g AS (SELECT i, [{{'x': x, 'y': y}}] AS held FROM r WHERE i = 1 UNION ALL
-  SELECT n.i, list_append(g.held, {{'x': n.x, 'y': n.y}}) FROM g, LATERAL (SELECT i, x, y FROM r WHERE r.i > g.i AND len([h FOR h IN g.held IF (h.x - r.x) * (h.x - r.x) + (h.y - r.y) * (h.y - r.y) < {d2}]) = 0 ORDER BY i LIMIT 1) n{stop})"""
+  SELECT n.i, list_append(g.held, {{'x': n.x, 'y': n.y}}) FROM g, LATERAL (SELECT i, x, y FROM r WHERE r.i > g.i AND len([h FOR h IN g.held IF (h.x - r.x) * (h.x - r.x) + (h.y - r.y) * (h.y - r.y) <{d2}]) = 0 ORDER BY i LIMIT 1) n{stop})"""
 
 #: Queries whose SQL goes step by step.
 RECURSIVE = {"min_distance_cells", "grid_crop_boxes", "density_crop_boxes"}
@@ -195,7 +196,7 @@ ALL = {
     "hungarian_summary": (lambda s, d: _rounded(_match_rates(s, d), "mean_distance", "rate_a", "rate_b", "spurious_b"), None),
     "min_distance_cells": (
         _apart,
-        "c AS (SELECT cell_idx, cell_area, centroid_x AS x, centroid_y AS y FROM v_cells), " + _GREEDY.format(order="cell_area DESC, cell_idx", rows="c", d2=625, stop="") + " SELECT cell_idx FROM r JOIN g USING (i)",
+        "c AS (SELECT cell_idx, cell_area, centroid_x AS x, centroid_y AS y FROM v_cells), " + GREEDY.format(order="cell_area DESC, cell_idx", rows="c", d2=625, stop="") + " SELECT cell_idx FROM r JOIN g USING (i)",
     ),
     "spread_crop_boxes": (
         lambda s, d: _crops(s, d, "spread"),
@@ -214,7 +215,7 @@ ALL = {
         lambda s, d: _crops(s, d, "density"),
         f"""{_CELLS}, q AS (SELECT floor(x / 30) AS gx, floor(y / 30) AS gy, count(*) AS n FROM c GROUP BY 1, 2),
         v AS (SELECT c.*, (SELECT sum(n) FROM q WHERE gx BETWEEN floor(x / 30) - 1 AND floor(x / 30) + 1 AND gy BETWEEN floor(y / 30) - 1 AND floor(y / 30) + 1) AS density FROM c),
-        {_GREEDY.format(order="density DESC, molecules DESC, x, y, cell_id", rows="v", d2=3600, stop=" WHERE len(g.held) < 20")},
+        {GREEDY.format(order="density DESC, molecules DESC, x, y, cell_id", rows="v", d2=3600, stop=" WHERE len(g.held) < 20")},
         k AS (SELECT x, y, row_number() OVER (ORDER BY own DESC, i) AS pick FROM (SELECT r.*, (i IN (SELECT i FROM g)) AS own FROM r) QUALIFY pick <= 20) {_crop_sql()}""",
     ),
     "stratified_crop_boxes": (lambda s, d: _crops(s, d, "stratified"), None),
