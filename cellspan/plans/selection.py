@@ -166,6 +166,15 @@ def _split_manifest(s: SparkSession, d: str) -> DataFrame:
     return m.select("split", "n", F.array_join("crops", ",").alias("crops"))
 
 
+def _gene_sides(s: SparkSession, d: str) -> DataFrame:
+    """Molecules of every gene within cells and outside, both sides whole."""
+    m = view(s, d, "v_molecules")
+    side = lambda c, n: m.where(c).groupBy("feature_name").agg(F.count(F.lit(1)).alias(n))
+    both = side("cell_id <> 'UNASSIGNED'", "inside").join(side("cell_id = 'UNASSIGNED'", "outside"), "feature_name", "full")
+    inside, outside = F.coalesce("inside", F.lit(0)), F.coalesce("outside", F.lit(0))
+    return both.select("feature_name", inside.alias("inside"), outside.alias("outside"), F.round(F.log2((inside + 1) / (outside + 1)), 6).alias("log_ratio"))
+
+
 def _crop_sql() -> str:
     return f"SELECT concat('crop_', lpad(CAST(row_number() OVER (ORDER BY pick) AS VARCHAR), 5, '0')) AS crop_id, round(x - 30, 6) AS xmin, round(x + 30, 6) AS xmax, round(y - 30, 6) AS ymin, round(y + 30, 6) AS ymax FROM k"
 
@@ -258,6 +267,11 @@ ALL = {
         SELECT factor, source, target, n1 AS n_with, n0 AS n_without, round(m1, 6) AS mean_with, round(m0, 6) AS mean_without, round(m1 - m0, 6) AS delta, round(t, 6) AS t, round(df, 6) AS df,
         coalesce(n1 >= 30 AND n0 >= 30 AND t > 0 AND m1 - m0 >= 0.005 AND p < 0.01, false) AS is_rule FROM r""",
     ),
+    "gene_counts_sides": (
+        _gene_sides,
+        """a AS (SELECT feature_name, count(*) AS n FROM v_molecules WHERE cell_id <> 'UNASSIGNED' GROUP BY 1), b AS (SELECT feature_name, count(*) AS n FROM v_molecules WHERE cell_id = 'UNASSIGNED' GROUP BY 1)
+        SELECT feature_name, coalesce(a.n, 0) AS inside, coalesce(b.n, 0) AS outside, round(log2((coalesce(a.n, 0) + 1) / (coalesce(b.n, 0) + 1)), 6) AS log_ratio FROM a FULL JOIN b USING (feature_name)""",
+    ),
     "gibbs_types_drawn": (_gibbs, None),
     "tilt_sweeps": (_tilts, None),
     "graph_colours": (_coloured, None),
