@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspan.operators import geometry, spatial, stats
-from cellspan.plans import analysis, images, loops, measures, rules, selection, tables
+from cellspan.plans import analysis, context, images, loops, measures, rules, selection, tables
 from cellspan.sources.views import view, with_views
 
 FLAGSHIP = "crop_counts"
@@ -97,7 +97,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "z_upsert": (_upsert, "SELECT cell_id, z_center_um, z_extent_um, CASE WHEN z_confidence < 0.3 THEN 1.0e0 ELSE z_confidence END AS z_confidence FROM v_z_attrs"),
 }
 
-ALL |= analysis.ALL | tables.ALL | measures.ALL | loops.ALL | selection.ALL | images.ALL | rules.ALL
+ALL |= analysis.ALL | tables.ALL | measures.ALL | loops.ALL | selection.ALL | images.ALL | rules.ALL | context.ALL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

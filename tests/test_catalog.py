@@ -21,7 +21,7 @@ def oracle():
 
 @pytest.mark.parametrize("name", sorted(set(catalog.ALL) - set(catalog.oracle_sql())))
 def test_query_without_sql_has_rows(spark, name):
-    """Their operators are held against plain Python in test_models, test_greedy, test_crops, test_images, test_fields, test_tails and test_sampling."""
+    """Their operators are held against plain Python in test_models, test_greedy, test_crops, test_images, test_fields, test_tails, test_sampling and test_sections."""
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
