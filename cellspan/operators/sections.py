@@ -45,12 +45,14 @@ def section_quantiles(shapes: DataFrame, keys: list[str], draws: DataFrame) -> D
     """keys, area and ratio (arrays for PARTS) of shapes (keys, log_radius_mean, log_radius_std, k1, k2, k3) over the draws of planes().
 
     A radius is exp(mean + std z); the axes are it times exp(k), the k taken about their mean.  Grazing cuts (1 - u squared at most 0.001) are left out.
-    Every shape meets the same few draws, which are broadcast; a group has as many rows as draws.
+    Every shape meets the same few draws, which are broadcast; a group has as many rows as draws.  Shapes are dealt out before they meet
+    them, so that their groups need no shuffle of cuts.
     """
+    parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own is not coalesced, as the few rows of shapes would be
     mean = (F.col("k1") + F.col("k2") + F.col("k3")) / 3
     axes = [F.exp(F.col("log_radius_mean") + F.col("log_radius_std") * F.col("z") + F.col(k) - mean) for k in ("k1", "k2", "k3")]
     area, ratio = section(axes, [F.col(n) for n in ("n1", "n2", "n3")], F.col("u"))
-    cuts = shapes.crossJoin(F.broadcast(draws.where(1 - F.col("u") ** 2 > 1e-3))).select(*keys, area.alias("area"), ratio.alias("ratio"))  # draws: a set number
+    cuts = shapes.repartition(parts, *keys).crossJoin(F.broadcast(draws.where(1 - F.col("u") ** 2 > 1e-3))).select(*keys, area.alias("area"), ratio.alias("ratio"))  # draws: a set number
     return cuts.groupBy(*keys).agg(*(F.percentile(c, list(PARTS)).alias(c) for c in ("area", "ratio")))
 
 

@@ -24,7 +24,7 @@ def _moves(s: SparkSession, d: str) -> DataFrame:
 
 def _rules(s: SparkSession, d: str) -> DataFrame:
     types = view(s, d, "v_cells").select(F.col("cell_idx").alias("cell"), "cell_type")
-    return reassignment.rules(_moves(s, d), types, least=5, rate=0.05).drop("p").withColumn("rate", F.round("rate", 6))
+    return reassignment.rules(_moves(s, d), types, least=5, rate=0.001).drop("p").withColumn("rate", F.round("rate", 6))
 
 
 _MOVES = """u AS (SELECT mol, min(factor) AS factor, min(cell) AS cell, min(x) AS x, min(y) AS y FROM (
@@ -97,7 +97,7 @@ ALL = {
         _rules,
         f"""{_MOVES}, g AS (SELECT factor, a.cell_type AS target, CASE WHEN z.cell <> was THEN b.cell_type END AS source, count(*) AS k FROM z JOIN v_cells a ON a.cell_idx = was AND a.cell_type IS NOT NULL JOIN v_cells b ON b.cell_idx = z.cell GROUP BY 1, 2, 3),
         t AS (SELECT factor, target, CAST(sum(k) AS BIGINT) AS n_in_target FROM g GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY factor, target ORDER BY k DESC, source) AS r FROM g WHERE source IS NOT NULL)
-        SELECT factor, source, target, n_in_target, k AS n_moved, round(k / n_in_target, 6) AS rate FROM q JOIN t USING (factor, target) WHERE r = 1 AND source <> target AND n_in_target >= 5 AND k / n_in_target >= 0.05""",
+        SELECT factor, source, target, n_in_target, k AS n_moved, round(k / n_in_target, 6) AS rate FROM q JOIN t USING (factor, target) WHERE r = 1 AND source <> target AND n_in_target >= 5 AND k / n_in_target >= 0.001""",
     ),
     "ablation_modes": (
         _ablations,
