@@ -70,6 +70,7 @@ def fit_shapes(targets: DataFrame, n: int = 4000, seed: int = 0, rounds: int = 8
     whole = targets.where((F.size("area") == len(PARTS)) & (F.size("ratio") == len(PARTS)) & ~F.exists("area", lambda v: v.isNull()) & ~F.exists("ratio", lambda v: v.isNull()))
     wanted = whole.select("cell_type", logs("area").alias("want_area"), logs("ratio").alias("want_ratio"), F.ln(F.greatest(F.get("ratio", F.lit(2)), F.lit(1.0))).alias("long"))
     draws = cut(planes(targets.sparkSession, n, seed), "planes")
+    wanted = cut(wanted, "targets")  # read by every trial of the first round
     best = wanted.select("*", F.lit(0.3).alias("spread"), (F.col("long") / 2).alias("k1"), F.lit(0.0).alias("k2"), F.lit(0.2).alias("step"))
     moves = targets.sparkSession.createDataFrame([tuple(map(float, m)) for m in itertools.product((-1, 0, 1), repeat=3)], "m0 double, m1 double, m2 double")
     for _ in range(rounds):
