@@ -19,6 +19,10 @@ from cellspan.operators.staging import cut
 TILE = 256
 
 
+#: Neighbouring pixels of a row that one number holds, a bit each.
+WORD = 32
+
+
 def tiled(pixels: DataFrame, halo: int, tile: int) -> DataFrame:
     """pixels with (ty, tx), once for every tile whose core or halo they lie in."""
     out = pixels
@@ -27,10 +31,55 @@ def tiled(pixels: DataFrame, halo: int, tile: int) -> DataFrame:
     return out
 
 
-def paint(masks: DataFrame) -> DataFrame:
-    """(scene_id, y, x, label) of masks (scene_id, label, y, x) laid over each other: the smallest mask is on top, of equal ones the larger label."""
-    area = masks.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("area"))
-    return masks.join(area, ["scene_id", "label"]).groupBy("scene_id", "y", "x").agg(F.min_by("label", F.struct("area", -F.col("label"))).alias("label"))
+def packed(pixels: DataFrame, *flags: str) -> DataFrame:
+    """(scene_id, label, y, w, bits, n) of pixels (scene_id, y, x, label): bit k of bits is the pixel 32 w + k; n: rows that went in.
+
+    flags: columns of 0 and 1, each a number of bits of its own.  The rows of a label mostly lie together, so that they meet before the shuffle.
+    """
+    long = lambda c: F.col(c).cast("long").alias(c)
+    own = pixels.select(long("scene_id"), long("label"), long("y"), long("x"), *flags)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x", F.lit(WORD)).cast("int"))
+    marks = (F.bit_or(F.when(F.col(f) != 0, bit).otherwise(F.lit(0).cast("long"))).alias(f) for f in flags)
+    return own.groupBy("scene_id", "label", "y", F.floor(F.col("x") / WORD).alias("w")).agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n"), *marks)
+
+
+def words_tiled(words: DataFrame, halo: int, tile: int) -> DataFrame:
+    """packed() rows with (ty, tx), once for every tile whose core or halo one of their pixels may lie in."""
+    out = words.withColumn("ty", F.explode(F.sequence(F.floor((F.col("y") - halo) / tile), F.floor((F.col("y") + halo) / tile))))
+    low = F.col("w") * WORD
+    return out.withColumn("tx", F.explode(F.sequence(F.floor((low - halo) / tile), F.floor((low + (WORD - 1 + halo)) / tile))))
+
+
+def unpacked(p: pd.DataFrame, y0: int, x0: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(y, x, row, bit) of the set pixels of packed rows within the square of ``side`` pixels at (y0, x0), in its own coordinates and the rows' order."""
+    row, bit = np.nonzero((p["bits"].to_numpy()[:, None] >> np.arange(WORD)) & 1)
+    y, x = p["y"].to_numpy()[row] - y0, p["w"].to_numpy()[row] * WORD + bit - x0
+    ok = (y >= 0) & (y < side) & (x >= 0) & (x < side)
+    return y[ok], x[ok], row[ok], bit[ok]
+
+
+def paint(masks: DataFrame, *flags: str, tile: int = TILE) -> DataFrame:
+    """(scene_id, y, x, label) of masks (scene_id, label, y, x) laid over each other: the smallest mask is on top, of equal ones the larger label.
+
+    flags: columns of masks, 0 or 1, that the pixel on top brings with it.  Masks travel packed; a tile lays its own in order.
+    """
+
+    def laid(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        scene, ty, tx = key
+        p = p.sort_values(["area", "label"], ascending=[False, True])
+        y, x, row, bit = unpacked(p, ty * tile, tx * tile, tile)
+        top = np.full((tile, tile), -1, np.int64)
+        top[y, x] = np.arange(len(y))  # the last one stays
+        top = top[top >= 0]
+        own = {f: (p[f].to_numpy()[row[top]] >> bit[top]) & 1 for f in flags}
+        return pd.DataFrame({"scene_id": scene, "y": y[top] + ty * tile, "x": x[top] + tx * tile, "label": p["label"].to_numpy()[row[top]]} | own)
+
+    own = packed(masks, *flags)
+    area = own.groupBy("scene_id", "label").agg(F.sum("n").alias("area"))
+    own = own.join(area.hint("shuffle_hash"), ["scene_id", "label"]).drop("n")
+    names = ("scene_id", "y", "x", "label", *flags)
+    out = words_tiled(own, 0, tile).groupBy("scene_id", "ty", "tx").applyInPandas(laid, ", ".join(f"{c} bigint" for c in names))
+    return out.select(*(F.col(c).cast(masks.schema[c].dataType).alias(c) for c in names))
 
 
 def grow_labels(labels: DataFrame, margin: int, extent: DataFrame | None = None, tile: int = TILE) -> DataFrame:
@@ -44,7 +93,8 @@ def grow_labels(labels: DataFrame, margin: int, extent: DataFrame | None = None,
         side = tile + 2 * margin
         image = np.zeros((side + 2, side + 2), np.int64)  # a frame of background
         y0, x0 = ty * tile - margin, tx * tile - margin
-        image[p["y"].to_numpy() - y0 + 1, p["x"].to_numpy() - x0 + 1] = p["label"].to_numpy()
+        y, x, row, _ = unpacked(p, y0, x0, side)
+        image[y + 1, x + 1] = p["label"].to_numpy()[row]
         for _ in range(margin):
             rows = np.maximum(np.maximum(image[:-2], image[1:-1]), image[2:])
             near = np.maximum(np.maximum(rows[:, :-2], rows[:, 1:-1]), rows[:, 2:])
@@ -54,8 +104,8 @@ def grow_labels(labels: DataFrame, margin: int, extent: DataFrame | None = None,
         y, x = np.nonzero(core)
         return pd.DataFrame({"scene_id": scene, "y": y + ty * tile, "x": x + tx * tile, "label": core[y, x]})
 
-    own = labels.where("label > 0").select(F.col("scene_id").cast("long"), F.col("y").cast("long"), F.col("x").cast("long"), F.col("label").cast("long"))
-    out = tiled(own, margin, tile).groupBy("scene_id", "ty", "tx").applyInPandas(grown, "scene_id bigint, y bigint, x bigint, label bigint")
+    own = packed(labels.where("label > 0")).drop("n")
+    out = words_tiled(own, margin, tile).groupBy("scene_id", "ty", "tx").applyInPandas(grown, "scene_id bigint, y bigint, x bigint, label bigint")
     if extent is not None:
         out = out.join(extent, "scene_id").where((F.col("y") >= 0) & (F.col("y") < F.col("height")) & (F.col("x") >= 0) & (F.col("x") < F.col("width"))).drop("height", "width")
     return out
@@ -152,58 +202,98 @@ _ALONG = ((0, 1), (1, 0), (0, -1), (-1, 0))
 _ACROSS = ((-1, 0), (0, 1), (1, 0), (0, -1))
 
 
-def cracks(labels: DataFrame) -> DataFrame:
-    """(scene_id, label, y, x, side, id, next) of every side of a labelled pixel at which its label ends, and the side that follows on the ring.
+def cracks(labels: DataFrame, tile: int = TILE) -> DataFrame:
+    """Every side of a labelled pixel at which its label ends, as far as one tile can follow its ring.
 
-    Labels are four-connected: at a corner where a label meets itself only diagonally the ring stays with its pixel.
+    Labels are four-connected: at a corner where a label meets itself only diagonally the ring stays with its pixel.  A tile with the pixels around it
+    knows the side that follows each of its own: rings within it are closed, the others are runs from where they enter to where they leave.
+    scene_id, label, y, x, side; head: the first side of the run (of a closed ring, its least by number), pos: steps from there, closed; of the whole run:
+    its length and area (in pixels), its least side (low), the steps to that (at), and the side that follows (next).
     """
-    own = labels.where("label > 0").select("scene_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("label").cast("long").alias("label"))
-    shifts = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    s = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(shifts))))
-    seen = own.withColumn("s", s).select("scene_id", (F.col("y") - F.col("s.i")).alias("y"), (F.col("x") - F.col("s.j")).alias("x"), "s.k", "label")
-    near = seen.groupBy("scene_id", "y", "x").agg(*(F.max(F.when(F.col("k") == k, F.col("label"))).alias(f"n{k}") for k in range(9))).where("n4 is not null")
-    same = lambda i, j: F.coalesce(F.col(f"n{shifts.index((i, j))}") == F.col("n4"), F.lit(False))
-    number = lambda y, x, side: _number(y, x) * 4 + side
-    rows = []
-    for side in range(4):
-        (ay, ax), (cy, cx) = _ALONG[side], _ACROSS[side]
-        after = (
-            F.when(~same(ay, ax), number(F.col("y"), F.col("x"), F.lit((side + 1) % 4)))
-            .when(~same(ay + cy, ax + cx), number(F.col("y") + ay, F.col("x") + ax, F.lit(side)))
-            .otherwise(number(F.col("y") + ay + cy, F.col("x") + ax + cx, F.lit((side + 3) % 4)))
-        )
-        rows.append(F.when(~same(cy, cx), F.struct(F.lit(side).alias("side"), number(F.col("y"), F.col("x"), F.lit(side)).alias("id"), after.alias("next"))))
-    c = near.withColumn("c", F.explode(F.array(*rows))).where("c is not null")
-    return c.select("scene_id", F.col("n4").alias("label"), "y", "x", "c.side", "c.id", "c.next")
-
-
-def label_contours(labels: DataFrame, pixel: float = 1.0) -> DataFrame:
+
+    def runs(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        scene, ty, tx = key
+        image = np.zeros((tile + 2, tile + 2), np.int64)  # a frame from the tiles around
+        y, x, row, _ = unpacked(p, ty * tile - 1, tx * tile - 1, tile + 2)
+        image[y, x] = p["label"].to_numpy()[row]
+        core, found = image[1:-1, 1:-1], []
+        for side in range(4):
+            (ay, ax), (cy, cx) = _ALONG[side], _ACROSS[side]
+            y, x = np.nonzero((core > 0) & (image[1 + cy : 1 + cy + tile, 1 + cx : 1 + cx + tile] != core))
+            own = core[y, x]
+            turns = image[1 + y + ay, 1 + x + ax] != own
+            straight = ~turns & (image[1 + y + ay + cy, 1 + x + ax + cx] != own)
+            back = ~turns & ~straight
+            after = np.where(turns, (side + 1) % 4, np.where(straight, side, (side + 3) % 4))
+            found.append((own, y, x, np.full(len(y), side), y + ~turns * ay + back * cy, x + ~turns * ax + back * cx, after))
+        label, y, x, side, ny, nx, nside = (np.concatenate(c) for c in zip(*found, strict=True))
+        number = lambda y, x, side: _number(y + ty * tile, x + tx * tile) * 4 + side
+        name, following = number(y, x, side), number(ny, nx, nside)
+        n = len(y)
+        index = np.full((tile + 2, tile + 2, 4), n)  # n: outside
+        index[y + 1, x + 1, side] = np.arange(n)
+        after = np.append(index[ny + 1, nx + 1, nside], n)
+        rounds = int(n).bit_length()
+        far, low = after.copy(), np.append(name, np.iinfo(np.int64).max)
+        for _ in range(rounds):
+            low, far = np.minimum(low, low[far]), far[far]
+        closed = far[:n] < n
+        before = np.arange(n + 1)
+        before[after[:n]] = np.arange(n)
+        first = (closed & (low[:n] == name)) | (before[:n] == np.arange(n))
+        before[:n][first] = np.nonzero(first)[0]
+        before, pos = before[:n], (~first).astype(np.int64)
+        for _ in range(rounds):
+            pos, before = pos + pos[before], before[before]
+        # Runs as a whole, at their first side.
+        order = np.lexsort((pos, before))
+        start = np.nonzero(pos[order] == 0)[0]
+        at = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+        across = np.where(side == 1, x + tx * tile + 0.5, np.where(side == 3, 0.5 - (x + tx * tile), 0.0))[order]
+        out = pd.DataFrame({"scene_id": scene, "label": label[order], "y": y[order] + ty * tile, "x": x[order] + tx * tile, "side": side[order]})
+        out["head"], out["pos"], out["closed"] = name[before[order]], pos[order], closed[order]
+        if n:
+            least, size = np.minimum.reduceat(name[order], start), np.diff(np.append(start, n))
+            whole = {"length": size, "area": np.add.reduceat(across, start), "low": least}
+            whole |= {"at": pos[order][name[order] == least[at]], "next": following[order][np.append(start[1:], n) - 1]}
+        return out.assign(**({k: v[at] for k, v in whole.items()} if n else dict.fromkeys(("length", "area", "low", "at", "next"), pos)))
+
+    schema = "scene_id bigint, label bigint, y bigint, x bigint, side int, head bigint, pos bigint, closed boolean, length bigint, area double, low bigint, at bigint, next bigint"
+    return words_tiled(packed(labels.where("label > 0")).drop("n"), 1, tile).groupBy("scene_id", "ty", "tx").applyInPandas(runs, schema)
+
+
+def label_contours(labels: DataFrame, pixel: float = 1.0, tile: int = TILE) -> DataFrame:
     """(scene_id, label, ring, ord, vertex_x, vertex_y, length, area): every ring of every label, a vertex in the middle of each pixel side.
 
     Positions are those of pixel centres, times ``pixel``; rings go on from their first side by number.  area: of the pixels within the ring, in
-    squares of pixel's unit; below 0 for a hole.  Rings are linked by pointer jumping, all at once, in as many steps as the logarithm of the longest.
+    squares of pixel's unit; below 0 for a hole.  Rings that cross tiles are runs of sides, linked by pointer jumping, all at once, in as many steps as
+    the logarithm of the most runs of a ring.
     """
-    sides = cut(cracks(labels), "cracks")
-    walk = sides.select("scene_id", "id", "next", F.col("id").alias("low"), F.lit(0).cast("long").alias("off"))
-    step = 1
+    sides = cut(cracks(labels, tile), "cracks")
+    runs = sides.where("pos = 0 and not closed").select("scene_id", "head", "next", "length", "area", "low", "at")
+    # span: sides from the head to next; off: from the head to the least side in between.
+    walk = cut(runs.select("scene_id", "head", "next", "low", F.col("at").alias("off"), F.col("length").alias("span")), "walk")
     while True:
-        ahead = walk.select("scene_id", F.col("id").alias("next"), F.col("next").alias("far"), F.col("low").alias("low2"), F.col("off").alias("off2"))
+        ahead = walk.select("scene_id", F.col("head").alias("next"), F.col("next").alias("far"), F.col("low").alias("low2"), F.col("off").alias("off2"), F.col("span").alias("span2"))
         better = F.col("low2") < F.col("low")
-        j = walk.join(ahead, ["scene_id", "next"]).select(
-            "scene_id", "id", F.col("far").alias("next"), F.least("low", "low2").alias("low"), F.when(better, F.col("off2") + step).otherwise(F.col("off")).alias("off"), better.alias("moved"),
+        j = walk.join(ahead.hint("merge"), ["scene_id", "next"]).select(
+            "scene_id", "head", F.col("far").alias("next"), F.least("low", "low2").alias("low"), F.when(better, F.col("off2") + F.col("span")).otherwise(F.col("off")).alias("off"),
+            (F.col("span") + F.col("span2")).alias("span"), better.alias("moved"),
         )
         j = cut(j, "walk")
-        walk, step = j.drop("moved"), step * 2
+        walk = j.drop("moved")
         if j.where("moved").isEmpty():
             break
-    # off: steps from a side to the first one of its ring.
-    across = F.when(F.col("side") == 1, F.col("x") + 0.5).when(F.col("side") == 3, 0.5 - F.col("x")).otherwise(0.0)
-    ring = sides.join(walk.select("scene_id", "id", F.col("low").alias("ring"), "off"), ["scene_id", "id"])
-    whole = ring.groupBy("scene_id", "ring").agg(F.count(F.lit(1)).alias("length"), (F.sum(across) * pixel * pixel).alias("area"))
+    walk = walk.select("scene_id", "head", F.col("low").alias("ring"), "off")
+    whole = runs.join(walk.hint("merge"), ["scene_id", "head"]).groupBy("scene_id", "ring").agg(F.sum("length").alias("length"), F.sum("area").alias("area"))
+    walk = cut(walk.join(whole.hint("merge"), ["scene_id", "ring"]), "rings")
+    side = ["scene_id", "label", "y", "x", "side", "head", "pos"]
+    crossing = sides.where("not closed").select(*side).join(walk.hint("merge"), ["scene_id", "head"]).withColumn("ord", F.pmod(F.col("pos") - F.col("off"), F.col("length")))
+    inner = sides.where("closed").select(*side, "length", "area", F.col("head").alias("ring"), F.col("pos").alias("ord"), F.lit(0).cast("long").alias("off"))
     half = lambda k: F.element_at(F.array(*(F.lit(v[k] / 2) for v in _ACROSS)), F.col("side") + 1)
-    return ring.join(whole, ["scene_id", "ring"]).select(
-        "scene_id", "label", "ring", F.pmod(F.col("length") - F.col("off"), F.col("length")).alias("ord"),
-        ((F.col("x") + half(1)) * pixel).alias("vertex_x"), ((F.col("y") + half(0)) * pixel).alias("vertex_y"), "length", "area",
+    return crossing.unionByName(inner).select(
+        "scene_id", "label", "ring", "ord", ((F.col("x") + half(1)) * pixel).alias("vertex_x"), ((F.col("y") + half(0)) * pixel).alias("vertex_y"),
+        "length", (F.col("area") * pixel * pixel).alias("area"),
     )
 
 
@@ -219,7 +309,7 @@ def scene_geometry(labels: DataFrame, pixel: float) -> DataFrame:
 
     labels: scene_id, y, x, label, nucleus (1 where the pixel is the label's nucleus).
     """
-    unit = pixel * pixel
+    unit, labels = pixel * pixel, cut(labels, "labels")
     g = labels.where("label > 0").groupBy("scene_id", "label").agg((F.avg("x") * pixel).alias("cx"), (F.avg("y") * pixel).alias("cy"), (F.count(F.lit(1)) * unit).alias("area"), (F.sum("nucleus") * unit).alias("nuc_area"))
     rings = label_contours(labels, pixel).where("ord = 0").groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n_rings"), F.max("length").alias("n_vertices"), F.sum("area").alias("ring_area"))
     return g.join(rings, ["scene_id", "label"])

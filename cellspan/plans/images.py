@@ -14,9 +14,9 @@ PLANES = (11, 14, 17)
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
     """The image of all cells, each an ellipse; nucleus: its inner quarter."""
-    masks = view(s, d, "v_masks").where("r2 <= 1").select(F.lit(0).alias("scene_id"), (F.col("cell_idx") + 1).alias("label"), "y", "x", "r2")
-    inner = masks.where("r2 <= 0.25").select("label", "y", "x", F.lit(1).alias("nucleus"))
-    return images.paint(masks).join(inner, ["label", "y", "x"], "left").na.fill(0, ["nucleus"])
+    nucleus = (F.col("r2") <= 0.25).cast("int").alias("nucleus")
+    masks = view(s, d, "v_masks").where("r2 <= 1").select(F.lit(0).alias("scene_id"), (F.col("cell_idx") + 1).alias("label"), "y", "x", nucleus)
+    return images.paint(masks, "nucleus")
 
 
 _LABELS = """p AS (SELECT cell_idx, y, x, r2 FROM v_masks WHERE r2 <= 1), area AS (SELECT cell_idx, count(*) AS n FROM p GROUP BY 1),

@@ -163,3 +163,31 @@ def test_enclosed_query(spark):
         parts[c].add(p)
     want = {c: len(own) for c, own in parts.items() if 12 <= len(own) <= 4000 and not any(y in (0, h - 1) or x in (0, w - 1) for y, x in own)}
     assert {r.component: r.area for r in plans.ALL["enclosed_ridges"][0](spark, SF).collect()} == want and want
+
+
+def test_contours_across_tiles(spark):
+    """Tiles of any size give the same rings; a ring within one tile is closed there, so that no join links it."""
+    scenes = {s: blobs(s, 30, 9) for s in (1, 2)}
+    scenes[3] = {(y, x): 1 for y in range(-20, 20) for x in range(-9, 9) if not (-12 <= y < 12 and -3 <= x < 3)}
+    want = {tuple(r) for r in images.label_contours(frame(spark, scenes), 0.5).collect()}
+    assert {tuple(r) for r in images.label_contours(frame(spark, scenes), 0.5, 4).collect()} == want
+    sides = images.cracks(frame(spark, scenes).where("scene_id < 3"))
+    assert sides.where("not closed").isEmpty() and sides.where("pos = 0").count() == len({(s, ring) for s, _, ring, *_ in want if s < 3})
+    assert images.label_contours(frame(spark, scenes).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_painting_with_flags(spark, tile):
+    """The pixel on top brings its own flag; equal masks: the larger label; masks may lie at negative places and over the words' borders."""
+    rng, masks = random.Random(tile), []
+    for label in range(1, 30):
+        y0, x0, h, w = rng.randrange(-20, 20), rng.randrange(-40, 40), rng.randrange(1, 6), rng.randrange(1, 40)
+        masks += [(0, label, y, x, int(rng.random() < 0.5)) for y in range(y0, y0 + h) for x in range(x0, x0 + w)]
+    area = defaultdict(int)
+    for m in masks:
+        area[m[1]] += 1
+    want = {}
+    for _, label, y, x, flag in sorted(masks, key=lambda m: (-area[m[1]], m[1])):
+        want[y, x] = (label, flag)
+    got = images.paint(spark.createDataFrame(masks, "scene_id int, label int, y int, x int, f int").repartition(3), "f", tile=tile).collect()
+    assert {(r.y, r.x): (r.label, r.f) for r in got} == want and len(got) == len(want)
