@@ -7,9 +7,11 @@ is settled by graphs over tiles or by pointer jumping.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellspan.operators.models import components
@@ -34,13 +36,23 @@ def tiled(pixels: DataFrame, halo: int, tile: int) -> DataFrame:
 def packed(pixels: DataFrame, *flags: str) -> DataFrame:
     """(scene_id, label, y, w, bits, n) of pixels (scene_id, y, x, label): bit k of bits is the pixel 32 w + k; n: rows that went in.
 
-    flags: columns of 0 and 1, each a number of bits of its own.  The rows of a label mostly lie together, so that they meet before the shuffle.
+    flags: columns of 0 and 1, each a number of bits of its own.  Pixels are packed batch by batch, so a word may come in several rows, each with its own
+    bits; nothing is shuffled or held for it.
     """
-    long = lambda c: F.col(c).cast("long").alias(c)
-    own = pixels.select(long("scene_id"), long("label"), long("y"), long("x"), *flags)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x", F.lit(WORD)).cast("int"))
-    marks = (F.bit_or(F.when(F.col(f) != 0, bit).otherwise(F.lit(0).cast("long"))).alias(f) for f in flags)
-    return own.groupBy("scene_id", "label", "y", F.floor(F.col("x") / WORD).alias("w")).agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n"), *marks)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            label, scene, y, x = (p[c].to_numpy() for c in ("label", "scene_id", "y", "x"))
+            w, bit = x >> 5, np.int64(1) << (x & (WORD - 1))
+            order = np.lexsort((w, y, label, scene))
+            here = np.stack([scene, label, y, w])[:, order]
+            start = np.nonzero(np.append(len(p) > 0, (here[:, 1:] != here[:, :-1]).any(axis=0)))[0]
+            join = lambda v: np.bitwise_or.reduceat(v[order], start) if len(start) else v  # noqa: E731, B023
+            out = dict(zip(("scene_id", "label", "y", "w"), here[:, start], strict=True)) | {"bits": join(bit), "n": np.diff(np.append(start, len(p)))}
+            yield pd.DataFrame(out | {f: join(np.where(p[f].to_numpy() != 0, bit, 0)) for f in flags})
+
+    own = pixels.select(*(F.col(c).cast("long").alias(c) for c in ("scene_id", "label", "y", "x")), *flags)
+    return own.mapInPandas(pack, ", ".join(f"{c} bigint" for c in ("scene_id", "label", "y", "w", "bits", "n", *flags)))
 
 
 def words_tiled(words: DataFrame, halo: int, tile: int) -> DataFrame:
@@ -74,7 +86,7 @@ def paint(masks: DataFrame, *flags: str, tile: int = TILE) -> DataFrame:
         own = {f: (p[f].to_numpy()[row[top]] >> bit[top]) & 1 for f in flags}
         return pd.DataFrame({"scene_id": scene, "y": y[top] + ty * tile, "x": x[top] + tx * tile, "label": p["label"].to_numpy()[row[top]]} | own)
 
-    own = packed(masks, *flags)
+    own = cut(packed(masks, *flags), "masks")
     area = own.groupBy("scene_id", "label").agg(F.sum("n").alias("area"))
     own = own.join(area.hint("shuffle_hash"), ["scene_id", "label"]).drop("n")
     names = ("scene_id", "y", "x", "label", *flags)
