@@ -102,3 +102,16 @@ def test_clusters_of_points(spark):
     got = {r.k: r.cluster for r in models.dbscan(points, 1.0, 3, "k", "x", "y").collect()}
     assert got == {0: 1, 1: 1, 2: 1, 6: 1}
     assert spatial.radius_join(points, points, 1.0, "k", "x", "y").count() == 8
+
+
+def test_nearest_vectors_with_ties(spark):
+    """Equal cosines go to the smaller id, however many there are around the k-th; a vector of NaN is nobody's neighbour."""
+    rows = [(i, [1.0, float(i % 3)]) for i in range(60)] + [(60, [float("nan"), 1.0]), (61, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = models.nearest_vectors(df.selectExpr("id as q", "v"), df.selectExpr("id as b", "v"), 25, side=16).collect()
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 9)
+    want = {}
+    for i, v in rows:
+        near = sorted((-cos(v, u), j) for j, u in rows if j != i and 60 not in (i, j))
+        want |= {(i, k): j for k, (_, j) in enumerate(near[:25], 1)}
+    assert {(r.q, r["rank"]): r.b for r in got} == want
