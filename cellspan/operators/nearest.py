@@ -50,23 +50,31 @@ def own_levels(left: DataFrame, right: DataFrame, within: list[str], k: int, ori
 def meet(open_: DataFrame, right: DataFrame, within: list[str], levels: list[int], origin: tuple[float, float], extent: float, most: int) -> DataFrame:
     """(src, dst, d2) of every open point and its candidates in the 3 x 3 bins around it at its own level, within a bin's side.
 
-    levels: those of the open points.
+    levels: those of the open points.  An open point lies in one bin; candidates are repeated in the bins around theirs, as there are often more of the former.
 
-    Both sides of a bin of more than ``most`` candidates are dealt: candidates by their key, open points to each part.
+    Both sides of a bin with more than ``most`` candidates are dealt: candidates by their key, open points to each part.
     """
     key = [*within, "level", "gx", "gy"]
-    around = bins_at(open_, F.col("level"), "x", "y", origin, extent)
-    for g in ("gx", "gy"):
-        around = around.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
-    wanted = around.select(*key).distinct()
+
+    def around(df: DataFrame) -> DataFrame:
+        for g in ("gx", "gy"):
+            df = df.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+        return df
+
+    own = bins_at(open_, F.col("level"), "x", "y", origin, extent)
+    wanted = around(own.select(*key).distinct()).distinct()
     binned = bins_at(right.withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels)))), F.col("level"), "x", "y", origin, extent)
     binned = binned.join(wanted, key, "left_semi").select(*key, F.col("key").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy"))
-    parts = binned.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
-    binned = binned.join(parts, key).withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")).drop("parts")
-    around = around.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    binned = around(cut(binned, "binned"))
+    dense = cut(binned.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1"), "dense")
+    if not dense.isEmpty():
+        parts = F.coalesce("parts", F.lit(1))
+        binned = binned.join(dense, key, "left").withColumn("part", F.pmod(F.xxhash64("dst"), parts).cast("int")).drop("parts")
+        own = own.join(dense, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        key = [*key, "part"]
     side = F.lit(extent) / F.pow(F.lit(2.0), F.col("level"))
     dx, dy = F.col("x") - F.col("dx"), F.col("y") - F.col("dy")
-    pairs = around.join(binned, [*key, "part"]).withColumn("d2", dx * dx + dy * dy)
+    pairs = own.join(binned, key).withColumn("d2", dx * dx + dy * dy)
     return pairs.where((F.col("src") != F.col("dst")) & (F.col("d2") <= side * side)).select("src", "dst", "d2")
 
 
