@@ -62,6 +62,34 @@ def words_tiled(words: DataFrame, halo: int, tile: int) -> DataFrame:
     return out.withColumn("tx", F.explode(F.sequence(F.floor((low - halo) / tile), F.floor((low + (WORD - 1 + halo)) / tile))))
 
 
+def blocks(pixels: DataFrame, value: str, halo: int, tile: int) -> DataFrame:
+    """(scene_id, ty, tx, at, v): pixels (scene_id, y, x, value) as arrays, once for every tile whose core or halo they lie in.
+
+    at: the pixel's number in the square of the tile and its halo.  Arrays are made batch by batch, so a tile's pixels may come in several rows.
+    """
+    side = tile + 2 * halo
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            scene, y, x, v = (p[c].to_numpy() for c in ("scene_id", "y", "x", "v"))
+            parts = []
+            for i in range(2 * halo // tile + 2):
+                for j in range(2 * halo // tile + 2):
+                    ty, tx = (y - halo) // tile + i, (x - halo) // tile + j
+                    on = (ty <= (y + halo) // tile) & (tx <= (x + halo) // tile)
+                    at = (y - ty * tile + halo) * side + x - tx * tile + halo
+                    parts.append([c[on] for c in (scene, ty, tx, at, v)])
+            *key, at, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort(key[::-1])
+            key, at, v = np.stack(key)[:, order], at[order].astype(np.int32), v[order]
+            start = np.nonzero(np.append(len(at) > 0, (key[:, 1:] != key[:, :-1]).any(axis=0)))[0]
+            cut_at = lambda c: np.split(c, start[1:]) if len(start) else []  # noqa: E731, B023
+            yield pd.DataFrame(dict(zip(("scene_id", "ty", "tx"), key[:, start], strict=True)) | {"at": cut_at(at), "v": cut_at(v)})
+
+    own = pixels.select(*(F.col(c).cast("long").alias(c) for c in ("scene_id", "y", "x")), F.col(value).cast("double").alias("v")).where("v is not null")
+    return own.mapInPandas(deal, "scene_id bigint, ty bigint, tx bigint, at array<int>, v array<double>")
+
+
 def unpacked(p: pd.DataFrame, y0: int, x0: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(y, x, row, bit) of the set pixels of packed rows within the square of ``side`` pixels at (y0, x0), in its own coordinates and the rows' order."""
     row, bit = np.nonzero((p["bits"].to_numpy()[:, None] >> np.arange(WORD)) & 1)
@@ -123,6 +151,24 @@ def grow_labels(labels: DataFrame, margin: int, extent: DataFrame | None = None,
     return out
 
 
+def first_of_piece(mask: np.ndarray) -> np.ndarray:
+    """For each set pixel of a square the number (row * side + column) of the first one that it is four-connected with."""
+    side = len(mask)
+    order = np.full((side + 2, side + 2), side * side, np.int64)
+    order[1:-1, 1:-1][mask] = np.nonzero(mask.ravel())[0]
+    while True:  # the least number spreads along rows and columns, and to the least number of that
+        low = order.copy()
+        for axis in (0, 1):
+            for step in (1, -1):
+                near = np.roll(low, step, axis)
+                low = np.where(order < side * side, np.minimum(low, near), order)
+        flat = np.append(low[1:-1, 1:-1].ravel(), side * side)
+        low[1:-1, 1:-1] = flat[low[1:-1, 1:-1]]
+        if (low == order).all():
+            return order[1:-1, 1:-1]
+        order = low
+
+
 def pixel_components(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """(scene_id, y, x, component) of set pixels (scene_id, y, x): four-connected components, named by their first pixel's number.
 
@@ -132,21 +178,9 @@ def pixel_components(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     def pieces(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         scene, ty, tx = key
         y, x = p["y"].to_numpy() - ty * tile, p["x"].to_numpy() - tx * tile
-        order = np.full((tile + 2, tile + 2), tile * tile, np.int64)
-        order[y + 1, x + 1] = y * tile + x
-        while True:  # the least number spreads along rows and columns, and to the least number of that
-            low = order.copy()
-            for axis in (0, 1):
-                for step in (1, -1):
-                    near = np.roll(low, step, axis)
-                    low = np.where(order < tile * tile, np.minimum(low, near), order)
-            flat = np.append(low[1:-1, 1:-1].ravel(), tile * tile)
-            inner = flat[low[1:-1, 1:-1]]
-            low[1:-1, 1:-1] = inner
-            if (low == order).all():
-                break
-            order = low
-        first = order[y + 1, x + 1]
+        mask = np.zeros((tile, tile), bool)
+        mask[y, x] = True
+        first = first_of_piece(mask)[y, x]
         return pd.DataFrame({"scene_id": scene, "y": p["y"], "x": p["x"], "piece": _number(first // tile + ty * tile, first % tile + tx * tile)})
 
     own = pixels.select(F.col("scene_id").cast("long"), F.col("y").cast("long"), F.col("x").cast("long")).distinct()
@@ -175,10 +209,20 @@ def _number(y, x):  # noqa: ANN001, ANN202
 _CROSS = ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))
 
 
-def spread(pixels: DataFrame, steps: tuple = _CROSS) -> DataFrame:
-    """The distinct pixels (scene_id, y, x) that lie at one of the steps from a given one."""
-    s = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps)))
-    return pixels.withColumn("s", s).select("scene_id", (F.col("y") + F.col("s.i")).alias("y"), (F.col("x") + F.col("s.j")).alias("x")).distinct()
+def outlines(labels: DataFrame, tile: int = TILE) -> DataFrame:
+    """(scene_id, y, x, label): pixels of a label above 0 that have not all eight neighbours of it (as raster.boundary(), but tile by tile)."""
+
+    def edge(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        scene, ty, tx = key
+        image = np.zeros((tile + 2, tile + 2), np.int64)
+        y, x, row, _ = unpacked(p, ty * tile - 1, tx * tile - 1, tile + 2)
+        image[y, x] = p["label"].to_numpy()[row]
+        core = image[1:-1, 1:-1]
+        alike = np.logical_and.reduce([image[i : i + tile, j : j + tile] == core for i in range(3) for j in range(3)])
+        y, x = np.nonzero((core > 0) & ~alike)
+        return pd.DataFrame({"scene_id": scene, "y": y + ty * tile, "x": x + tx * tile, "label": core[y, x]})
+
+    return words_tiled(packed(labels.where("label > 0")).drop("n"), 1, tile).groupBy("scene_id", "ty", "tx").applyInPandas(edge, "scene_id bigint, y bigint, x bigint, label bigint")
 
 
 def enclosed_regions(score: DataFrame, extent: DataFrame, threshold: float, least: int, most: int, enclosure: float, tile: int = TILE) -> DataFrame:
@@ -187,26 +231,75 @@ def enclosed_regions(score: DataFrame, extent: DataFrame, threshold: float, leas
     score (scene_id, y, x, score): what has no row has 0.  A ridge is a pixel of ``threshold`` or more, closed by one step of growth; a
     region is a component of the rest that does not touch the frame of the image (extent: scene_id, height, width).  Kept are areas from least to
     most pixels around which at least ``enclosure`` of the neighbouring pixels are ridge before the growth.
+
+    A tile closes its ridges, numbers the pieces of its rest and hands on their sums.  Besides, only the places where pieces meet across a border
+    and the neighbouring pixels that may count for two pieces of a region (at the border, or between two pieces) go on as rows.
     """
-    key = ["scene_id", "y", "x"]
-    ridge = cut(score.where(F.col("score") >= threshold).select(*(F.col(k).cast("long") for k in key)), "ridge")
-    closed = spread(ridge)
-    image = extent.select(F.col("scene_id").cast("long").alias("scene_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)).alias("y"), "height", "width")
-    image = image.repartition("scene_id", "y").withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
-    rest = image.join(closed, key, "left_anti")
-    frame = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x") == F.col("width") - 1)
-    part = pixel_components(rest.select(*key), tile)
-    part = cut(part.join(rest.select(*key, frame.alias("frame")), key), "regions")
-    size = part.groupBy("scene_id", "component").agg(F.count(F.lit(1)).alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.max("frame").alias("frame"))
+
+    def pieces(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        scene, ty, tx = key
+        height, width = p["height"].max(), p["width"].max()
+        if not height > 0 or not width > 0:  # outside the image
+            return pd.DataFrame([], columns=names)
+        at, v = (np.concatenate([np.asarray(a, dtype) for a in p[c]]) for c, dtype in (("at", np.int64), ("v", float)))
+        values, ridge = (np.zeros((tile + 4) ** 2, dtype) for dtype in (float, bool))
+        values[at], ridge[at[~(v < threshold)]] = v, True
+        values, ridge = values.reshape(tile + 4, -1)[2:-2, 2:-2], ridge.reshape(tile + 4, -1)
+        closed = ridge[1:-1, 1:-1] | ridge[:-2, 1:-1] | ridge[2:, 1:-1] | ridge[1:-1, :-2] | ridge[1:-1, 2:]
+        ridge = ridge[1:-1, 1:-1]
+        # From here on, squares reach one pixel beyond the tile.
+        gy, gx = (np.arange(-1, tile + 1) + t * tile for t in (ty, tx))
+        rest = ~closed & ((gy >= 0) & (gy < height))[:, None] & ((gx >= 0) & (gx < width))
+        core = rest[1:-1, 1:-1]
+        y, x = np.nonzero(core)
+        first, own = np.unique(first_of_piece(core)[y, x], return_inverse=True)
+        k = len(first)
+        name = _number(first // tile + ty * tile, first % tile + tx * tile)
+        y, x = y + 1, x + 1
+        piece = np.full(rest.shape, -1)
+        piece[y, x] = own
+        frame = (gy[y] == 0) | (gx[x] == 0) | (gy[y] == height - 1) | (gx[x] == width - 1)
+        total = lambda w: np.bincount(own, weights=w, minlength=k)
+        # Neighbours that are not of the rest: those that count for one piece only are counted here.
+        side = tile + 2
+        pair = np.unique(np.concatenate([(own * side + y + i) * side + x + j for i, j in _CROSS[1:]]))
+        of, q = np.divmod(pair, side * side)
+        of, qy, qx = (c[~rest.ravel()[q]] for c in (of, q // side, q % side))
+        shared = np.bincount(qy * side + qx, minlength=side * side)[qy * side + qx] > 1
+        alone = ~shared & (qy > 1) & (qy < tile) & (qx > 1) & (qx < tile)
+        on = ridge[qy, qx].astype(np.int64)
+        out = [pd.DataFrame({"kind": 0, "piece": name, "at": 0, "area": np.bincount(own, minlength=k), "sy": total(gy[y]), "sx": total(gx[x]), "frame": total(frame) > 0, "score": total(values[core]),
+                             "n": np.bincount(of[alone], minlength=k), "ridges": np.bincount(of[alone], weights=on[alone], minlength=k).astype(np.int64)})]
+        out.append(pd.DataFrame({"kind": 2, "piece": name[of[~alone]], "at": _number(gy[qy], gx[qx])[~alone], "n": 1, "ridges": on[~alone]}))
+        # Stretches along which the rest goes on across a border, by their first pixel on the far side of it: the tiles on both sides name the same.
+        for axis, (far, inner, here) in enumerate(((rest, rest, piece), (rest.T, rest.T, piece.T))):
+            for a, b, line in ((1, 0, 1), (tile, tile + 1, tile + 1)):
+                both = inner[a, 1:-1] & far[b, 1:-1]
+                start = np.nonzero(both & ~np.append(False, both[:-1]))[0] + 1
+                place = _number(gy[line], gx[start]) if axis == 0 else _number(gy[start], gx[line])
+                out.append(pd.DataFrame({"kind": 1, "piece": name[here[a, start]], "at": place * 2 + axis}))
+        done = pd.concat(out).assign(scene_id=scene)[list(names)]
+        return done.fillna({c: 0 for c in names if c != "frame"}).assign(frame=done["frame"] == True)  # noqa: E712
+
+    names = ("scene_id", "kind", "piece", "at", "area", "sy", "sx", "frame", "score", "n", "ridges")
+    schema = "scene_id bigint, kind int, piece bigint, at bigint, area bigint, sy double, sx double, frame boolean, score double, n bigint, ridges bigint"
+    whole = extent.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width")).where("height > 0 and width > 0")
+    for t, v in (("ty", "height"), ("tx", "width")):
+        whole = whole.withColumn(t, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(v) - 1) / tile))))
+    dealt = blocks(score, "score", 2, tile).unionByName(whole.withColumns({"at": F.array().cast("array<int>"), "v": F.array().cast("array<double>")}), allowMissingColumns=True)
+    found = cut(dealt.groupBy("scene_id", "ty", "tx").applyInPandas(pieces, schema), "pieces")
+    met = found.where("kind = 1").groupBy("scene_id", "at").agg(F.min("piece").alias("one"), F.max("piece").alias("two")).where("one <> two")
+    groups = components(met.select(F.struct("scene_id", F.col("one").alias("piece")).alias("a"), F.struct("scene_id", F.col("two").alias("piece")).alias("b")))
+    groups = groups.select("node.scene_id", "node.piece", F.col("component.piece").alias("component"))
+    named = found.where("kind <> 1").join(groups.hint("merge"), ["scene_id", "piece"], "left").withColumn("component", F.coalesce("component", "piece"))
+    named = cut(named.drop("piece"), "regions")
+    key = ["scene_id", "component"]
+    per = lambda c: F.sum(c) / F.sum("area")
+    size = named.where("kind = 0").groupBy(*key).agg(F.sum("area").alias("area"), per("sy").alias("cy"), per("sx").alias("cx"), F.max("frame").alias("frame"), per("score").alias("score"), F.sum("n").alias("n"), F.sum("ridges").alias("ridges"))
     size = size.where(~F.col("frame") & F.col("area").between(least, most)).drop("frame")
-    inner = part.join(size.select("scene_id", "component"), ["scene_id", "component"], "left_semi").select(*key, "component")
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _CROSS[1:])))
-    rim = inner.withColumn("s", steps).select("scene_id", (F.col("y") + F.col("s.i")).alias("y"), (F.col("x") + F.col("s.j")).alias("x"), "component").distinct()
-    rim = rim.join(inner, [*key, "component"], "left_anti").join(ridge.withColumn("ridge", F.lit(1)), key, "left")
-    rim = rim.groupBy("scene_id", "component").agg(F.avg(F.coalesce("ridge", F.lit(0)).cast("double")).alias("enclosure"))
-    mean = inner.join(score.select(*key, "score"), key, "left").groupBy("scene_id", "component").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"))
-    out = size.join(rim, ["scene_id", "component"]).where(F.col("enclosure") >= enclosure).join(mean, ["scene_id", "component"])
-    return out.withColumn("radius", F.sqrt(F.col("area") / 3.141592653589793))
+    rim = named.where("kind = 2").groupBy(*key, "at").agg(F.max("ridges").alias("ridges")).groupBy(*key).agg(F.count(F.lit(1)).alias("n2"), F.sum("ridges").alias("ridges2"))
+    out = size.join(rim.hint("merge"), key, "left").withColumn("enclosure", (F.col("ridges") + F.coalesce("ridges2", F.lit(0))) / (F.col("n") + F.coalesce("n2", F.lit(0))))
+    return out.where(F.col("enclosure") >= enclosure).select(*key, "area", "cy", "cx", "enclosure", "score", F.sqrt(F.col("area") / 3.141592653589793).alias("radius"))
 
 
 #: Sides of a pixel in the order in which a ring goes round it, label on the right: (step along the side), (step across it).

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.operators import images, raster, spectra
+from cellspan.operators import images, spectra
+from cellspan.operators.staging import cut
 from cellspan.sources.views import view
 
 PIXEL = 0.5
@@ -27,8 +28,8 @@ def _planes(s: SparkSession, d: str) -> DataFrame:
     """Masks of the cells that reach a plane, as wide as their ellipsoids are there."""
     z = view(s, d, "v_z_attrs").join(view(s, d, "v_cells").select("cell_id", "cell_idx"), "cell_id").withColumn("z", F.explode(F.array(*(F.lit(p) for p in PLANES))))
     depth = F.pow((F.col("z") - F.col("z_center_um")) / (F.col("z_extent_um") / 2), 2)
-    cut = z.select("cell_idx", F.col("z").alias("scene_id"), (1 - depth).alias("room")).where("room > 0")
-    return view(s, d, "v_masks").join(cut, "cell_idx").where("r2 <= room").select("scene_id", (F.col("cell_idx") + 1).alias("label"), "y", "x")
+    section = z.select("cell_idx", F.col("z").alias("scene_id"), (1 - depth).alias("room")).where("room > 0")
+    return view(s, d, "v_masks").join(section, "cell_idx").where("r2 <= room").select("scene_id", (F.col("cell_idx") + 1).alias("label"), "y", "x")
 
 
 def _tessellated(s: SparkSession, d: str) -> DataFrame:
@@ -87,8 +88,8 @@ def _collected(s: SparkSession, d: str) -> DataFrame:
 
 def _enclosed(s: SparkSession, d: str) -> DataFrame:
     """Regions that the outlines of the cells' masks close in."""
-    labels = _labels(s, d)
-    ridge = raster.boundary(labels).select("scene_id", "y", "x", F.lit(0.5).alias("score"))
+    labels = cut(_labels(s, d), "labels")
+    ridge = images.outlines(labels).select("scene_id", "y", "x", F.lit(0.5).alias("score"))
     extent = labels.agg((F.max("y") + 3).alias("height"), (F.max("x") + 3).alias("width")).select(F.lit(0).alias("scene_id"), "height", "width")
     out = images.enclosed_regions(ridge, extent, 0.1, 12, 4000, 0.0)
     return out.select("component", "area", *(F.round(c, 6).alias(c) for c in ("cy", "cx", "radius", "enclosure", "score")))

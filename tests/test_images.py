@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from cellspan.operators import images
+from cellspan.operators import images, raster
 from cellspan.plans import images as plans
 
 SF = "/root/testdata/sf0.001"
@@ -191,3 +191,31 @@ def test_painting_with_flags(spark, tile):
         want[y, x] = (label, flag)
     got = images.paint(spark.createDataFrame(masks, "scene_id int, label int, y int, x int, f int").repartition(3), "f", tile=tile).collect()
     assert {(r.y, r.x): (r.label, r.f) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("tile", [5, 16])
+def test_enclosed_regions_across_tiles(spark, tile):
+    """Areas, centres, means and enclosures of regions over many tiles equal those of flooding; what is staged does not hold the pixels."""
+    rng, h, w = random.Random(5), 70, 61
+    score = {(y, x): rng.choice([0.05, 0.5, 0.9]) for y in range(h) for x in range(w) if rng.random() < 0.09 or y % 23 == 7 or x % 29 == 11}
+    ridge = {p for p, v in score.items() if v >= 0.1}
+    closed = {(y + i, x + j) for y, x in ridge for i, j in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))}
+    parts = defaultdict(set)
+    for p, c in flood({(y, x): 1 for y in range(h) for x in range(w) if (y, x) not in closed}).items():
+        parts[c].add(p)
+    want = {}
+    for c, own in parts.items():
+        if not any(y in (0, h - 1) or x in (0, w - 1) for y, x in own):
+            rim = {(y + i, x + j) for y, x in own for i, j in ((0, 1), (0, -1), (1, 0), (-1, 0))} - own
+            want[c] = (len(own), *(pytest.approx(v) for v in (sum(y for y, _ in own) / len(own), sum(x for _, x in own) / len(own), len(rim & ridge) / len(rim), sum(score.get(p, 0) for p in own) / len(own))))
+    df = spark.createDataFrame([(3, y, x, v) for (y, x), v in score.items()], "scene_id int, y int, x int, score double").repartition(3)
+    extent = spark.createDataFrame([(3, h, w), (4, 9, 9)], "scene_id int, height int, width int")
+    got = {r.component: (r.area, r.cy, r.cx, r.enclosure, r.score) for r in images.enclosed_regions(df, extent, 0.1, 1, 10**6, 0.0, tile).collect()}
+    assert got == want and len(want) > 20 and max(v[0] for v in want.values()) > 16
+
+
+def test_outlines(spark):
+    """Outlines by tile are those by joins."""
+    labels = frame(spark, {s: blobs(s, 30, 9) for s in (1, 2)})
+    want = {tuple(r) for r in raster.boundary(labels).select("scene_id", "y", "x", "label").collect()}
+    assert {tuple(r) for r in images.outlines(labels, 7).collect()} == want and want
