@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellspan.operators.images import TILE, blocks
+
 #: What is added to a mean power before its logarithm, and to the greatest frequency.
 FLOOR, RIM = 1e-8, 1e-9
 
@@ -24,22 +26,27 @@ def log_power(pixels: DataFrame, side: int, radial: int, orient: int = 1) -> Dat
     """(scene_id, py, px, bin, power): ln of the mean power of each bin of each patch of side x side pixels that has a pixel.
 
     pixels: scene_id, y, x, value, of which what lacks is 0.  bin: radius * orient + direction, as the bins have any coefficient or not.
-    A patch is one small group; there are as many as the image has.
+    Pixels travel as arrays by squares of whole patches; a square's patches are transformed together.
     """
     bins = frequency_bins(side, radial, orient)
     counts = np.maximum(np.bincount(bins.ravel(), minlength=radial * orient), 1)
+    n = max(1, TILE // side)  # patches along a square
+    edge = n * side
 
     def transform(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        scene, py, px = key
-        patch = np.zeros((side, side))
-        patch[p["y"].to_numpy() - py * side, p["x"].to_numpy() - px * side] = p["value"].to_numpy()
-        f = np.fft.rfft2(patch, norm="ortho")
-        power = np.bincount(bins.ravel(), weights=(f.real**2 + f.imag**2).ravel(), minlength=radial * orient) / counts
-        return pd.DataFrame({"scene_id": scene, "py": py, "px": px, "bin": np.arange(radial * orient), "power": np.log(power + FLOOR)})
-
-    own = pixels.select(F.col("scene_id").cast("long"), F.col("y").cast("long"), F.col("x").cast("long"), F.col("value").cast("double"))
-    own = own.withColumns({"py": F.floor(F.col("y") / side), "px": F.floor(F.col("x") / side)})
-    return own.groupBy("scene_id", "py", "px").applyInPandas(transform, "scene_id bigint, py bigint, px bigint, bin int, power double")
+        scene, ty, tx = key
+        at, v = (np.concatenate(p[c].to_list()) for c in ("at", "v"))
+        image, given = np.zeros(edge * edge), np.zeros(edge * edge, bool)
+        image[at], given[at] = v, True
+        image, given = (a.reshape(n, side, n, side).swapaxes(1, 2).reshape(n * n, side, side) for a in (image, given))
+        there = np.nonzero(given.any(axis=(1, 2)))[0]
+        f = np.fft.rfft2(image[there], norm="ortho")
+        size = f.real**2 + f.imag**2
+        power = np.stack([np.bincount(bins.ravel(), weights=s.ravel(), minlength=radial * orient) / counts for s in size])
+        each = lambda a: np.repeat(a, radial * orient)
+        return pd.DataFrame({"scene_id": scene, "py": each(ty * n + there // n), "px": each(tx * n + there % n), "bin": np.tile(np.arange(radial * orient), len(there)), "power": np.log(power + FLOOR).ravel()})
+
+    return blocks(pixels, "value", 0, edge).groupBy("scene_id", "ty", "tx").applyInPandas(transform, "scene_id bigint, py bigint, px bigint, bin int, power double")
 
 
 def anisotropy(polar: DataFrame, radial: int, orient: int) -> DataFrame:

@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from cellspan.operators import sampling, spectra
+from cellspan.operators import images, sampling, spectra
 
 
 def test_states(spark):
@@ -71,3 +72,24 @@ def test_anisotropy(spark):
     polar = spectra.log_power(spark.createDataFrame(rows, "scene_id int, y int, x int, value double"), 32, 8, 8)
     got = {r.scene_id: r.anisotropy for r in spectra.anisotropy(polar, 8, 8).collect()}
     assert got[0] > 0 > got[1]
+
+
+def test_spectra_of_many_squares(spark):
+    """Patches of several squares, at negative places too, are those of one transform each; pixels travel as arrays, many to a row."""
+    rng, side = np.random.default_rng(3), 32
+    image = np.where(rng.random((320, 288)) < 0.7, rng.random((320, 288)), 0.0)
+    image[32:64, :32] = 0  # a patch without a pixel
+    y, x = np.nonzero(image)
+    df = spark.createDataFrame(pd.DataFrame({"scene_id": 2, "y": y - 32, "x": x - 64, "value": image[y, x]})).coalesce(1)
+    got = {(r.py, r.px, r.bin): r.power for r in spectra.log_power(df, side, 4, 2).collect()}
+    bins, want = spectra.frequency_bins(side, 4, 2), {}
+    for py in range(10):
+        for px in range(9):
+            patch = image[py * side :, px * side :][:side, :side]
+            if patch.any():
+                power = np.abs(np.fft.rfft2(patch, norm="ortho")) ** 2
+                want.update({(py - 1, px - 2, b): math.log(power[bins == b].mean() + 1e-8 if (bins == b).any() else 1e-8) for b in range(8)})
+    assert got == pytest.approx(want, rel=1e-9) and (0, -2, 0) not in got
+    rows = images.blocks(df, "value", 0, 256)
+    assert rows.count() * 100 < len(y) and rows.agg({"at": "count"}).first()[0] == rows.count()
+    assert sum(len(r.at) for r in rows.collect()) == len(y)
