@@ -27,7 +27,7 @@ def override_splits(crops: DataFrame, regions: DataFrame, split: str = "split",
 
     Up to ``most`` regions are broadcast; more of them meet the crops in the squares that they cover.
     """
-    r = regions.select(*(F.col(c).alias(f"r{c}") for c in ("xmin", "xmax", "ymin", "ymax")), "region_split")
+    r = regions.select(*(F.col(c).alias(f"r{c}") for c in ("xmin", "xmax", "ymin", "ymax")), "region_split").distinct()  # equal regions meet a crop once
     x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
     inside = (x >= F.col("rxmin")) & (x <= F.col("rxmax")) & (y >= F.col("rymin")) & (y <= F.col("rymax"))
     few = r.limit(most + 1).count() <= most
@@ -39,7 +39,8 @@ def override_splits(crops: DataFrame, regions: DataFrame, split: str = "split",
         for g, a in (("gx", "x"), ("gy", "y")):
             r = r.withColumn(g, F.explode(F.sequence(cell(F.col(f"r{a}min")), cell(F.col(f"r{a}max")))))
         met = crops.withColumns({"gx": cell(x), "gy": cell(y)}).join(r, ["gx", "gy"]).where(inside)
-    hit = met.groupBy("crop_id").agg(F.min("region_split").alias("region_split"))  # 'test' < 'val'
+    # 'test' < 'val'; a least string is found by sorting, so only the unlike splits of a crop go there.
+    hit = met.select("crop_id", "region_split").distinct().groupBy("crop_id").agg(F.min("region_split").alias("region_split"))
     return crops.join(hit, "crop_id", "left").withColumn(split, F.coalesce("region_split", split)).drop("region_split")
 
 
