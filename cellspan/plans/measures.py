@@ -60,8 +60,15 @@ def _profiles(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "v_pixels").where("label > 0").groupBy("label", F.col("scene_id").alias("z")).agg((F.avg("value") * 10).alias("v"))
 
 
-def _truth(s: SparkSession, d: str) -> DataFrame:
-    return _rules(s, d)["share"].join(_rules(s, d)["nuclear"].select("factor", "feature_name"), ["factor", "feature_name"], "left_semi").select("factor", "feature_name")
+def _roundtrip(s: SparkSession, d: str) -> DataFrame:
+    rules, key = _rules(s, d), ["factor", "feature_name"]
+    return ops.roundtrip(rules["share"], rules["nuclear"].select(*key), key).select(*key, "detected", "strength", "other_rules")
+
+
+def _calibrated(s: SparkSession, d: str) -> DataFrame:
+    rules, key = _rules(s, d), ["factor", "feature_name"]
+    truth = rules["share"].join(rules["nuclear"].select(*key), key, "left_semi").select(*key)
+    return ops.f1_calibration(rules["quality"], truth, key)
 
 
 def _target(s: SparkSession, d: str, points: int) -> DataFrame:
@@ -168,7 +175,7 @@ ALL = {
         SELECT cell_type, n1 AS n_with, n0 AS n_without, round(dm / sqrt(v1 / n1 + v0 / n0), 6) AS t, round(dm, 6) AS delta FROM q WHERE n1 >= 5 AND n0 >= 5 AND dm >= 0.005 AND dm / sqrt(v1 / n1 + v0 / n0) > 1.2815515655""",
     ),
     "f1_calibration": (
-        lambda s, d: _r(ops.f1_calibration(_rules(s, d)["quality"], _truth(s, d), ["factor", "feature_name"]), "threshold", "f1", "precision", "recall"),
+        lambda s, d: _r(_calibrated(s, d), "threshold", "f1", "precision", "recall"),
         f"""{_RULE_SQL}, t AS (SELECT factor, feature_name FROM g WHERE share >= 0.04e0 AND nuclear >= 0.5e0), s AS (SELECT quality AS v, (factor, feature_name) IN (SELECT (factor, feature_name) FROM t) AS real FROM g WHERE quality >= 0.51e0),
         r AS (SELECT a.v, count(*) AS n, count(*) FILTER (WHERE b.real) AS tp FROM (SELECT DISTINCT v FROM s) a JOIN s b ON b.v >= a.v GROUP BY 1) SELECT round(v, 6) AS threshold, round(2 * tp / (n + k), 6) AS f1, round(tp / n, 6) AS precision, round(tp / k, 6) AS recall, n AS n_detected FROM r, (SELECT count(*) AS k FROM t) WHERE tp > 0 ORDER BY 2 * tp / (n + k) DESC, v LIMIT 1""",
     ),
@@ -179,7 +186,7 @@ ALL = {
     ),
     "consensus_posterior": (lambda s, d: _r(ops.calibrated_consensus(_rules(s, d), ["factor", "feature_name"]), "share_calibrated", "quality_calibrated", "nuclear_calibrated", "combined_score", "posterior"), None),
     "roundtrip_eval": (
-        lambda s, d: _r(ops.roundtrip(_rules(s, d)["share"], _rules(s, d)["nuclear"].select("factor", "feature_name"), ["factor", "feature_name"]).select("factor", "feature_name", "detected", "strength", "other_rules"), "strength"),
+        lambda s, d: _r(_roundtrip(s, d), "strength"),
         f"{_RULE_SQL} SELECT factor, feature_name, share >= 0.04e0 AS detected, round(CASE WHEN share >= 0.04e0 THEN share ELSE 0 END, 6) AS strength, (SELECT count(*) FROM g WHERE share >= 0.04e0 AND NOT nuclear >= 0.5e0) AS other_rules FROM g WHERE nuclear >= 0.5e0",
     ),
     "binomial_tail": (
