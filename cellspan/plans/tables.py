@@ -9,6 +9,7 @@ from cellspan.functions import columns
 from cellspan.operators import cells as ops
 from cellspan.operators import geometry, spatial, stats
 from cellspan.operators.quantiles import quantile_table
+from cellspan.operators.staging import cut
 from cellspan.sources import bundle
 from cellspan.sources.views import view
 
@@ -63,11 +64,13 @@ def _anchors(s: SparkSession, d: str) -> DataFrame:
 
 
 def _lookup(s: SparkSession, d: str) -> DataFrame:
-    m = view(s, d, "v_molecules").join(view(s, d, "v_cells").select("cell_id", "cell_type"), "cell_id", "left")
-    pair = m.groupBy("feature_name", "cell_type").agg(F.avg("overlaps_nucleus").alias("pair_rate"), F.count(F.lit(1)).alias("n")).where("n >= 20").drop("n")
-    gene = m.groupBy("feature_name").agg(F.avg("overlaps_nucleus").alias("gene_rate"), F.count(F.lit(1)).alias("n")).where("n >= 200").drop("n")
-    out = ops.compartment_lookup(m, pair, gene, 0.25)
-    return out.groupBy("feature_name", F.coalesce("cell_type", F.lit("none")).alias("cell_type")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"))
+    m = view(s, d, "v_molecules").join(view(s, d, "v_cells").select("cell_id", "cell_type").hint("shuffle_hash"), "cell_id", "left")
+    # One pass over the molecules: those of a gene and type have one rate.
+    m = cut(m.groupBy("feature_name", "cell_type").agg(F.count(F.lit(1)).alias("n"), F.sum("overlaps_nucleus").alias("inside")), "counts")
+    rate = lambda g, name, least: g.where(F.col("n") >= least).withColumn(name, F.col("inside") / F.col("n")).drop("n", "inside")
+    gene = m.groupBy("feature_name").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    out = ops.compartment_lookup(m, rate(m, "pair_rate", 20), rate(gene, "gene_rate", 200), 0.25)
+    return out.groupBy("feature_name", F.coalesce("cell_type", F.lit("none")).alias("cell_type")).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("p"))
 
 
 def _violations(s: SparkSession, d: str) -> DataFrame:
