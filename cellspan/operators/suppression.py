@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspan.operators import spatial
+from cellspan.operators.ranks import places
 from cellspan.operators.staging import cut
 
 
@@ -36,12 +37,13 @@ def suppress(
     points: DataFrame, distance: float, order: list[Column], key: str = "cell_idx", x: str = "centroid_x", y: str = "centroid_y", closed: bool = False
 ) -> DataFrame:
     """The points that stay when each, in order and then by key, drops the later ones nearer than distance (closed: or as near)."""
-    ranked = cut(points.select(F.col(key).alias("node"), F.col(x).alias("x"), F.col(y).alias("y"), F.struct(*order, F.col(key)).alias("o")), "points")
-    near = spatial.radius_join(ranked, ranked, distance, "node", "x", "y")
+    # A point's place in the order is its number: what comes first is the smaller one, and strings do not travel with the pairs.
+    by = [f"by{i}" for i in range(len(order))]
+    keyed = points.select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), *(c.alias(n) for c, n in zip(order, by, strict=True)), F.lit(0).alias("all"))
+    ranked = cut(places(keyed, "all", [*by, "key"]).select(F.col("place").cast("long").alias("node"), "key", "x", "y"), "points")
+    near = spatial.radius_join(ranked, ranked, distance, "node", "x", "y").where("dst < src")
     near = near if closed else near.where(F.col("d2") < distance * distance)
-    before = ranked.select(F.col("node").alias("dst"), F.col("o").alias("first"))
-    rivals = near.join(ranked.select(F.col("node").alias("src"), "o"), "src").join(before, "dst").where(F.col("first") < F.col("o"))
-    rivals, open_, kept = cut(rivals.select("src", "dst"), "rivals"), ranked.select("node"), None
+    rivals, open_, kept = cut(near.select("src", "dst"), "rivals"), ranked.select("node"), None
     while not open_.isEmpty():
         n = rivals.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("rival"))
         known = cut(settled(open_.join(n, "node", "left").na.fill(0, ["n"])), "settled")
@@ -51,7 +53,9 @@ def suppress(
         open_ = cut(open_.join(stay.unionByName(gone), "node", "left_anti"), "open")
         live = open_.select(F.col("node").alias("src"))
         rivals = cut(rivals.join(live, "src", "left_semi").join(live.withColumnRenamed("src", "dst"), "dst", "left_semi"), "rivals")
-    return points.join(kept.withColumnRenamed("node", key), key, "left_semi") if kept is not None else points.limit(0)
+    if kept is None:
+        return points.limit(0)
+    return points.join(ranked.join(kept.hint("shuffle_hash"), "node").select(F.col("key").alias(key)), key, "left_semi")
 
 
 def nearest_pairs(pairs: DataFrame) -> DataFrame:
