@@ -49,17 +49,17 @@ def colours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = cut(both.withColumn("before", first("dst") < first("src")), "colour-edges")
     open_, done = cut(nodes.select("node").distinct(), "colour-open"), None
     while not open_.isEmpty():
-        waits = both.where("before").join(open_.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        now = open_.join(waits, "node", "left_anti")
+        waits = both.where("before").join(open_.withColumnRenamed("node", "dst").hint("shuffle_hash"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        now = open_.join(waits.hint("shuffle_hash"), "node", "left_anti")
         if done is None:
             new = now.withColumn("colour", F.lit(0))
         else:
-            near = both.join(done.select(F.col("node").alias("dst"), "colour"), "dst").groupBy(F.col("src").alias("node")).agg(F.collect_set("colour").alias("used"))
+            near = both.join(done.select(F.col("node").alias("dst"), "colour").hint("shuffle_hash"), "dst").groupBy(F.col("src").alias("node")).agg(F.collect_set("colour").alias("used"))
             used = F.coalesce("used", F.array().cast("array<int>"))
-            new = now.join(near, "node", "left").select("node", F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used)).alias("colour"))
+            new = now.join(near.hint("shuffle_hash"), "node", "left").select("node", F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used)).alias("colour"))
         new = cut(new, "coloured")
         done = new if done is None else cut(done.unionByName(new), "coloured")
-        open_ = cut(open_.join(new.select("node"), "node", "left_anti"), "colour-open")
+        open_ = cut(open_.join(new.select("node").hint("shuffle_hash"), "node", "left_anti"), "colour-open")
     return done if done is not None else nodes.select("node", F.lit(0).alias("colour")).limit(0)
 
 
@@ -84,13 +84,14 @@ def gibbs_types(
         return nodes.select("node", F.lit(None).cast("string").alias("type"))
     coloured = colours(edges, nodes)
     kinds = sorted(r[0] for r in coloured.select("colour").distinct().collect())  # degrees plus one at most
-    edges = cut(edges.select("src", "dst").join(coloured.select(F.col("node").alias("src"), "colour"), "src"), "gibbs-edges")
+    edges = cut(edges.select("src", "dst").join(coloured.select(F.col("node").alias("src"), "colour").hint("shuffle_hash"), "src"), "gibbs-edges")
     now = cut(coloured.withColumn("t", start), "types")
     logs = [math.log(max(s, 1e-6)) for s in share]
     cond = [[math.log(max(conditional.get((a, b), 0.0), 1e-6)) for b in names] for a in names]
     for sweep in range(1, sweeps + 1):
         for colour in kinds:
-            near = edges.where(F.col("colour") == colour).join(now.select(F.col("node").alias("dst"), "t"), "dst").groupBy(F.col("src").alias("node"))
+            # Hashed, not broadcast: what each sweep and colour sends to the driver would add up.
+            near = edges.where(F.col("colour") == colour).join(now.select(F.col("node").alias("dst"), "t").hint("shuffle_hash"), "dst").groupBy(F.col("src").alias("node"))
             counts = near.agg(*(F.count_if(F.col("t") == i).alias(f"n{i}") for i in range(len(names))))
 
             def score(a: int) -> Column:
@@ -99,7 +100,7 @@ def gibbs_types(
                     s = s + F.coalesce(f"n{i}", F.lit(0)) * F.lit(c)
                 return s
 
-            own = now.where(F.col("colour") == colour).drop("t").join(counts, "node", "left")
+            own = now.where(F.col("colour") == colour).drop("t").join(counts.hint("shuffle_hash"), "node", "left")
             own = drawn_place(own, F.array(*(score(a) for a in range(len(names)))), at(sweep), "t").select("node", "colour", "t")
             now = cut(own.unionByName(now.where(F.col("colour") != colour)), "types")
     named = now.select("node", F.element_at(F.array(*map(F.lit, names)), F.col("t") + 1).alias("type"))
