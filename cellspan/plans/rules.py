@@ -78,12 +78,16 @@ def _ring_areas(s: SparkSession, d: str) -> DataFrame:
 
 
 def _grid_counts(s: SparkSession, d: str) -> DataFrame:
-    """Cells in the half-open tiles of a grid over each crop, through a table function."""
+    """Cells in the half-open tiles of a grid over each crop, through a table function.
+
+    A cell lies in one square of 10; the tiles, far fewer, are repeated over their squares and hashed, so that the cells are neither repeated nor broadcast.
+    """
     sql_functions.register(s, "cellspan_")
-    text = """SELECT crop_id, tile_idx, count(*) AS n FROM (SELECT crop_id, g.* FROM {crops} c, LATERAL cellspan_tile_grid(c.xmin, c.xmax, c.ymin, c.ymax, 20D, 20D) g) t
-      JOIN {cells} ON floor(x0 / 10) = bx - i AND floor(y0 / 10) = by - j AND cellspan_in_box_halfopen(centroid_x, centroid_y, x0, x0 + 20, y0, y0 + 20) GROUP BY 1, 2"""
-    steps = F.explode(F.array(*map(F.lit, (0, 1, 2))))  # a tile of 20 reaches over three squares of 10
-    cells = view(s, d, "v_cells").select("centroid_x", "centroid_y", *(F.floor(F.col(f"centroid_{a}") / 10).alias(f"b{a}") for a in "xy")).withColumn("i", steps).withColumn("j", steps)
+    squares = ", ".join(f"LATERAL explode(sequence(floor(g.{v}0 / 10), floor((g.{v}0 + 20) / 10))) {v}(b{v})" for v in "xy")  # those that a tile of 20 reaches over
+    text = f"""SELECT /*+ SHUFFLE_HASH(t) */ crop_id, tile_idx, count(*) AS n
+      FROM (SELECT crop_id, g.tile_idx, g.x0, g.y0, bx, by FROM {{crops}} c, LATERAL cellspan_tile_grid(c.xmin, c.xmax, c.ymin, c.ymax, 20D, 20D) g, {squares}) t
+      JOIN {{cells}} USING (bx, by) WHERE cellspan_in_box_halfopen(centroid_x, centroid_y, x0, x0 + 20, y0, y0 + 20) GROUP BY 1, 2"""
+    cells = view(s, d, "v_cells").select("centroid_x", "centroid_y", *(F.floor(F.col(f"centroid_{a}") / 10).alias(f"b{a}") for a in "xy"))
     return s.sql(text, crops=view(s, d, "v_crops"), cells=cells)
 
 
