@@ -7,6 +7,70 @@ from pyspark.sql import functions as F
 
 from cellspan.functions.columns import binomial_tail
 from cellspan.operators import nearest
+from cellspan.operators.staging import cut
+
+#: Repeated numbers of molecules that are looked up by broadcast; beyond that all molecules shuffle by their number.
+FEW = 100_000
+
+
+def once(molecules: DataFrame) -> DataFrame:
+    """Staged molecules with one row a number (mol), the least of every other column; only the numbers shuffle unless more than FEW are repeated."""
+    least = lambda df: df.groupBy("mol").agg(*(F.min(c).alias(c) for c in df.columns if c != "mol"))
+    twice = cut(molecules.groupBy("mol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("mol").alias("again")), "twice")
+    n = twice.count()
+    if n > FEW:
+        return cut(least(molecules), "molecules")
+    if not n:
+        return molecules
+    same = F.col("mol").eqNullSafe(F.col("again"))
+    merged = cut(least(molecules.join(F.broadcast(twice), same, "left_semi")), "merged")
+    return molecules.join(F.broadcast(twice), same, "left_anti").unionByName(merged)
+
+
+def moves(molecules: DataFrame, cells: DataFrame, radius: float = 8.0, most: int = 8, bonus: float = 2.0, full: int = 1024) -> DataFrame:
+    """What reassigned() gives of staged molecules (mol, factor, cell, x, y) among their candidates() of cells (cell, x, y), by the cells' shares of them.
+
+    Molecules go through one shuffle, to squares twice as wide as the radius.  A square has the cells within the radius of it, and those of its
+    own molecules wherever they lie, as one array with their shares.  Molecules of squares with more than ``full`` cells and shares in their
+    arrays take the way over candidates(), whose bins fit the density.
+    """
+    side, reach = 2 * radius, radius * 1.001
+    gx, gy = (F.coalesce(F.floor(F.col(c) / side), F.lit(0)) for c in "xy")  # without a place: any square, nothing is near
+    n = molecules.groupBy("cell", "factor").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(
+        F.sum("n").alias("all"), F.collect_list(F.when(F.col("factor").isNotNull(), F.struct("factor", "n"))).alias("n")
+    )
+    shares = n.select("cell", F.map_from_entries(F.transform("n", lambda e: F.struct(e["factor"], e["n"] / F.col("all")))).alias("shares"))
+    known = cut(cells.select("cell", "x", "y").join(shares, "cell", "full"), "shares")
+    around = known
+    for c in "xy":
+        around = around.withColumn(f"g{c}", F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))))
+    cover = cut(around.select("cell", "gx", "gy").unionByName(molecules.select("cell", gx.alias("gx"), gy.alias("gy"))).distinct(), "cover")
+    size = F.sum(1 + F.coalesce(F.size("shares"), F.lit(0))).alias("size")
+    dense = cut(cover.join(known.hint("shuffle_hash"), "cell").groupBy("gx", "gy").agg(size).where(F.col("size") > full).drop("size"), "dense")
+    crowded = not dense.isEmpty()
+    if crowded:
+        cover = cover.join(dense, ["gx", "gy"], "left_anti")
+    near = cover.join(known.hint("shuffle_hash"), "cell").groupBy("gx", "gy").agg(F.collect_list(F.struct("cell", "x", "y", "shares")).alias("near"))
+    here = lambda squares: (gx == squares["gx"]) & (gy == squares["gy"])
+
+    share = lambda b: F.coalesce(F.try_element_at(b["shares"], F.col("factor")), F.lit(0.0))
+    d2 = lambda b: (F.col("x") - b["x"]) * (F.col("x") - b["x"]) + (F.col("y") - b["y"]) * (F.col("y") - b["y"])
+    others = F.transform(F.filter("near", lambda b: (b["cell"] != F.col("was")) & (d2(b) <= radius * radius)), lambda b: F.struct(d2(b).alias("d2"), b["cell"].alias("cell"), share(b).alias("share")))
+    m = molecules.where("mol is not null").withColumnRenamed("cell", "was").join(near.hint("shuffle_hash"), here(near))
+    m = m.select(
+        "mol", "factor", "was", share(F.get(F.filter("near", lambda b: b["cell"] == F.col("was")), F.lit(0))).alias("own"),
+        F.slice(F.sort_array(others), 1, most - 1).alias("others"),
+    )
+    all_ = F.aggregate("others", F.col("own"), lambda s, b: s + b["share"])
+    m = m.select("mol", "factor", "was", "own", all_.alias("all"), F.array_min(F.transform("others", lambda b: F.struct(F.round(-b["share"], 12).alias("w"), b["cell"].alias("cell"), b["share"].alias("share")))).alias("b"))
+    m = m.withColumn("goes", F.coalesce(F.col("b.w") < F.round(-bonus * F.col("own"), 12), F.lit(False)))
+    later = F.col("all") + (bonus - 1) * F.when(F.col("goes"), F.col("b.share")).otherwise(F.col("own"))
+    out = m.select("mol", "factor", "was", F.when(F.col("goes"), F.col("b.cell")).otherwise(F.col("was")).alias("cell"), (F.col("all") + (bonus - 1) * F.col("own")).alias("first"), later.alias("later"))
+    if crowded:
+        hard = cut(molecules.join(dense, here(dense), "left_semi"), "crowded")
+        fractions = known.select("cell", F.explode("shares").alias("factor", "share"))
+        out = out.unionByName(reassigned(hard, candidates(hard, cells, radius, most), fractions, bonus))
+    return out
 
 
 def candidates(molecules: DataFrame, cells: DataFrame, radius: float = 8.0, most: int = 8) -> DataFrame:

@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellspan.operators import context, reassignment
+from cellspan.plans import catalog
 
 
 def test_moves_equal_rounds_taken_one_by_one(spark):
@@ -54,6 +56,55 @@ def test_moves_equal_rounds_taken_one_by_one(spark):
     assert all(0 < r["p"] <= 1 for r in rules)
 
 
+@pytest.mark.parametrize("full", [0, 60, 10**9])
+def test_moves_by_squares_equal_moves_by_candidates(spark, full):
+    """A clump, cells without molecules, molecules far from their cell or without a place, negative places, ties: whichever squares are crowded."""
+    rng = random.Random(7)
+    cells = [(i, round(rng.uniform(-40, 60), 1), round(rng.uniform(-40, 60), 1)) for i in range(90)] + [(100 + i, 5.0 + i % 6, 5.0 + i // 6) for i in range(30)]
+    at = {k: (x, y) for k, x, y in cells}
+    mols = [(i, rng.randrange(1, 5) if i % 40 else None, c, at[c][0] + rng.choice([-8.0, -3.5, 0.0, 2.0, 8.0]), at[c][1] + rng.choice([-4.0, 0.0, 0.0, 6.0])) for i in range(600) for c in [rng.choice(list(at)[10:])]]
+    mols += [(1000, 1, 100, 900.0, 900.0), (1001, 2, 101, None, None), (1002, 2, 50, at[3][0], at[3][1]), (1003, 1, 5000, 6.0, 6.0), (None, 1, 102, 6.0, 6.0)]
+    m = spark.createDataFrame(mols, "mol long, factor int, cell long, x double, y double")
+    c = spark.createDataFrame(cells, "cell long, x double, y double")
+    n = m.groupBy("cell", "factor").agg(F.count(F.lit(1)).alias("n"))
+    fractions = n.join(m.groupBy("cell").agg(F.count(F.lit(1)).alias("all")), "cell").select("cell", "factor", (F.col("n") / F.col("all")).alias("share"))
+    want = {r["mol"]: r for r in reassignment.reassigned(m, reassignment.candidates(m, c), fractions).collect()}
+    got = reassignment.moves(m, c, full=full).collect()
+    assert len(got) == len(want) == 604 and sum(r["was"] != r["cell"] for r in got) > 50
+    for r in got:
+        w = want[r["mol"]]
+        assert (r["factor"], r["was"], r["cell"]) == (w["factor"], w["was"], w["cell"])
+        assert (r["first"], r["later"]) == (pytest.approx(w["first"]), pytest.approx(w["later"]))
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_molecules_of_one_number_are_one(spark, monkeypatch, few):
+    monkeypatch.setattr(reassignment, "FEW", few)
+    rows = [(1, 3, 7, 1.0, 9.0), (1, 2, 8, 2.0, 1.0), (2, 1, 7, 5.0, 5.0), (None, 4, 7, 0.0, 2.0), (None, 4, 6, 1.0, 1.0), (3, 5, 9, None, 4.0), (3, 5, 9, 3.0, None)]
+    m = spark.createDataFrame(rows, "mol long, factor int, cell long, x double, y double")
+    want = {(1, 2, 7, 1.0, 1.0), (2, 1, 7, 5.0, 5.0), (None, 4, 6, 0.0, 1.0), (3, 5, 9, 3.0, 4.0)}
+    got = reassignment.once(m).select(*m.columns).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert reassignment.once(m.where("mol = 2")).count() == 1
+
+
+@pytest.mark.parametrize("name", ["em_history"])
+def test_moves_shuffle_a_molecule_few_times(spark, name):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    new = spark.sparkContext._gateway.new_array
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, new(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag <> 'N'").count()
+    before = written()
+    catalog.queries()[name](spark, sf).collect()
+    assert written() - before < 8 * n  # the joins of the view, their number, their square, and tables of cells
+
+
 def test_gaps_and_density(spark):
     rng = random.Random(2)
     pts = [(s, k, rng.uniform(0, 100), rng.uniform(0, 100)) for s in (0, 1) for k in range(1, 30 if s else 4)]
