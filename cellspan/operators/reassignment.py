@@ -116,9 +116,10 @@ def rules(moves: DataFrame, types: DataFrame, least: int = 30, rate: float = 0.0
     the most frequent goal (ties to the first type), and its share of all of them to be at least ``rate``; p is the tail of 0.05.
     """
     t = lambda c, n: types.where("cell_type is not null").select(F.col("cell").alias(c), F.col("cell_type").alias(n))
-    m = moves.join(t("was", "target"), "was").join(t("cell", "source"), "cell", "left")
+    m = moves.groupBy("factor", "was", "cell").agg(F.count(F.lit(1)).alias("k"))  # fewer to shuffle than moves
+    m = m.join(t("was", "target").hint("shuffle_hash"), "was").join(t("cell", "source").hint("shuffle_hash"), "cell", "left")
     gone = F.col("cell") != F.col("was")
-    n = m.groupBy("factor", "target", F.when(gone, F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("k"))
+    n = m.groupBy("factor", "target", F.when(gone, F.col("source")).alias("source")).agg(F.sum("k").alias("k"))
     top = F.min_by(F.struct("source", "k"), F.when(F.col("source").isNotNull(), F.struct(-F.col("k"), "source")))
     g = n.groupBy("factor", "target").agg(F.sum("k").alias("n_in_target"), top.alias("top"))
     g = g.select("factor", F.col("top.source").alias("source"), "target", "n_in_target", F.col("top.k").alias("n_moved")).withColumn("rate", F.col("n_moved") / F.col("n_in_target"))

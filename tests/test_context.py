@@ -88,7 +88,7 @@ def test_molecules_of_one_number_are_one(spark, monkeypatch, few):
     assert reassignment.once(m.where("mol = 2")).count() == 1
 
 
-@pytest.mark.parametrize("name", ["em_history"])
+@pytest.mark.parametrize("name", ["em_history", "em_rules"])
 def test_moves_shuffle_a_molecule_few_times(spark, name):
     store = spark.sparkContext._jsc.sc().statusStore()
     new = spark.sparkContext._gateway.new_array
